@@ -1,0 +1,11 @@
+"""Training-data operators. Nothing else in brooklet imports this subpackage.
+
+Functions that run inside Python workers are pickled by value, so executors
+need no installed copy of the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
