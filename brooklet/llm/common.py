@@ -50,3 +50,18 @@ def crc_mod(column: str, modulus: int):
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def runs(batches, n_keys: int):
+    """Groups of consecutive rows with equal leading columns, as (key, rows); a group may
+    span batches. For input that is dealt and sorted by those columns."""
+    key, held = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if row[:n_keys] != key:
+                if held:
+                    yield key, held
+                key, held = row[:n_keys], []
+            held.append(row[n_keys:])
+    if held:
+        yield key, held

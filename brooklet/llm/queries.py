@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brooklet.llm import media, mixing, packing, pii, quality, secrets, tokens
+from brooklet.llm import embeddings, media, mixing, ngram_join, packing, pii, quality, secrets, tokens
 from brooklet.llm.common import read
 
 
@@ -25,6 +25,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_digests(packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digests(pii.detect(read(spark, sf_dir, "documents")))
 
@@ -45,5 +49,9 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_digests(secrets.scan(read(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_token_counts, op3_packing, op5_pii, op7_media, op8_mixing, op9_secrets)}
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_token_counts, op3_packing, op4_embeddings, op5_pii, op7_media, op8_mixing, op9_secrets, op10_ngram_join)}
 ORACLE_SQL: dict[str, str] = {}
