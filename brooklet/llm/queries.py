@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brooklet.llm import embeddings, media, mixing, ngram_join, packing, pii, quality, secrets, tokens
-from brooklet.llm.common import read
+from brooklet.llm import embeddings, lm, media, mixing, ngram_join, packing, pii, quality, secrets, tokens
+from brooklet.llm.common import crc_mod, read
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,11 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digests(pii.detect(read(spark, sf_dir, "documents")))
 
 
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.scores(read(spark, sf_dir, "documents"), crc_mod("doc_id", 5) != 1)
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     sequences = media.interleave(media.as_pages(docs), "doc_id")
@@ -53,5 +58,5 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_token_counts, op3_packing, op4_embeddings, op5_pii, op7_media, op8_mixing, op9_secrets, op10_ngram_join)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_token_counts, op3_packing, op4_embeddings, op5_pii, op6_lm, op7_media, op8_mixing, op9_secrets, op10_ngram_join)}
 ORACLE_SQL: dict[str, str] = {}
