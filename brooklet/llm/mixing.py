@@ -51,18 +51,18 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
-    carry: tuple[str, ...] = (),
+    row_col: str | None = None,
 ) -> DataFrame:
-    """Every row with doc_id, source, size, source_size, target and copies (0 to ceil(most)).
+    """Every row with row, doc_id, source, size, source_size, target and copies (0 to ceil(most)).
 
-    `carry` names more columns of docs to keep, for callers that repeat the rows; they
-    come back as one struct `carried`. Sources are collected to the driver: a row of
-    two numbers for each source name that the caller mixes.
+    `row_col` names a column that numbers the rows; without it they are numbered here.
+    Sources are collected to the driver: a row of two numbers for each source name that
+    the caller mixes.
     """
     spark = docs.sparkSession
     size = F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long")
-    more = [F.struct(*(F.col(c) for c in carry)).alias("carried")] if carry else []
-    sized = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), *more), "sized")
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    sized = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), row.alias("row")), "sized")
     found = {r[0]: (r[1], r[2]) for r in sized.groupBy("source").agg(F.sum("size"), F.count("*")).collect()}
     want = targets({s: n for s, (n, _) in found.items()}, weights, most)
     schema = T.StructType([T.StructField("m_source", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType())])
@@ -70,7 +70,7 @@ def mix(
 
     parts = max(1, sized.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
     # the hash spreads equal sizes; the row number tells repeated rows apart
-    keyed = sized.withColumn("h", F.xxhash64(F.lit(seed), F.col("doc_id"))).withColumn("row", F.monotonically_increasing_id())
+    keyed = sized.withColumn("h", F.xxhash64(F.lit(seed), F.col("doc_id")))
     order = [F.col("source").asc_nulls_last(), "size", "h", "row"]
     dealt = written(keyed.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "dealt")
     ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("part", "source").orderBy("size", "h", "row")))
@@ -85,11 +85,15 @@ def mix(
     joined = ranked.join(before, (F.col("part") == F.col("b_part")) & F.col("source").eqNullSafe(F.col("b_source")), "left")
     joined = joined.join(per_source, F.col("source").eqNullSafe(F.col("m_source")), "left")
     copies = (F.floor(rate * at + u) - F.floor(rate * (at - 1) + u)).cast("long")
-    return joined.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), *(["carried"] if carry else []))
+    return joined.select("row", "doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
 
 
-def mixture(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row of docs as often as it is taken, with its own columns."""
+def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mix itself: each row of docs as often as it is taken, with its own columns. The
+    texts are moved once, to meet the copies of their row."""
     names = docs.columns
-    taken = mix(docs, carry=tuple(names), **options)
-    return taken.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*(F.col("carried")[n].alias(n) for n in names))
+    own = written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*(F.col(c) for c in names)).alias("own")), "numbered")
+    narrow = own.select("row", F.col("own")[id_col].alias("id"), F.col("own")[text_col].alias("text"), F.col("own")[source_col].alias("source"))
+    taken = mix(narrow, id_col="id", row_col="row", **options).filter("copies > 0").select(F.col("row").alias("taken_row"), "copies")
+    repeated = own.join(taken, F.col("row") == F.col("taken_row")).select("own", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return repeated.select(*(F.col("own")[n].alias(n) for n in names))
