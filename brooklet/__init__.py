@@ -1 +1,11 @@
-"""brooklet: ordered-stream analysis and outlier detection on Spark DataFrames."""
+"""brooklet: ordered-stream analysis and outlier detection on Spark DataFrames.
+
+Functions that run inside Python workers are pickled by value, so executors need no
+installed copy of the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
