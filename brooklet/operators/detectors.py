@@ -174,13 +174,14 @@ class RSHash(Detector):
     def draw(self, dimension: int) -> list[dict]:
         """f, and the chosen dimensions with their shifts alpha, of each estimator."""
         rng, s, out = np.random.default_rng(self.seed), float(self.s_param or self.window), []
+        hashes = np.random.default_rng([self.seed, 1])  # of its own, so that grids do not depend on the sketch
         for _ in range(self.n_estimators):
             f = rng.uniform(1 / math.sqrt(s), 1 - 1 / math.sqrt(s))
             most = math.log(s) / math.log(max(2.0, 1 / f))
             low, high = round(1 + most / 2), round(most)
             r = min(dimension, max(1, int(rng.integers(low, max(low, high) + 1))))
             dims = sorted(rng.choice(dimension, r, replace=False).tolist())
-            out.append({"f": float(f), "dims": dims, "alpha": rng.uniform(0, f, r).tolist(), "a": rng.integers(1, 1_000_003, (self.cms_w, r)).tolist(), "b": rng.integers(0, 1_000_003, self.cms_w).tolist()})
+            out.append({"f": float(f), "dims": dims, "alpha": rng.uniform(0, f, r).tolist(), "a": hashes.integers(1, 1_000_003, (self.cms_w, r)).tolist(), "b": hashes.integers(0, 1_000_003, self.cms_w).tolist()})
         return out
 
     def transform(self, s: Stream) -> DataFrame:

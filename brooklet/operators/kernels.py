@@ -336,7 +336,8 @@ def grouped(df: DataFrame, group: list[str], order: str, keep: list[str], x: lis
     """
     parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     names = [*group, *keep, "t", *(["home"] if home else []), *x]
-    dealt = df.repartition(parts, *group).sortWithinPartitions(*group, order).select(*names)
+    # without a group the stream is one, and serial by nature
+    dealt = (df.repartition(parts, *group) if group else df.repartition(1)).sortWithinPartitions(*group, order).select(*names)
     kinds = [df.schema[c].dataType.simpleString() for c in keep]
     g, k = len(group), len(keep)
 
@@ -501,19 +502,19 @@ class SDOstream(Detector):
         df = df if key else df.withColumn("g", F.lit(0))
         groups = key or ["g"]
         kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in groups)
-        types = [df.schema[k].dataType for k in groups]
         dealt = df.repartition(*groups).sortWithinPartitions(*groups, "idx").select(*groups, "t", *x)
 
         def run(batches):
-            key_, kernel, last = None, None, None
+            key_, kernel, last, kinds_of = None, None, None, []
 
             def close():
                 rows = kernel.observers(last if time is None else time)
-                arrays = [pa.array([k] * len(rows)) for k in key_]
+                arrays = [pa.array([k] * len(rows), kind) for k, kind in zip(key_, kinds_of)]
                 columns = list(zip(*rows)) or [[], [], []]
                 return pa.RecordBatch.from_arrays([*arrays, pa.array(columns[0], pa.list_(pa.float64())), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.float64())], [*groups, "vec", "observations", "av_observations"])
 
             for batch in batches:
+                kinds_of = batch.schema.types[: len(groups)]
                 for *row_key, t, point in zip(*(batch.column(i).to_pylist() for i in range(len(groups) + 1)), np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[len(groups) + 1 :]])):
                     if kernel is None or row_key != key_:
                         if kernel is not None:
@@ -524,7 +525,6 @@ class SDOstream(Detector):
             if kernel is not None:
                 yield close()
 
-        del types
         out = dealt.mapInArrow(run, f"{kinds}, vec array<double>, observations double, av_observations double")
         return out if key else out.drop("g")
 

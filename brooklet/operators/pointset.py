@@ -137,5 +137,5 @@ class PointSet:
     @staticmethod
     def ragged(found: DataFrame, order: str = "distance") -> DataFrame:
         """query_id, keys, distances, length: the long result as one row a query."""
-        items = F.array_sort(F.collect_list(F.struct(order, "key", "distance")))
+        items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("by"), "key", "distance")))
         return found.groupBy("query_id").agg(items.alias("items")).select("query_id", F.col("items.key").alias("keys"), F.col("items.distance").alias("distances"), F.size("items").alias("length"))

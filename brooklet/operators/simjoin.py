@@ -97,7 +97,7 @@ def knn_join(
             pairs = p.crossJoin(F.broadcast(q))  # n rows of a size just checked
         else:
             q = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-            p = p.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+            p = p.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
             pairs = p.hint("shuffle_hash").join(q, "block")
         pairs = pairs.select("query_id", "key", measure(F.col("q_vec"), F.col("p_vec")).alias("distance")).filter(F.col("distance").between(min_radius, max_radius))
     order = F.col("distance").desc() if reverse else F.col("distance").asc()

@@ -64,6 +64,7 @@ def online(df: DataFrame, detector, features: list[str], order: str, key: list[s
 
 def online_stats(df: DataFrame, time: str, window: str, features: list[str], watermark: str | None = None) -> DataFrame:
     """Tumbling statistics of a stream in event time; a watermark drops late rows."""
+    df = df.withColumn(time, F.col(time).cast("timestamp"))
     df = df.withWatermark(time, watermark) if watermark else df
     outs = [f(c).alias(f"{c}_{n}") for c in features for n, f in (("sum", F.sum), ("average", F.avg), ("min", F.min), ("max", F.max))]
     return df.groupBy(F.window(time, window)).agg(F.count("*").alias("count"), *outs)

@@ -232,7 +232,7 @@ def test_forest_finds_the_outlier_and_is_stable(spark):
     assert np.argmax(got) == 350
     spark.conf.set("spark.sql.shuffle.partitions", "3")
     try:
-        assert got == scores(f.transform(stream(spark, rows.tolist(), ("u", "v"))))
+        close(got, scores(f.transform(stream(spark, rows.tolist(), ("u", "v")))))  # means add up in any order
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
