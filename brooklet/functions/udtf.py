@@ -11,7 +11,7 @@ from pyspark.sql.functions import udtf
 
 def register(spark: SparkSession, name: str, detector, features: list[str], order: str, order_type: str = "bigint", time: str | None = None) -> None:
     """Register `name` for a detector with a kernel; rows of a partition come in its order."""
-    make = detector.kernel
+    make = lambda: detector.kernel((), features)
     out = "array<double>" if getattr(detector, "k_is_max", False) else "double"
 
     class Run:

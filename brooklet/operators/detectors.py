@@ -98,7 +98,10 @@ def _distance(s: Stream, metric, metric_params) -> Column:
 
 @dataclass(frozen=True)
 class SWDBOR(Detector):
-    """1 / (1 + m), m the live earlier rows within the radius (inclusive)."""
+    """1 / (1 + m), m the live earlier rows within the radius (inclusive).
+
+    A time axis must not fall within a key: late rows go through `kernels.ArrivalOrder`.
+    """
 
     window: float
     radius: float
@@ -184,10 +187,17 @@ class RSHash(Detector):
             out.append({"f": float(f), "dims": dims, "alpha": rng.uniform(0, f, r).tolist(), "a": hashes.integers(1, 1_000_003, (self.cms_w, r)).tolist(), "b": hashes.integers(0, 1_000_003, self.cms_w).tolist()})
         return out
 
+    def kernel(self, group=(), features=None):
+        from brooklet.operators.kernels import HashKernel
+
+        return HashKernel(self, len(features))
+
     def transform(self, s: Stream) -> DataFrame:
-        n, draws = rows_of(self.window), self.draw(s.n_features)
         if s.time is not None:
-            raise ValueError("RSHash runs on the default clock here; use the kernel for a time axis")
+            from brooklet.operators.kernels import sequential
+
+            return sequential(s, self)
+        n, draws = rows_of(self.window), self.draw(s.n_features)
         big = 2**62
 
         def cell(d: int, alpha: float, f: float) -> Column:
@@ -252,10 +262,17 @@ class HSTrees(Detector):
             out.append((dims, splits))
         return out
 
+    def kernel(self, group=(), features=None):
+        from brooklet.operators.kernels import HalfSpaceKernel
+
+        return HalfSpaceKernel(self, len(features))
+
     def transform(self, s: Stream, trees: list | None = None) -> DataFrame:
-        spark, depth = s.df.sparkSession, self.max_depth
         if s.time is not None:
-            raise ValueError("HSTrees runs on the default clock here; use the kernel for a time axis")
+            from brooklet.operators.kernels import sequential
+
+            return sequential(s, self)
+        spark, depth = s.df.sparkSession, self.max_depth
         trees = trees or self.draw(s.n_features)
         schema = T.StructType([T.StructField("tree", T.IntegerType()), T.StructField("dims", T.ArrayType(T.IntegerType())), T.StructField("splits", T.ArrayType(T.DoubleType()))])
         table = spark.createDataFrame([(i, [int(q) for q in d], [float(x) for x in p]) for i, (d, p) in enumerate(trees)], schema)
@@ -312,6 +329,11 @@ class XStream(Detector):
         rng, k = np.random.default_rng(self.seed), self.n_projections
         return [{"dims": rng.integers(0, k, self.depth).tolist(), "offset": rng.uniform(0, 0.5, k).tolist()} for _ in range(self.n_estimators)]
 
+    def kernel(self, group=(), features=None):
+        from brooklet.operators.kernels import ChainKernel
+
+        return ChainKernel(self, list(features))
+
     def projected(self, s: Stream) -> DataFrame:
         k = self.n_projections
         outs = project([F.col(c) for c in _features(s)], hashed_weights(k, s.features))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from brooklet.functions.vec import numpy_metric
 from brooklet.operators.detectors import Detector, _positive
-from brooklet.operators.projection import project, sparse_weights
+from brooklet.operators.projection import hashed_weights, project, sparse_weights
 from brooklet.plans.blocks import by_rows, rows_of
 from brooklet.sources.stream import Stream, ingest
 
@@ -325,6 +325,177 @@ class ObserverKernel:
         return [(self.points[i].tolist(), float(obs[i]), float(average[i])) for i in order]
 
 
+# --- row by row, what DataFrame operators do in batch ----------------------------------
+
+
+class StatsKernel(WindowKernel):
+    """Statistics of the window that ends with the row: count, then each statistic and
+    each quantile of each feature."""
+
+    def __init__(self, window: float, what=(), quantiles=()):
+        super().__init__(window)
+        self.what, self.quantiles = ([what] if isinstance(what, str) else list(what)), list(quantiles)
+
+    def step(self, x: np.ndarray, t: float) -> list[float]:
+        self.prune(t)
+        self.rows.append((t, x))
+        data = np.sort(np.array([r[1] for r in self.rows]), axis=0)
+        n = len(data)
+        at = lambda q: data[math.floor((n - 1) * q)]
+        plain = {"sum": data.sum(0), "average": data.mean(0), "squares_sum": (data * data).sum(0), "variance": data.var(0), "min": data[0], "max": data[-1], "median": at(0.5)}
+        return [float(n), *(float(v) for name in self.what for v in plain[name]), *(float(v) for q in self.quantiles for v in at(q))]
+
+
+class ScaleKernel(WindowKernel):
+    """The z-score of the row (quantile None) or its place between two quantiles."""
+
+    def __init__(self, window: float, quantile: float | None = None):
+        super().__init__(window)
+        self.quantile = quantile
+
+    def step(self, x: np.ndarray, t: float) -> list[float]:
+        self.prune(t)
+        self.rows.append((t, x))
+        data = np.sort(np.array([r[1] for r in self.rows]), axis=0)
+        n = len(data)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            if self.quantile is None:
+                dev = np.where(data[0] == data[-1], 0.0, data.std(0))
+                shift = np.where(data[0] == data[-1], x, data.mean(0))
+                return ((x - shift) / dev).tolist()
+            low, high = (data[math.floor((n - 1) * q)] for q in (self.quantile, 1 - self.quantile))
+            return ((x - low) / (high - low)).tolist()
+
+
+class HashKernel(WindowKernel):
+    """RSHash, row by row: for any time axis. Counts are of cells, or of sketch bins."""
+
+    def __init__(self, detector, dimension: int):
+        super().__init__(detector.window)
+        self.draws, self.d, self.counts = detector.draw(dimension), detector, {}
+
+    def keys(self, x: np.ndarray) -> list[list[tuple]]:
+        out, big = [], 2**62
+        for e, p in enumerate(self.draws):
+            cell = tuple((big if v > 0 else -big) if math.isinf(v) else math.trunc((v + a) / p["f"]) for v, a in zip((float(x[d]) for d in p["dims"]), p["alpha"]))
+            if self.d.cms_d is None:
+                out.append([(e, 0, cell)])
+            else:
+                out.append([(e, i, (sum(c % 1_000_003 * w for c, w in zip(cell, a)) + b) % 1_000_003 % self.d.cms_d) for i, (a, b) in enumerate(zip(p["a"], p["b"]))])
+        return out
+
+    def left(self, t, keys):
+        for own in keys:
+            for k in own:
+                self.counts[k] -= 1
+                if not self.counts[k]:
+                    del self.counts[k]
+
+    def step(self, x: np.ndarray, t: float) -> float:
+        self.prune(t)
+        keys = self.keys(x)
+        score = sum(-math.log2(1.0 + min(self.counts.get(k, 0) for k in own)) for own in keys) / len(keys)
+        for own in keys:
+            for k in own:
+                self.counts[k] = self.counts.get(k, 0) + 1
+        self.rows.append((t, keys))
+        return score
+
+
+class HalfSpaceKernel:
+    """Half-space trees, row by row. A block begins with the first row, and anew with a row
+    at or after the block's begin plus the window; empty stretches make no blocks."""
+
+    def __init__(self, detector, dimension: int):
+        self.d, self.trees = detector, detector.draw(dimension)
+        self.begin: float | None = None
+        self.now, self.before = {}, None
+
+    def step(self, x: np.ndarray, t: float) -> float:
+        if self.begin is None:
+            self.begin = t
+        elif t >= self.begin + self.d.window:
+            self.begin, self.before, self.now = t, self.now, {}
+        total = 0.0
+        for tree, (dims, splits) in enumerate(self.trees):
+            node, score = 0, None
+            for depth in range(self.d.max_depth + 1):
+                k = (tree, node)
+                self.now[k] = self.now.get(k, 0) + 1
+                if self.before is not None and score is None:
+                    r = self.before.get(k, 0)
+                    if depth == self.d.max_depth or r <= self.d.limit:
+                        score = -r * 2.0**depth
+                if depth < self.d.max_depth:
+                    node = 2 * node + 1 + int(x[dims[node]] >= splits[node])
+            total += math.nan if score is None else score
+        return total / len(self.trees)
+
+
+class ChainKernel:
+    """Half-space chains, row by row, over exact cells. The first block waits for its own
+    ranges, unless an initial sample gives them."""
+
+    def __init__(self, detector, features: list[str], initial_sample: np.ndarray | None = None):
+        self.d, self.weights, self.chains = detector, hashed_weights(detector.n_projections, features), detector.draw()
+        self.block: list[np.ndarray] = []
+        self.used = None if initial_sample is None else self.range_of(np.asarray(initial_sample, np.float64) @ self.weights.T)
+        self.before: dict | None = None
+        self.now: dict = {}
+
+    @staticmethod
+    def range_of(rows: np.ndarray):
+        return rows.min(0), rows.max(0)
+
+    def cells(self, p: np.ndarray) -> list[list[tuple]]:
+        low, high = self.used
+        norm = np.where(high > low, (p - low) / np.where(high > low, high - low, 1.0), 0.0)
+        out = []
+        for c, chain in enumerate(self.chains):
+            times, bins, own = [0] * len(p), [0] * len(p), []
+            for level, d in enumerate(chain["dims"]):
+                times[d] += 1
+                wide = 2.0 ** times[d]
+                bins[d] = int(min(max(norm[d] * wide + chain["offset"][d], 0.0), wide - 1))
+                own.append((c, level, tuple(bins)))
+            out.append(own)
+        return out
+
+    def count(self, p: np.ndarray) -> list[list[tuple]]:
+        cells = self.cells(p)
+        for own in cells:
+            for k in own:
+                self.now[k] = self.now.get(k, 0) + 1
+        return cells
+
+    def step(self, x: np.ndarray, t: float) -> float:
+        p = self.weights @ x
+        score = math.nan
+        self.block.append(p)
+        if self.used is not None:
+            cells = self.count(p)
+            if self.before is not None:
+                score = -float(sum(min(self.before.get(k, 0) * 2 ** (k[1] + 1) for k in own) for own in cells))
+        if len(self.block) == int(self.d.window):
+            ranges = self.range_of(np.array(self.block))
+            if self.used is None:
+                self.used = ranges
+                for row in self.block:
+                    self.count(row)
+            self.used, self.before, self.now, self.block = ranges, self.now, {}, []
+        return score
+
+
+class ForestKernel:
+    """All trees of a robust random cut forest, for online runs."""
+
+    def __init__(self, window: float, n: int, seed: int):
+        self.trees = [CutTreeKernel(window, [seed, i, 0]) for i in range(n)]
+
+    def step(self, x: np.ndarray, t: float) -> float:
+        return sum(tree.step(x, t) for tree in self.trees) / len(self.trees)
+
+
 # --- batch runs ------------------------------------------------------------------
 
 
@@ -388,6 +559,46 @@ def _run(s: Stream, window: float, make: Callable, out: str) -> DataFrame:
     return grouped(renamed, groups, "idx", [s.order, *key], x, make, out)
 
 
+def sequential(s: Stream, detector, out: str = "score double") -> DataFrame:
+    """A detector's kernel over each key as a whole: for time axes with ties or late rows."""
+    names = [f"x{i}" for i in range(s.n_features)] if s.dimension else list(s.features)
+    timed = ingest(s).withColumn("home", F.lit(True))
+    x, key = [f"x{i}" for i in range(s.n_features)], list(s.key)
+    renamed = timed.select(*(F.col(k).alias(f"g_{k}") for k in key), s.order, *key, "idx", "t", "home", *x)
+    return grouped(renamed, [f"g_{k}" for k in key], "idx", [s.order, *key], x, lambda group: detector.kernel(group, names), out)
+
+
+@dataclass(frozen=True)
+class SlidingStatistics:
+    """`sliding_stats` in order of arrival, as one array per row: count, then values."""
+
+    window: float
+    what: tuple = ()
+    quantiles: tuple = ()
+    k_is_max: bool = True  # the score is an array
+
+    def kernel(self, group=(), features=None) -> StatsKernel:
+        return StatsKernel(self.window, self.what, self.quantiles)
+
+    def transform(self, s: Stream) -> DataFrame:
+        return sequential(s, self, "score array<double>")
+
+
+@dataclass(frozen=True)
+class SlidingScale:
+    """The scalers in order of arrival: z-scores, or quantile scaling if a quantile is given."""
+
+    window: float
+    quantile: float | None = None
+    k_is_max: bool = True
+
+    def kernel(self, group=(), features=None) -> ScaleKernel:
+        return ScaleKernel(self.window, self.quantile)
+
+    def transform(self, s: Stream) -> DataFrame:
+        return sequential(s, self, "score array<double>")
+
+
 @dataclass(frozen=True)
 class SWLOF(Detector):
     window: float
@@ -400,7 +611,7 @@ class SWLOF(Detector):
     def __post_init__(self):
         _positive(window=self.window, k=self.k)
 
-    def kernel(self, group=()) -> LOFKernel:
+    def kernel(self, group=(), features=None) -> LOFKernel:
         return LOFKernel(self.window, self.k, numpy_metric(self.metric, self.metric_params), self.simplified, self.k_is_max)
 
     def transform(self, s: Stream) -> DataFrame:
@@ -421,14 +632,14 @@ class LODA(Detector):
         if self.n_projections is not None:
             _positive(n_projections=self.n_projections)
 
-    def kernel(self, group=(), dimension: int | None = None) -> HBOSKernel:
-        if self.n_projections is not None and dimension is None:
-            raise ValueError("projections need the number of features")
-        return HBOSKernel(self.window, self.n_bins, None if self.n_projections is None else sparse_weights(self.n_projections, dimension, self.seed))
+    def kernel(self, group=(), features=None) -> HBOSKernel:
+        if self.n_projections is not None and not features:
+            raise ValueError("projections need the names of the features")
+        return HBOSKernel(self.window, self.n_bins, None if self.n_projections is None else sparse_weights(self.n_projections, len(features), self.seed))
 
     def transform(self, s: Stream) -> DataFrame:
-        n = s.n_features
-        return _run(s, self.window, lambda group: self.kernel(group, n), "score double")
+        names = [f"x{i}" for i in range(s.n_features)]
+        return _run(s, self.window, lambda group: self.kernel(group, names), "score double")
 
     def projected_window(self, s: Stream) -> DataFrame:
         """The live rows as the detector sees them: projected, if it projects."""
@@ -450,6 +661,9 @@ class SWRRCT(Detector):
     def __post_init__(self):
         _positive(window=self.window, n_estimators=self.n_estimators)
 
+    def kernel(self, group=(), features=None) -> ForestKernel:
+        return ForestKernel(self.window, self.n_estimators, self.seed)
+
     def transform(self, s: Stream) -> DataFrame:
         df, group = _blocked(s, self.window)
         x, key = [f"x{i}" for i in range(s.n_features)], list(s.key)
@@ -484,7 +698,7 @@ class SDOstream(Detector):
         if not 0 <= self.qv < 1:
             raise ValueError("qv lies in [0, 1)")
 
-    def kernel(self, group=()) -> ObserverKernel:
+    def kernel(self, group=(), features=None) -> ObserverKernel:
         return ObserverKernel(self.k, self.T, self.qv, self.x, numpy_metric(self.metric, self.metric_params), self.seed)
 
     def transform(self, s: Stream) -> DataFrame:
@@ -540,7 +754,7 @@ class ArrivalOrder(Detector):
     metric: str = "euclidean"
     metric_params: dict | None = None
 
-    def kernel(self, group=()) -> NeighborKernel:
+    def kernel(self, group=(), features=None) -> NeighborKernel:
         return NeighborKernel(self.window, numpy_metric(self.metric, self.metric_params), self.radius, self.k, self.k_is_max)
 
     def transform(self, s: Stream) -> DataFrame:

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from brooklet.functions.vec import NAN
+
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -57,9 +59,12 @@ def online(df: DataFrame, detector, features: list[str], order: str, key: list[s
         df = df.withColumn("stream", F.lit(0))
     vector = bool(getattr(detector, "k_is_max", False))
     fields = [df.schema[k] for k in names] + [df.schema[order]] + [T.StructField("score", T.ArrayType(T.DoubleType()) if vector else T.DoubleType())]
-    processor = KernelProcessor(detector.kernel, names, order, features, time, vector)
+    processor = KernelProcessor(lambda group: detector.kernel(group, features), names, order, features, time, vector)
     picked = df.select(*dict.fromkeys([*names, order, *features, *([time] if time else [])]))
-    return picked.groupBy(*names).transformWithStateInPandas(processor, T.StructType(fields), "append", "None")
+    scored = picked.groupBy(*names).transformWithStateInPandas(processor, T.StructType(fields), "append", "None")
+    # pandas hands NaN over as null; a score is never null
+    sure = F.transform("score", lambda v: F.coalesce(v, F.lit(NAN))) if vector else F.coalesce("score", F.lit(NAN))
+    return scored.withColumn("score", sure)
 
 
 def online_stats(df: DataFrame, time: str, window: str, features: list[str], watermark: str | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from brooklet.sources.stream import Stream
 from brooklet.streaming.online import online, online_stats
 
 
-@pytest.mark.parametrize("detector", [ker.SWLOF(20, 3), ker.LODA(20), ker.ArrivalOrder(20, k=3), ker.SDOstream(10, 50)])
+@pytest.mark.parametrize("detector", [ker.SWLOF(20, 3), ker.ArrivalOrder(20, k=3), ker.SDOstream(10, 50), det.HSTrees(20, 3, 3)])
 def test_online_is_batch(spark, sf, tmp_path, detector):
     rows = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "user_id", "value").filter("event_id < 300")
     for i in range(3):
