@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,12 +43,20 @@ PARENTS, CHILDREN = 32, 32
 CLASSES = PARENTS * CHILDREN
 END = b""
 EXACT = 96
-CHUNK_BYTES = 8_000_000
+CHUNK_BYTES = 16_000_000
 #: Discount and strength from the root down.
 DISCOUNT = (0.6, 0.7, 0.8)
 STRENGTH = (5.0, 2.0, 1.0)
 
 
+def _packed(x) -> bytes:
+    return zstandard.compress(pickle.dumps(x, 5), 3)
+
+
+def _unpacked(raw: bytes):
+    return pickle.loads(zstandard.decompress(raw))
+
+
 def words_of(text: str) -> list[bytes]:
     """Lower-cased A-Z, cut at ASCII white space (both are what bytes do)."""
     return text.encode("utf-8", "replace").lower().split()
@@ -82,7 +91,9 @@ class Chunk:
             words, pairs = self.members(b)
             local = np.full(len(self.words), -1, np.int32)
             local[words] = np.arange(len(words))
-            yield b, pickle.dumps((b"\n".join(self.words[i] for i in words), local[self.pairs[pairs] // CLASSES], (self.pairs[pairs] % CLASSES).astype(np.uint16), counts[pairs].astype(np.uint32)), 5)
+            # each word of the block has a pair, so codes rise by less than two words' worth
+            code = local[self.pairs[pairs] // CLASSES].astype(np.int64) * CLASSES + self.pairs[pairs] % CLASSES
+            yield b, _packed((b"\n".join(self.words[i] for i in words), np.diff(code, prepend=0).astype(np.uint16), counts[pairs].astype(np.uint32)))
 
     def members(self, b: int) -> tuple[np.ndarray, np.ndarray]:
         """Word numbers and pair numbers of a bucket, ascending."""
@@ -132,12 +143,12 @@ class Bucket:
         number: dict[bytes, int] = {}
         own, counts, self.parts = [], [], []
         for raw in blocks:
-            words, local, context, count = pickle.loads(raw)
-            names = words.split(b"\n") if words or len(local) else []
-            place = np.array([number.setdefault(w, len(number)) for w in names], np.int64)
-            own.append(place[local] * CLASSES + context)
+            words, steps, count = _unpacked(raw)
+            place = np.array([number.setdefault(w, len(number)) for w in words.split(b"\n")], np.int64)
+            code = np.cumsum(steps, dtype=np.int64)
+            own.append(place[code // CLASSES] * CLASSES + code % CLASSES)
             counts.append(count)
-            self.parts.append((len(local), place))
+            self.parts.append((len(code), place))
         pairs, inverse = np.unique(np.concatenate(own), return_inverse=True)
         self.inverse = inverse
         self.word, self.context = pairs // CLASSES, pairs % CLASSES
@@ -237,13 +248,25 @@ def scores(docs: DataFrame, train, sweeps: int = 3, burn_in: int = 1, samples: i
 
     sent = written(narrow.mapInArrow(cut, "chunk long, bucket int, data binary, state int"), "chunks", ("state",))
     blocks = sent.filter("state = 0").select("bucket", "chunk", "data")
-    dealt = blocks.repartition(buckets, "bucket").sortWithinPartitions("bucket", "chunk")
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (b,), rows in runs(batches, 1):
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([pickle.dumps(rows, 5)], pa.binary())], ["bucket", "blocks"])
+
+    # one row a bucket: the passes over buckets need no more shuffles
+    dealt = written(blocks.repartition(buckets, "bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(gather, "bucket int, blocks binary"), "buckets")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list]]:
+        for batch in batches:
+            for b, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                yield b, pickle.loads(raw.as_py())
+
     counted = "number int, c long, t long"
 
     def tally(total: dict | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             log_s = [stirling(d) for d in DISCOUNT] if total else []
-            for (b,), rows in runs(batches, 1):
+            for b, rows in each(batches):
                 own, rng = Bucket([r[1] for r in rows]), np.random.default_rng([seed, b])
                 for _ in range(sweeps if total else 0):
                     own.sweep(rng, total, log_s)
@@ -257,7 +280,7 @@ def scores(docs: DataFrame, train, sweeps: int = 3, burn_in: int = 1, samples: i
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         log_s = [stirling(d) for d in DISCOUNT]
-        for (b,), rows in runs(batches, 1):
+        for b, rows in each(batches):
             own, rng = Bucket([r[1] for r in rows]), np.random.default_rng([seed + 1, b])
             mean = np.zeros(len(own.c2))
             for i in range(burn_in + samples):
@@ -267,7 +290,7 @@ def scores(docs: DataFrame, train, sweeps: int = 3, burn_in: int = 1, samples: i
             logs = np.log10(mean)[own.inverse].astype(np.float32)
             at = 0
             for (chunk, _), (n, place) in zip(rows, own.parts):
-                data = pickle.dumps((own.count[place], logs[at : at + n]), 5)
+                data = _packed((own.count[place], logs[at : at + n]))
                 at += n
                 yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([b], pa.int32()), pa.array([data], pa.binary())], ["chunk", "bucket", "data"])
 
@@ -284,7 +307,7 @@ def scores(docs: DataFrame, train, sweeps: int = 3, burn_in: int = 1, samples: i
             count, log_p = np.zeros(len(own.words), np.int64), np.zeros(len(own.pairs))
             for b, data in rest:
                 words, pairs = own.members(b)
-                count[words], log_p[pairs] = pickle.loads(data)
+                count[words], log_p[pairs] = _unpacked(data)
             starts = np.r_[0, np.cumsum(own.lengths)[:-1]]
             base = np.log10((count + 0.5) / (n_train + 0.5 * (v + 1)))[own.tokens]
             known = (count > 0)[own.tokens].astype(np.int64)
