@@ -43,6 +43,11 @@ def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = (1, 2, 3)
     return out
 
 
+def offset(seed: int) -> float:
+    """The one random offset, in (0, 1)."""
+    return ((seed * 2654435761) % 2**32 + 0.5) / 2**32
+
+
 def mix(
     docs: DataFrame,
     weights: tuple[float, ...] = (1, 2, 3),
@@ -70,7 +75,7 @@ def mix(
 
     parts = max(1, sized.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
     # the hash spreads equal sizes; the row number tells repeated rows apart
-    keyed = sized.withColumn("h", F.xxhash64(F.lit(seed), F.col("doc_id")))
+    keyed = sized.withColumn("h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")).cast("binary")))
     order = [F.col("source").asc_nulls_last(), "size", "h", "row"]
     dealt = written(keyed.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "dealt")
     ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("part", "source").orderBy("size", "h", "row")))
@@ -80,7 +85,7 @@ def mix(
         .select(F.col("part").alias("b_part"), F.col("source").alias("b_source"), "before")
     )
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    u = F.lit(((seed * 2654435761) % 2**32 + 0.5) / 2**32)
+    u = F.lit(offset(seed))
     at = F.col("rank") + F.col("before")
     joined = ranked.join(before, (F.col("part") == F.col("b_part")) & F.col("source").eqNullSafe(F.col("b_source")), "left")
     joined = joined.join(per_source, F.col("source").eqNullSafe(F.col("m_source")), "left")

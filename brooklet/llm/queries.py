@@ -59,4 +59,45 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality, op2_token_counts, op3_packing, op4_embeddings, op5_pii, op6_lm, op7_media, op8_mixing, op9_secrets, op10_ngram_join)}
-ORACLE_SQL: dict[str, str] = {}
+
+_WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+
+#: Rounds of the targets as the operator takes them, so that doubles agree to the last bit.
+OP8_SQL = f"""
+WITH RECURSIVE sized AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size FROM documents),
+sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS n, CAST((row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS w FROM sized GROUP BY source),
+rounds AS (
+    SELECT 0 AS i, source, n, w, true AS open, CAST(NULL AS DOUBLE) AS target, CAST(sum(n) OVER () AS DOUBLE) AS rest, true AS more FROM sources
+    UNION ALL
+    SELECT i + 1, source, n, w, open AND NOT over, CASE WHEN over THEN 3.0 * n ELSE target END, rest - coalesce(sum(CASE WHEN over THEN 3.0 * n END) OVER (), 0.0), bool_or(over) OVER ()
+    FROM (SELECT *, open AND rest * w / sum(CASE WHEN open THEN w END) OVER () > 3.0 * n AS over FROM rounds) WHERE more
+),
+done AS (SELECT source, n, CASE WHEN open THEN rest * w / sum(CASE WHEN open THEN w END) OVER () ELSE target END AS target FROM rounds WHERE i = (SELECT max(i) FROM rounds)),
+placed AS (
+    SELECT doc_id, size, n AS source_size, target, s.source, CASE WHEN n > 0 THEN target / n ELSE 0.0 END AS rate,
+        row_number() OVER (PARTITION BY s.source ORDER BY size, md5(concat_ws(':', '17', CAST(doc_id AS VARCHAR)))) AS r
+    FROM sized s JOIN done d ON s.source IS NOT DISTINCT FROM d.source
+)
+SELECT doc_id, size, source_size, target, (CAST(floor(rate * r + {mixing.offset(17)!r}) AS BIGINT) - CAST(floor(rate * (r - 1) + {mixing.offset(17)!r}) AS BIGINT)) * size AS taken, source,
+    CAST(floor(rate * r + {mixing.offset(17)!r}) AS BIGINT) - CAST(floor(rate * (r - 1) + {mixing.offset(17)!r}) AS BIGINT) AS copies
+FROM placed"""
+
+_GROUPS = """reach AS (SELECT id, id AS other FROM items UNION SELECT reach.id, b FROM reach JOIN links ON reach.other = a),
+counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)"""
+
+OP4_SQL = f"""
+WITH RECURSIVE items AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+links AS (SELECT x.id AS a, y.id AS b FROM items x, items y WHERE x.id <> y.id AND list_cosine_similarity(x.v, y.v) >= 0.9),
+{_GROUPS}
+SELECT id AS vec_id, CAST(coalesce(max(n), 0) AS BIGINT) AS n_links, min(other) AS component_id, id = min(other) AS kept FROM reach LEFT JOIN counted ON id = a GROUP BY id"""
+
+OP10_SQL = f"""
+WITH RECURSIVE items AS (SELECT doc_id AS id, {_WORDS} AS w FROM documents),
+shingles AS (SELECT DISTINCT id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS s FROM items),
+sizes AS (SELECT id, count(*) AS n FROM shingles GROUP BY id),
+shared AS (SELECT x.id AS a, y.id AS b, count(*) AS n FROM shingles x JOIN shingles y ON x.s = y.s AND x.id <> y.id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sizes x ON a = x.id JOIN sizes y ON b = y.id WHERE shared.n >= 0.8 * (x.n + y.n - shared.n)),
+{_GROUPS}
+SELECT id AS doc_id, CAST(coalesce(max(n), 0) AS BIGINT) AS n_links, min(other) AS component_id, id = min(other) AS kept FROM reach LEFT JOIN counted ON id = a GROUP BY id"""
+
+ORACLE_SQL = {"op4_embeddings": OP4_SQL, "op8_mixing": OP8_SQL, "op10_ngram_join": OP10_SQL}
