@@ -16,6 +16,9 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,10 +27,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brooklet.llm.common import WORD_RE, text_or_empty
+from brooklet.llm.common import text_or_empty
 
-CACHED_WORDS = 300_000
-CACHED_LENGTH = 40
+CACHED_CHARS = 10_000_000
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
@@ -83,28 +85,93 @@ def windows_of(sizes: list[int], capacity: int) -> list[list[int]]:
         k += max(1, k // 200)
 
 
+#: Units that the tokenizer never joins: words, less the plain punctuation that ends a word of plain letters.
+UNIT_RE = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+(?=[.,!?*#%&$]*(?:[\x20\x09-\x0D]|\Z))|[^\x20\x09-\x0D]+")
+
+
+def units(text: str) -> list[str]:
+    """The tokenizer lower-cases anyway; doing so before leaves fewer distinct units. Only
+    Latin-1 texts are lowered here: there, the order of lowering and NFC cannot matter."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return UNIT_RE.findall(text)
+    return UNIT_RE.findall(text.lower())
+
+
+class _Numbers(dict):
+    """Numbers of units in order of appearance; `fresh` lists those not learned yet."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, unit: str) -> int:
+        self[unit] = n = len(self)
+        self.fresh.append(unit)
+        return n
+
+
 class WordEncoder:
-    """Ids of whole texts from a tokenizer whose pre-tokenizer never joins over white
-    space: each distinct word is encoded once and remembered, within a bound."""
+    """Ids of whole texts from a lower-casing tokenizer whose pre-tokenizer splits at white
+    space and between letters and punctuation. Units not seen before are encoded
+    together, as one text, and told apart by the places of their tokens; ids stand in
+    one flat array. What is remembered is bounded and then dropped as a whole."""
 
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.cache: dict[str, np.ndarray] = {}
-
-    def _learn(self, words: list[str]) -> dict[str, np.ndarray]:
-        got = self.tokenizer.encode_batch(words, add_special_tokens=False)
-        return {w: np.array(e.ids, np.uint32) for w, e in zip(words, got)}
+        self.forget()
+
+    @classmethod
+    def of_process(cls, tokenizer_json: str) -> "WordEncoder":
+        """The encoder that this Python worker already has, from an earlier task."""
+        held = sys.modules.setdefault("_brooklet_worker", types.ModuleType("_brooklet_worker")).__dict__
+        name = f"encoder {hash(tokenizer_json)}"
+        if name not in held:
+            held[name] = cls(tokenizer_json)
+        return held[name]
+
+    def forget(self) -> None:
+        self.number = _Numbers()
+        self.chars = 0
+        self.flat = np.zeros(0, np.uint32)
+        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _learn(self, words: list[str]) -> None:
+        got = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+        places = np.array([o[0] for o in got.offsets], np.int64)
+        sizes = np.bincount(np.searchsorted(ends, places, "right"), minlength=len(words))
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.flat = np.concatenate([self.flat, np.array(got.ids, np.uint32)])
+        self.chars += int(ends[-1])
 
     def encode(self, texts: list[str], end_id: int) -> list[np.ndarray]:
-        split = [WORD_RE.findall(t) for t in texts]
-        if len(self.cache) > CACHED_WORDS:
-            self.cache.clear()
-        fresh = self._learn(list({w for words in split for w in words if w not in self.cache}))
-        self.cache.update((w, ids) for w, ids in fresh.items() if len(w) <= CACHED_LENGTH)
-        lookup, end = self.cache | {w: ids for w, ids in fresh.items() if len(w) > CACHED_LENGTH}, np.array([end_id], np.uint32)
-        return [np.concatenate([*map(lookup.__getitem__, words), end]) for words in split]
+        split = [units(t) for t in texts]
+        if self.chars > CACHED_CHARS:
+            self.forget()
+        find = self.number.__getitem__
+        numbers = [np.fromiter(map(find, words), np.int64, len(words)) for words in split]
+        if self.number.fresh:
+            try:
+                self._learn(self.number.fresh)
+            except BaseException:
+                self.forget()  # numbers without ids must not outlive this task
+                raise
+            self.number.fresh = []
+        out = []
+        for w in numbers:
+            sizes = self.sizes[w]
+            ends = np.cumsum(sizes)
+            n = int(ends[-1]) if len(w) else 0
+            ids = np.empty(n + 1, np.uint32)
+            ids[:n] = self.flat[np.arange(n) + np.repeat(self.starts[w] - ends + sizes, sizes)]
+            ids[n] = end_id
+            out.append(ids)
+        return out
 
 
 def pack(
@@ -126,7 +193,7 @@ def pack(
     kind = pa.schema([("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer_json)
+        encoder = WordEncoder.of_process(tokenizer_json)
         sequence = TaskContext.get().partitionId() << 33
         id_arrow = None
         held: list[tuple] = []  # pieces that wait for their shard
