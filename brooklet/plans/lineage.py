@@ -24,8 +24,9 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/brooklet-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*partition_by).option("compression", "zstd").parquet(path)
+    return spark.read.parquet(path) if partition_by else spark.read.schema(df.schema).parquet(path)
