@@ -1,43 +1,20 @@
-"""Shared plumbing: the cluster's shared folder, written cuts of lineage, word scanning."""
+"""Shared plumbing: word scanning, ids as text, tables, groups of sorted rows."""
 
 from __future__ import annotations
 
-import atexit
 import re
-import shutil
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brooklet.plans.lineage import shared_dir, written
+
+__all__ = ["WORD", "WORD_RE", "crc_mod", "read", "runs", "shared_dir", "text_or_empty", "written"]
+
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_RE = re.compile(WORD)
 
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where that is unset."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = tempfile.mkdtemp(prefix="brooklet-")
-        atexit.register(shutil.rmtree, _own[app], True)
-    return _own[app]
-
-
-def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: a cut of the lineage
-    that survives the loss of any executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/brooklet-{name}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
-
 
 def text_or_empty(column: str):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
