@@ -146,7 +146,7 @@ class SWKNN(Detector):
     def transform(self, s: Stream) -> DataFrame:
         pairs = window_pairs(s, self.window)
         d = F.when(F.col("b_idx").isNotNull(), _distance(s, self.metric, self.metric_params))
-        near = F.array_sort(F.collect_list(d))  # collect_list skips nulls; at most a window of values
+        near = F.sort_array(F.collect_list(d))  # collect_list skips nulls; at most a window of values
         ranked = pairs.groupBy("blk", *s.key, s.order).agg(near.alias("d"))
         kth = F.coalesce(F.get("d", self.k - 1), F.lit(INF))
         if self.k_is_max:

@@ -52,14 +52,18 @@ UNIT = "(SELECT event_id, round(value * 100) / 50000 AS u, (event_id * 7919 % 10
 FRAME = f"OVER (ORDER BY event_id ROWS {W - 1} PRECEDING)"
 
 
+#: Variances of whole numbers often end in a 5; engines that differ in the last bit would round it both ways.
+_OFF_TIES = 0.0012345
+
+
 def _stats_sql(frame: str, keep: str = "event_id") -> str:
     return f"""SELECT {keep}, count(*) {frame} AS "count", CAST(sum(cents) {frame} AS DOUBLE) AS cents_sum, round(avg(cents) {frame}, 6) AS cents_average,
-        CAST(sum(cents * cents) {frame} AS DOUBLE) AS cents_squares_sum, round(var_pop(cents) {frame}, 2) AS cents_variance,
+        CAST(sum(cents * cents) {frame} AS DOUBLE) AS cents_squares_sum, round(var_pop(cents) {frame} + {_OFF_TIES!r}, 2) AS cents_variance,
         CAST(min(cents) {frame} AS DOUBLE) AS cents_min, CAST(max(cents) {frame} AS DOUBLE) AS cents_max FROM {EV}"""
 
 
 def _stats(df: DataFrame, keep: list[str]) -> DataFrame:
-    return df.select(*keep, "count", "cents_sum", F.round("cents_average", 6).alias("cents_average"), "cents_squares_sum", F.round("cents_variance", 2).alias("cents_variance"), "cents_min", "cents_max")
+    return df.select(*keep, "count", "cents_sum", F.round("cents_average", 6).alias("cents_average"), "cents_squares_sum", F.round(F.col("cents_variance") + _OFF_TIES, 2).alias("cents_variance"), "cents_min", "cents_max")
 
 
 PLAIN = ["sum", "average", "squares_sum", "variance", "min", "max"]
@@ -300,17 +304,26 @@ def dbor_window_neighbors(spark, sf_dir):
     return det.SWDBOR(W, 500).neighbors(events(spark, sf_dir)).select("event_id", "neighbors")
 
 
-@query(f"SELECT event_id, CASE WHEN count(other) >= 5 THEN CAST(list_sort(list(d) FILTER (other IS NOT NULL))[5] AS DOUBLE) ELSE CAST('inf' AS DOUBLE) END AS score FROM {_NEAR} GROUP BY event_id")
+_FIFTH = f"SELECT event_id, CASE WHEN count(other) >= 5 THEN CAST(list_sort(list(d) FILTER (other IS NOT NULL))[5] AS DOUBLE) END AS score FROM {_NEAR} GROUP BY event_id"
+
+
+def marked(df: DataFrame, column: str = "score") -> DataFrame:
+    """NaN as -1 and infinity as -2, so that every engine prints them alike."""
+    c = F.col(column)
+    return df.withColumn(column, F.when(F.isnan(c), F.lit(-1.0)).when(c == vec.INF, F.lit(-2.0)).otherwise(c))
+
+
+@query(f"SELECT event_id, coalesce(score, -2.0) AS score FROM ({_FIFTH})")
 def swknn(spark, sf_dir):
-    return det.SWKNN(W, 5).transform(events(spark, sf_dir))
+    return marked(det.SWKNN(W, 5).transform(events(spark, sf_dir)))
 
 
 _NEAR_USER = "(SELECT a.event_id, a.user_id, b.event_id AS other, abs(a.cents - b.cents) AS d FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM {e}) a LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM {e}) b ON a.user_id = b.user_id AND b.i < a.i AND b.i > a.i - 20)".format(e=EV)
 
 
-@query(f"SELECT event_id, user_id, CASE WHEN count(other) >= 2 THEN CAST(list_sort(list(d) FILTER (other IS NOT NULL))[2] AS DOUBLE) ELSE CAST('inf' AS DOUBLE) END AS score FROM {_NEAR_USER} GROUP BY ALL")
+@query(f"SELECT event_id, user_id, CASE WHEN count(other) >= 2 THEN CAST(list_sort(list(d) FILTER (other IS NOT NULL))[2] AS DOUBLE) ELSE -2.0 END AS score FROM {_NEAR_USER} GROUP BY ALL")
 def swknn_by_user(spark, sf_dir):
-    return det.SWKNN(20, 2).transform(events(spark, sf_dir, key=["user_id"], dense=False))
+    return marked(det.SWKNN(20, 2).transform(events(spark, sf_dir, key=["user_id"], dense=False)))
 
 
 @query(f"SELECT event_id, CASE WHEN count(other) >= 1 THEN list_sort(list(d) FILTER (other IS NOT NULL))[1] ELSE -1 END AS d1, CASE WHEN count(other) >= 2 THEN list_sort(list(d) FILTER (other IS NOT NULL))[2] ELSE -1 END AS d2, CASE WHEN count(other) >= 3 THEN list_sort(list(d) FILTER (other IS NOT NULL))[3] ELSE -1 END AS d3 FROM {_NEAR} GROUP BY event_id")
@@ -404,14 +417,26 @@ def xstream(spark, sf_dir):
     return rounded(_CHAINS.transform(unit_events(spark, sf_dir)), ["event_id"]).filter(~F.isnan("score"))
 
 
-@query()
+def _lof_sql(w: int, k: int, simplified: bool) -> str:
+    reach = "q.kd" if simplified else "greatest(d.d, q.kd)"
+    return f"""WITH w AS (SELECT a.event_id AS n, b.event_id AS o, b.cents AS x FROM {EV} a JOIN {EV} b ON b.event_id BETWEEN a.event_id - {w - 1} AND a.event_id),
+    d AS (SELECT a.n, a.o, b.o AS p, abs(a.x - b.x) AS d FROM w a JOIN w b USING (n) WHERE a.o <> b.o),
+    kd AS (SELECT n, o, list_sort(list(d))[least({k}, count(*))] AS kd FROM d GROUP BY n, o),
+    sums AS (SELECT d.n, d.o, count(*) AS c, sum({reach}) AS s FROM d JOIN kd USING (n, o) JOIN kd q ON q.n = d.n AND q.o = d.p WHERE d.d <= kd.kd GROUP BY d.n, d.o),
+    lrd AS (SELECT n, o, CASE WHEN s = 0 THEN CAST('inf' AS DOUBLE) ELSE c / CAST(s AS DOUBLE) END AS lrd FROM sums),
+    lof AS (SELECT d.n, count(*) AS c, sum(isinf(q.lrd)::INT) AS i, sum(q.lrd) AS s FROM d JOIN kd USING (n, o) JOIN lrd q ON q.n = d.n AND q.o = d.p WHERE d.o = d.n AND d.d <= kd.kd GROUP BY d.n)
+    SELECT e.event_id, CASE WHEN lof.n IS NULL THEN 0.0 WHEN isinf(lrd.lrd) THEN CASE WHEN i > 0 THEN -1.0 ELSE 0.0 END WHEN i > 0 THEN -2.0 ELSE round(lof.s / (lof.c * lrd.lrd), 6) END AS score
+    FROM events e LEFT JOIN lof ON lof.n = e.event_id LEFT JOIN lrd ON lrd.n = e.event_id AND lrd.o = e.event_id"""
+
+
+@query(_lof_sql(50, 5, False))
 def swlof(spark, sf_dir):
-    return rounded(ker.SWLOF(50, 5).transform(events(spark, sf_dir)), ["event_id"])
+    return rounded(marked(ker.SWLOF(50, 5).transform(events(spark, sf_dir))), ["event_id"])
 
 
-@query()
+@query(_lof_sql(50, 5, True))
 def swlof_simplified(spark, sf_dir):
-    return rounded(ker.SWLOF(50, 5, simplified=True).transform(events(spark, sf_dir)), ["event_id"])
+    return rounded(marked(ker.SWLOF(50, 5, simplified=True).transform(events(spark, sf_dir))), ["event_id"])
 
 
 @query()
@@ -434,9 +459,9 @@ def sdostream(spark, sf_dir):
     return rounded(ker.SDOstream(40, 500, seed=1, return_sampling=True).transform(events(spark, sf_dir)), ["event_id"])
 
 
-@query(f"SELECT event_id, score FROM ({ORACLE_SQL['swknn']}) ORDER BY score DESC, event_id LIMIT 10")
+@query(f"SELECT event_id, coalesce(f.score, -2.0) AS score FROM ({_FIFTH}) f ORDER BY f.score DESC NULLS FIRST, event_id LIMIT 10")
 def top10_outliers(spark, sf_dir):
-    return simjoin.top_outliers(swknn(spark, sf_dir), "event_id", 10)
+    return marked(simjoin.top_outliers(det.SWKNN(W, 5).transform(events(spark, sf_dir)), "event_id", 10))
 
 
 def flagship(spark, sf_dir):
