@@ -43,7 +43,7 @@ PARENTS, CHILDREN = 32, 32
 CLASSES = PARENTS * CHILDREN
 END = b""
 EXACT = 96
-CHUNK_BYTES = 16_000_000
+CHUNK_BYTES = 12_000_000
 #: Discount and strength from the root down.
 DISCOUNT = (0.6, 0.7, 0.8)
 STRENGTH = (5.0, 2.0, 1.0)
@@ -79,17 +79,24 @@ class Chunk:
         self.words = list(known)
         self.lengths = np.array([len(e) + 1 for e in each], np.int64)
         self.tokens = np.concatenate([x for e in each for x in (e, np.zeros(1, np.int32))]) if each else np.zeros(0, np.int32)
+        del each
         classes = np.array([class_of(w) for w in self.words], np.int64)
         before = np.r_[0, self.tokens[:-1]].astype(np.int64)  # what stands before a text is the end of another
-        self.pairs, self.pair_of = np.unique(self.tokens.astype(np.int64) * CLASSES + classes[before], return_inverse=True)
-        self.bucket = np.array([zlib.crc32(w) % buckets for w in self.words], np.int64)
+        self.pairs, pair_of = np.unique(self.tokens.astype(np.int64) * CLASSES + classes[before], return_inverse=True)
+        self.pair_of = pair_of.astype(np.int32)
+        del before, pair_of
+        bucket = np.array([zlib.crc32(w) % buckets for w in self.words], np.int32)
+        self.order = []  # word numbers by bucket, pair numbers by bucket, and where buckets begin
+        for of in (bucket, bucket[self.pairs // CLASSES]):
+            order = np.argsort(of, kind="stable")
+            self.order.append((order, np.searchsorted(of[order], np.arange(buckets + 1))))
 
     def blocks(self, train: np.ndarray) -> Iterator[tuple[int, bytes]]:
         """(bucket, block): words, and for each pair its word, context and training count."""
         counts = np.bincount(self.pair_of, np.repeat(train, self.lengths), len(self.pairs)).astype(np.int64)
-        for b in np.unique(self.bucket).tolist():
+        local = np.zeros(len(self.words), np.int32)
+        for b in np.flatnonzero(np.diff(self.order[0][1])).tolist():
             words, pairs = self.members(b)
-            local = np.full(len(self.words), -1, np.int32)
             local[words] = np.arange(len(words))
             # each word of the block has a pair, so codes rise by less than two words' worth
             code = local[self.pairs[pairs] // CLASSES].astype(np.int64) * CLASSES + self.pairs[pairs] % CLASSES
@@ -97,7 +104,7 @@ class Chunk:
 
     def members(self, b: int) -> tuple[np.ndarray, np.ndarray]:
         """Word numbers and pair numbers of a bucket, ascending."""
-        return np.flatnonzero(self.bucket == b), np.flatnonzero(self.bucket[self.pairs // CLASSES] == b)
+        return tuple(order[at[b] : at[b + 1]] for order, at in self.order)
 
 
 def stirling(d: float, most: int = EXACT) -> np.ndarray:
@@ -295,7 +302,7 @@ def scores(docs: DataFrame, train, sweeps: int = 3, burn_in: int = 1, samples: i
                 yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([b], pa.int32()), pa.array([data], pa.binary())], ["chunk", "bucket", "data"])
 
     answers = dealt.mapInArrow(answer, "chunk long, bucket int, data binary")
-    meet = answers.unionByName(sent.filter("state = 1").select("chunk", "bucket", "data")).repartition(parts, "chunk").sortWithinPartitions("chunk", "bucket")
+    meet = answers.unionByName(sent.filter("state = 1").select("chunk", "bucket", "data")).repartition(4 * parts, "chunk").sortWithinPartitions("chunk", "bucket")
     n_train, v = total["n"], total["v"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
