@@ -15,6 +15,7 @@ Null and empty texts have no spans. Places are code points, ends exclusive.
 
 from __future__ import annotations
 
+import random
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -137,7 +138,7 @@ class Tagger:
 
     def _back(self, s: dict, grad: np.ndarray, d: str, out: dict) -> None:
         h, rec = self.h, self.p[f"re{d}"]
-        d_in, d_rec = np.zeros_like(self.p[f"in{d}"]), np.zeros_like(rec)
+        das = np.empty_like(s["g"])
         dh, dc = np.zeros_like(grad[0]), np.zeros_like(grad[0])
         for t in range(len(grad) - 1, -1, -1):
             g, tc = s["g"][t], np.tanh(s["c"][t + 1])
@@ -145,10 +146,11 @@ class Tagger:
             dh = dh + grad[t]
             dc = dc + dh * o * (1 - tc * tc)
             da = np.concatenate([dc * z * i * (1 - i), dc * s["c"][t] * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - z * z)], 1)
-            np.add.at(d_in, s["x"][t], da)
-            d_rec += s["h"][t].T @ da
+            das[t] = da
             dh, dc = da @ rec.T, dc * f
-        out[f"in{d}"], out[f"re{d}"] = d_in, d_rec
+        flat = das.reshape(-1, 4 * h)
+        out[f"in{d}"] = (np.arange(N_CODES)[:, None] == s["x"].ravel()).astype(np.float64) @ flat
+        out[f"re{d}"] = s["h"][:-1].reshape(-1, h).T @ flat
 
     def emissions(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict, dict]:
         """x: (batch, time). Scores (time, batch, labels), states, and what _back needs."""
@@ -225,10 +227,11 @@ class Tagger:
 
 def training_windows(n: int = 1600, width: int = 64, seed: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """Synthetic windows with labelled spans, and look-alikes that are none."""
-    rng = np.random.default_rng(seed)
-    pick = lambda *xs: xs[rng.integers(len(xs))]
-    number = lambda k: "".join(map(str, rng.integers(0, 10, k)))
-    letters = lambda a, b: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(a, b)))
+    rng = random.Random(seed)
+    pick = lambda *xs: rng.choice(xs)
+    number = lambda k: "".join(rng.choices("0123456789", k=k))
+    letters = lambda a, b: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(a, b)))
+    hexes = lambda k: "".join(rng.choices("0123456789abcdef", k=k))
 
     def card() -> str:
         d = pick("4", "5", "37", "6011") + number(11)
@@ -237,11 +240,11 @@ def training_windows(n: int = 1600, width: int = 64, seed: int = 4) -> tuple[np.
         return pick("", "", " ", "-", ".").join(d[i : i + 4] for i in range(0, 16, 4))
 
     def spans() -> tuple[str, int]:
-        kind = int(rng.integers(4))
+        kind = rng.randrange(4)
         if kind == 0:
             return letters(2, 9) + pick("", ".", "_", "+") + pick("", number(2), letters(2, 6)) + pick("@", "@", " @ ") + letters(3, 8) + pick("", number(1)) + "." + pick("", "example.") + pick("com", "org", "net", "de"), 0
         if kind == 1:
-            return pick(".", ".", ".", " . "[1:2]).join(str(rng.integers(0, 256)) for _ in range(4)), 1
+            return ".".join(str(rng.randrange(256)) for _ in range(4)), 1
         if kind == 2:
             return card(), 2
         return pick(f"+1 ({number(3)}) {number(3)}-{number(4)}", f"({number(3)}) {number(3)}-{number(4)}", f"{number(3)}-{number(3)}-{number(4)}", f"+{number(2)} {number(2)} {number(4)} {number(4)}", f"+{number(11)}", f"{number(3)} {number(3)} {number(4)}"), 3
@@ -249,8 +252,8 @@ def training_windows(n: int = 1600, width: int = 64, seed: int = 4) -> tuple[np.
     def other() -> str:
         return pick(
             letters(1, 10), letters(2, 7), letters(3, 12).capitalize() + ".", letters(2, 6) + ",", "ö" + letters(1, 5) + "é", letters(2, 9),
-            pick(f"{number(1)}.0.", f"{number(1)}.{number(1)}", f"v{number(1)}.{number(1)}.{number(2)}", number(int(rng.integers(1, 7))), f"20{number(2)}-0{number(1)}-1{number(1)}", "AKIA" + number(4) + letters(6, 12).upper(),
-                 "password=" + "".join(rng.choice(list("0123456789abcdef"), 18)), "".join(rng.choice(list("0123456789abcdef"), 40)), "@" + letters(3, 8), number(9) + letters(1, 3), f"${number(3)},{number(3)}.{number(2)}", f"{number(2)}:{number(2)}"),
+            pick(f"{number(1)}.0.", f"{number(1)}.{number(1)}", f"v{number(1)}.{number(1)}.{number(2)}", number(rng.randrange(1, 7)), f"20{number(2)}-0{number(1)}-1{number(1)}", "AKIA" + number(4) + letters(6, 12).upper(),
+                 "password=" + hexes(18), hexes(40), "@" + letters(3, 8), number(9) + letters(1, 3), f"${number(3)},{number(3)}.{number(2)}", f"{number(2)}:{number(2)}"),
         )
 
     x, y = np.zeros((n, width), np.int16), np.zeros((n, width), np.int64)
@@ -265,7 +268,7 @@ def training_windows(n: int = 1600, width: int = 64, seed: int = 4) -> tuple[np.
                 own = [0] * len(s)
             gap = pick(" ", " ", " ", "\n", " (", ": ")
             text, labels = text + s + gap, labels + own + [0] * len(gap)
-        at = int(rng.integers(0, 20))
+        at = rng.randrange(20)
         cut = labels[at : at + width]
         if cut[0] and cut[0] % 2 == 0:  # a span that began before the window
             cut[0] -= 1
