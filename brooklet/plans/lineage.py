@@ -25,8 +25,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back."""
+    """Write df as Parquet in the shared folder and read it back. The table goes when the
+    application ends; results that were not written elsewhere by then go with it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/brooklet-{name}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     df.write.partitionBy(*partition_by).option("compression", "zstd").parquet(path)
     return spark.read.parquet(path) if partition_by else spark.read.schema(df.schema).parquet(path)
