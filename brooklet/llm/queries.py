@@ -100,4 +100,32 @@ links AS (SELECT a, b FROM shared JOIN sizes x ON a = x.id JOIN sizes y ON b = y
 {_GROUPS}
 SELECT id AS doc_id, CAST(coalesce(max(n), 0) AS BIGINT) AS n_links, min(other) AS component_id, id = min(other) AS kept FROM reach LEFT JOIN counted ON id = a GROUP BY id"""
 
-ORACLE_SQL = {"op4_embeddings": OP4_SQL, "op8_mixing": OP8_SQL, "op10_ngram_join": OP10_SQL}
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _op9_sql() -> str:
+    """Matches and the gaps between them give places; windows of candidates are unnested."""
+    patterns = dict(zip(secrets.KINDS, (secrets.ASSIGN, secrets.ACCESS, secrets.HEX, secrets.CANDIDATE)))
+    lists = " UNION ALL ".join(f"SELECT rid, '{k}' AS kind, {i} AS rank, regexp_extract_all(t, {_quoted(p)}) AS m, string_split_regex(t, {_quoted(p)}) AS g FROM docs WHERE regexp_matches(t, {_quoted(p)})" for i, (k, p) in enumerate(patterns.items()))
+    refused = " AND ".join(f"NOT regexp_matches(s, {_quoted(p)})" for p in ("^[^0-9]*$", "^[^A-Za-z]*$", *secrets.ALLOWED))
+    least = " ".join(f"WHEN regexp_matches(s, {_quoted(shape)}) THEN {bits}" for _, shape, bits in secrets.CLASSES)
+    w = secrets.WIDTH
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in secrets.KINDS[:3])
+    span = "kind || ':' || start || ':' || stop, ',' ORDER BY start, rank"
+    return f"""WITH docs AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS t FROM documents),
+    lists AS ({lists}),
+    hits AS (SELECT rid, kind, rank, i, m[i] AS s, CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM lists)),
+    base AS (SELECT rid, kind, rank, s, start, start + length(s) AS stop FROM hits WHERE CASE kind WHEN 'assign' THEN length(regexp_extract(s, {_quoted(secrets.ASSIGN)}, 2)) >= 6 WHEN 'access' THEN length(s) >= 20 ELSE kind = 'hex' END),
+    candidates AS (SELECT rid, i, s, start, CASE {least} END AS least FROM hits WHERE kind = 'entropy' AND {refused}),
+    letters AS (SELECT rid, i, least, o, substr(s, o + p, 1) AS c FROM (SELECT *, unnest(range(1, {w + 1})) AS p FROM (SELECT *, unnest(range(0, length(s) - {w - 1})) AS o FROM candidates))),
+    bits AS (SELECT rid, i, least, o, -sum(n / {w}.0 * log2(n / {w}.0)) AS h FROM (SELECT rid, i, least, o, c, count(*) AS n FROM letters GROUP BY ALL) GROUP BY ALL),
+    found AS (SELECT DISTINCT rid, i FROM bits WHERE h >= least - 1e-12),
+    spans AS (SELECT rid, kind, rank, start, stop FROM base UNION ALL SELECT c.rid, 'entropy', 3, c.start, c.start + length(c.s) FROM candidates c JOIN found USING (rid, i) WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = c.rid AND b.start < c.start + length(c.s) AND c.start < b.stop)),
+    joined AS (SELECT rid, {counts}, coalesce(string_agg({span}) FILTER (kind <> 'entropy'), '') AS base, string_agg({span}) AS spans FROM spans GROUP BY rid)
+    SELECT doc_id, {', '.join(f'CAST(coalesce(n_{k}, 0) AS BIGINT) AS n_{k}' for k in secrets.KINDS[:3])}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM docs LEFT JOIN joined USING (rid)"""
+
+
+ORACLE_SQL = {"op4_embeddings": OP4_SQL, "op9_secrets": _op9_sql(), "op8_mixing": OP8_SQL, "op10_ngram_join": OP10_SQL}
