@@ -439,12 +439,32 @@ def swlof_simplified(spark, sf_dir):
     return rounded(marked(ker.SWLOF(50, 5, simplified=True).transform(events(spark, sf_dir))), ["event_id"])
 
 
-@query()
+def _hbos_sql(source: str, dims: list[str], w: int, n_bins: int) -> str:
+    """Bins by recursion over the sorted window of each row and dimension."""
+    lists = " UNION ALL ".join(f"SELECT event_id AS n, {i} AS dim, CAST({d} AS DOUBLE) AS x, list_sort(list(CAST({d} AS DOUBLE)) OVER (ORDER BY event_id ROWS {w - 1} PRECEDING)) AS l FROM {source}" for i, d in enumerate(dims))
+    return f"""WITH RECURSIVE lists AS ({lists}),
+    wide AS (SELECT *, len(l) AS size, greatest(1, len(l) // {n_bins}) AS depth FROM lists WHERE l[1] <> l[len(l)]),
+    bins AS (
+        SELECT n, dim, x, l, size, depth, CAST(0 AS BIGINT) AS start, CAST(0 AS BIGINT) AS stop, l[1] AS low, l[1] AS high FROM wide
+        UNION ALL
+        SELECT n, dim, x, l, size, depth, stop, least(e, size), high, CASE WHEN e < size THEN (l[e] + l[e + 1]) / 2 ELSE l[size] END
+        FROM (SELECT *, CASE WHEN stop + depth < size AND l[stop + depth + 1] = l[stop + depth] THEN CAST(len(list_filter(l, lambda y: y <= l[stop + depth + 1])) AS BIGINT) ELSE stop + depth END AS e FROM bins WHERE stop < size)
+    ),
+    heights AS (SELECT n, dim, x, start, low, high, (stop - start) / (high - low) AS h FROM bins WHERE stop > start),
+    scores AS (SELECT n, dim, -log10(arg_max(h, start) FILTER (low <= x AND x <= high) / max(h)) AS s FROM heights GROUP BY n, dim)
+    SELECT e.event_id, round(coalesce(t, 0.0) + 0.0, 6) + 0.0 AS score FROM events e LEFT JOIN (SELECT n, sum(s) AS t FROM scores GROUP BY n) ON n = e.event_id"""
+
+
+@query(_hbos_sql(UNIT, ["u", "v"], W, 10))
 def hbos(spark, sf_dir):
     return rounded(ker.LODA(W).transform(unit_events(spark, sf_dir)), ["event_id"])
 
 
-@query()
+_SPARSE = projection.sparse_weights(4, 2, 1)
+_LINES = [" + ".join(f"({float(v)!r} * {f})" for v, f in zip(row, "uv") if v) for row in _SPARSE]
+
+
+@query(_hbos_sql(UNIT, _LINES, W, 10))
 def loda(spark, sf_dir):
     return rounded(ker.LODA(W, n_projections=4, seed=1).transform(unit_events(spark, sf_dir)), ["event_id"])
 
