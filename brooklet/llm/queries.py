@@ -102,6 +102,23 @@ SELECT id AS doc_id, CAST(coalesce(max(n), 0) AS BIGINT) AS n_links, min(other)
 
 
 
+#: The checksum steps through a table of 256 entries, built by its rule.
+OP7_SQL = """
+WITH docs AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS t, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+payloads AS (SELECT doc_id, rid, t, n, encode(t) || from_hex(repeat('00', CAST(CASE WHEN n = 0 THEN 64 ELSE (64 - n % 64) % 64 END AS BIGINT))) AS b FROM docs),
+listed AS (SELECT *, octet_length(b) AS size, list_transform(regexp_extract_all(hex(b), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS v FROM payloads),
+counts AS (SELECT rid, v, count(*) AS c FROM (SELECT rid, unnest(v) AS v FROM listed) GROUP BY ALL),
+features AS (SELECT rid, CAST(sum(v * c) AS BIGINT) AS s, CAST(sum(v * v * c) AS BIGINT) AS q, count(*) AS d, max(c) AS m FROM counts GROUP BY rid),
+steps AS (SELECT list(list_reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k) ORDER BY k) AS steps FROM (SELECT unnest(range(256)) AS k))
+SELECT doc_id, n AS n_bytes, size AS payload_bytes, sha256(b) AS payload_sha256,
+    xor(list_reduce(v[size - 63 : size], lambda c, x: xor(c >> 8, steps[xor(c, x) % 256 + 1]), 4294967295), 4294967295) AS tail_crc32,
+    size + octet_length(encode('P5' || chr(10) || '64 ' || (size // 64) || chr(10) || '255' || chr(10))) AS media_bytes,
+    sha256(encode('P5' || chr(10) || '64 ' || (size // 64) || chr(10) || '255' || chr(10)) || b) AS media_sha256,
+    '64x' || (size // 64) || ':' || s || ':' || q || ':' || d || ':' || m AS feature,
+    CASE WHEN regexp_matches(t, '[^\\x20\\x09-\\x0D]') THEN 1 ELSE 0 END AS position, n || ' bytes' AS caption
+FROM listed JOIN features USING (rid), steps"""
+
+
 def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
@@ -128,4 +145,4 @@ def _op9_sql() -> str:
     SELECT doc_id, {', '.join(f'CAST(coalesce(n_{k}, 0) AS BIGINT) AS n_{k}' for k in secrets.KINDS[:3])}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM docs LEFT JOIN joined USING (rid)"""
 
 
-ORACLE_SQL = {"op4_embeddings": OP4_SQL, "op9_secrets": _op9_sql(), "op8_mixing": OP8_SQL, "op10_ngram_join": OP10_SQL}
+ORACLE_SQL = {"op4_embeddings": OP4_SQL, "op7_media": OP7_SQL, "op9_secrets": _op9_sql(), "op8_mixing": OP8_SQL, "op10_ngram_join": OP10_SQL}
