@@ -37,7 +37,12 @@ class Detector:
     def transform(self, s: Stream) -> DataFrame:
         raise NotImplementedError
 
-    fit_predict = transform
+    def fit_predict(self, s: Stream) -> DataFrame:
+        return self.transform(s)
+
+    def fit(self, s: Stream, sink: str = "noop") -> None:
+        """Run over the stream for its effects on state alone; scores go nowhere."""
+        self.transform(s).write.format(sink).mode("overwrite").save()
 
     def window_rows(self, s: Stream, at: int | None = None) -> DataFrame:
         """The live rows after row `at` (the last by default), with expire_time."""

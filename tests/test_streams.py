@@ -270,6 +270,7 @@ def test_bad_values_raise(spark):
 def test_params(spark):
     d = det.SWKNN(10, 2)
     assert d.set_params(k=3).get_params()["k"] == 3 and d.k == 2
+    assert scores(d.fit_predict(stream(spark, X))) == scores(d.transform(stream(spark, X))) and d.fit(stream(spark, X)) is None
     with pytest.raises(ValueError):
         d.set_params(q=1)
 
