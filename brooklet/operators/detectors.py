@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brooklet.functions.vec import INF, NAN, ieee_div, metric_of
-from brooklet.operators.projection import hashed_weights, project
+from brooklet.operators.projection import hashed_weights, project, stream_hash, stream_hash_map
 from brooklet.plans.blocks import by_rows, by_time, overlap, rows_of
 from brooklet.plans.lineage import written
 from brooklet.sources.stream import Stream, ingest
@@ -340,9 +340,15 @@ class XStream(Detector):
         return ChainKernel(self, list(features))
 
     def projected(self, s: Stream) -> DataFrame:
+        """The stream's rows, projected, with their block. One map<string, double> column in
+        place of features may name other features in every row."""
         k = self.n_projections
-        outs = project([F.col(c) for c in _features(s)], hashed_weights(k, s.features))
-        return ingest(s).select(s.order, *s.key, F.floor(F.col("idx") / int(self.window)).cast("long").alias("blk"), *(c.alias(f"p{i}") for i, c in enumerate(outs)))
+        if len(s.features) == 1 and isinstance(s.df.schema[s.features[0]].dataType, T.MapType):
+            named = stream_hash_map(s.df.select(s.order, *s.key, s.features[0]), s.features[0], k)
+            df, outs = ingest(replace(s, df=named, features=[f"p{i}" for i in range(k)])), [F.col(f"x{i}") for i in range(k)]
+        else:
+            df, outs = ingest(s), project([F.col(c) for c in _features(s)], hashed_weights(k, s.features))
+        return df.select(s.order, *s.key, F.floor(F.col("idx") / int(self.window)).cast("long").alias("blk"), *(c.alias(f"p{i}") for i, c in enumerate(outs)))
 
     def transform(self, s: Stream, initial_sample: DataFrame | None = None) -> DataFrame:
         """initial_sample: feature rows whose ranges serve the first block instead of its own."""
@@ -352,8 +358,9 @@ class XStream(Detector):
         ranges = written(df.groupBy("blk", *key).agg(F.array(*lows).alias("low"), F.array(*highs).alias("high")), "ranges")
         first = ranges.filter("blk = 0")
         if initial_sample is not None:
-            outs = project([F.col(c).cast("double") for c in s.features], hashed_weights(k, s.features))
-            given = initial_sample.select(*(c.alias(f"p{i}") for i, c in enumerate(outs))).agg(F.array(*lows).alias("low"), F.array(*highs).alias("high"))
+            mapped = len(s.features) == 1 and isinstance(initial_sample.schema[s.features[0]].dataType, T.MapType)
+            sample = stream_hash_map(initial_sample, s.features[0], k) if mapped else stream_hash(initial_sample, s.features, k)
+            given = sample.agg(F.array(*lows).alias("low"), F.array(*highs).alias("high"))
             first = first.select("blk", *key).crossJoin(given)  # one row
         used = ranges.withColumn("blk", F.col("blk") + 1).unionByName(first).select(F.col("blk").alias("r_blk"), *(F.col(c).alias(f"r_key{i}") for i, c in enumerate(key)), "low", "high")
 

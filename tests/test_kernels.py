@@ -50,3 +50,13 @@ def test_time_axis_with_ties_and_late_rows(spark):
 def test_forest_kernel_is_one_block_of_batch(spark, random_rows):  # noqa: F811
     f, s = ker.SWRRCT(40, 3, seed=5), stream(spark, random_rows[:300], ("u", "v"))
     close(scores(ker.sequential(s, f)), scores(f.transform(s)))
+
+
+def test_chains_over_named_features(spark, random_rows):  # noqa: F811
+    x, s = det.XStream(90, 3, 2, 3, seed=1), stream(spark, random_rows, ("u", "v"))
+    named = s.df.selectExpr("seq", "map('u', u, 'v', v) AS m")
+    mapped = Stream(named, ["m"], "seq")
+    close(scores(x.transform(mapped)), scores(x.transform(s)))
+    close(scores(x.transform(mapped, initial_sample=named)), scores(x.transform(s, initial_sample=s.df)))
+    some = s.df.selectExpr("seq", "CASE WHEN seq < 300 THEN map('u', u) ELSE map('u', u, 'w', v) END AS m")
+    assert len(scores(x.transform(Stream(some, ["m"], "seq")))) == len(random_rows)
