@@ -42,7 +42,9 @@ HASHES = TREES * DEPTH
 TARGET = 0.9998
 #: Standard deviations of a signature's estimate below the threshold at which a pair still passes.
 SLACK = 4.0
-TILE = 256
+#: Rows of a tile of a large group, and the number of tiles that a candidate group of medium size
+#: is cut into at most, so that its verification spreads over tasks. (A prefix has one in each tree.)
+TILE, SMALL_TILE, SPREAD = 256, 64, 24
 
 
 def prefix_length(threshold: float, trees: int = TREES, depth: int = DEPTH, target: float = TARGET) -> int:
@@ -108,10 +110,10 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), text_or_empty(text_col)).mapInArrow(run, f"id {id_type}, key binary, sig binary")
 
 
-def _tiles(df: DataFrame, group: str, key: str, size: str, parts: int, keep: list[str]) -> DataFrame:
-    """Deal rows of groups to the tasks of all pairs of the group's tiles; a tile holds
-    TILE rows or so. A group of up to TILE rows is one tile."""
-    count = F.ceil(F.col(size) / TILE).cast("int")
+def _tiles(df: DataFrame, group: str, key: str, size: str, parts: int, keep: list[str], spread: int = 1) -> DataFrame:
+    """Deal rows of groups to the tasks of all pairs of the group's tiles. A tile holds TILE
+    rows or so; fewer, down to SMALL_TILE, as long as the group has no more than `spread` tiles."""
+    count = F.greatest(F.ceil(F.col(size) / TILE), F.least(F.ceil(F.col(size) / SMALL_TILE), F.lit(spread))).cast("int")
     dealt = df.withColumn("tiles", count).withColumn("tile", F.pmod(F.xxhash64(key), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     dealt = dealt.select(group, F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", *keep)
     return dealt.repartition(parts, group, "low", "high").sortWithinPartitions(group, "low", "high")
@@ -225,7 +227,7 @@ def verified(docs: DataFrame, classes: DataFrame, groups: DataFrame, threshold:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.binary()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.binary())], ["key", "linked", "b"])
 
-    dealt = _tiles(found, "root", "key", "size", parts, ["key", "n", "raw"])
+    dealt = _tiles(found, "root", "key", "size", parts, ["key", "n", "raw"], SPREAD)
     return dealt.mapInArrow(verify, "key binary, linked long, b binary")
 
 
