@@ -60,3 +60,14 @@ def test_chains_over_named_features(spark, random_rows):  # noqa: F811
     close(scores(x.transform(mapped, initial_sample=named)), scores(x.transform(s, initial_sample=s.df)))
     some = s.df.selectExpr("seq", "CASE WHEN seq < 300 THEN map('u', u) ELSE map('u', u, 'w', v) END AS m")
     assert len(scores(x.transform(Stream(some, ["m"], "seq")))) == len(random_rows)
+
+
+def test_window_view_on_a_time_axis(spark):
+    rows = [(i, k, float(t), t) for k in "ab" for i, t in enumerate((1, 2, 3, 5))]
+    df = spark.createDataFrame(rows, "seq long, k string, x double, t long")
+    d = det.SWKNN(2, 1)
+    for s in (Stream(df.filter("k = 'a'"), ["x"], "seq", time="t"), Stream(df, ["x"], "seq", time="t", key=["k"])):
+        n = max(1, 2 * len(s.key))
+        assert sorted(r.x0 for r in d.window_rows(s).collect()) == [5.0] * n
+        assert sorted(r.x0 for r in d.window_rows(s, at=2).collect()) == [2.0] * n + [3.0] * n
+        assert {r.expire_time for r in d.window_rows(s).collect()} == {7} and d.window_size(s) == n
