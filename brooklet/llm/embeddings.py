@@ -32,6 +32,8 @@ from brooklet.llm.common import runs, written
 from brooklet.llm.graph import LocalForest, class_table
 
 BLOCK_DIMENSIONS = 16
+#: Tiles that a small input is cut into at most, so that its work spreads over tasks.
+SPREAD = 8
 
 
 def rotation(d: int, seed: int = 3) -> np.ndarray:
@@ -93,7 +95,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, tile_rows: int =
 
     rows = written(vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>")).mapInArrow(prepare, f"id {id_type}, key binary, raw binary, dim int"), "vectors")
     classes = written(rows.filter("key is not null").groupBy("key").agg(F.min("id").alias("first_id"), F.count("*").alias("n"), F.max("raw").alias("raw"), F.max("dim").alias("dim")), "classes")
-    tiles = max(1, -(-classes.count() // tile_rows))
+    n = classes.count()
+    # tiles of tile_rows; of fewer, down to an eighth, as long as there are no more than SPREAD tiles
+    tiles = max(1, -(-n // tile_rows), min(-(-8 * n // tile_rows), SPREAD))
 
     # each class goes to the tasks of all pairs that hold its tile
     tile = F.pmod(F.xxhash64("key"), F.lit(tiles)).cast("int")
