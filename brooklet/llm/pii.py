@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brooklet.llm.common import text_or_empty
+from brooklet.llm.common import kept_by_worker, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -121,45 +121,51 @@ class Tagger:
             self.p[f"in{d}"][:, h : 2 * h] += 1.0  # forget gates begin open
         self.p |= {"out": rng.normal(0, 0.3, (2 * h, K)), "bias": np.zeros(K), "trans": np.zeros((K, K)), "first": np.zeros(K)}
 
-    def _direction(self, x: np.ndarray, d: str) -> dict:
-        """x: (time, batch) in the direction's order."""
-        steps, n = x.shape
+    def emissions(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict]:
+        """x: (batch, time). Scores (time, batch, labels), states, and what _back needs.
+
+        Both directions run in one loop; the second sees time reversed.
+        """
+        n, steps = x.shape
         h = self.h
-        hs, cs, gs = np.zeros((steps + 1, n, h)), np.zeros((steps + 1, n, h)), np.empty((steps, n, 4 * h))
-        table, rec = self.p[f"in{d}"], self.p[f"re{d}"]
+        both = np.stack([x.T, x.T[::-1]])
+        g = np.stack([self.p[f"in{d}"][own] for d, own in zip("fb", both)], 1)  # (time, direction, batch, gates)
+        rec = np.stack([self.p["ref"], self.p["reb"]])
+        hs, cs = np.zeros((steps + 1, 2, n, h)), np.zeros((steps + 1, 2, n, h))
         for t in range(steps):
-            g = table[x[t]] + hs[t] @ rec
-            g[:, : 3 * h] = _sigmoid(g[:, : 3 * h])
-            g[:, 3 * h :] = np.tanh(g[:, 3 * h :])
-            cs[t + 1] = g[:, h : 2 * h] * cs[t] + g[:, :h] * g[:, 3 * h :]
-            hs[t + 1] = g[:, 2 * h : 3 * h] * np.tanh(cs[t + 1])
-            gs[t] = g
-        return {"h": hs, "c": cs, "g": gs, "x": x}
-
-    def _back(self, s: dict, grad: np.ndarray, d: str, out: dict) -> None:
-        h, rec = self.h, self.p[f"re{d}"]
+            own = g[t]
+            own += hs[t] @ rec
+            own[..., : 3 * h] = _sigmoid(own[..., : 3 * h])
+            own[..., 3 * h :] = np.tanh(own[..., 3 * h :])
+            cs[t + 1] = own[..., h : 2 * h] * cs[t] + own[..., :h] * own[..., 3 * h :]
+            hs[t + 1] = own[..., 2 * h : 3 * h] * np.tanh(cs[t + 1])
+        states = np.concatenate([hs[1:, 0], hs[1:, 1][::-1]], 2)
+        return states @ self.p["out"] + self.p["bias"], states, {"h": hs, "c": cs, "g": g, "x": both, "rec": rec}
+
+    def _back(self, s: dict, ds: np.ndarray, out: dict) -> None:
+        """Gradients of both directions from those of the states (time, batch, 2 h)."""
+        h = self.h
+        grad = np.stack([ds[:, :, :h], ds[::-1, :, h:]], 1)
+        back = s["rec"].transpose(0, 2, 1)
         das = np.empty_like(s["g"])
         dh, dc = np.zeros_like(grad[0]), np.zeros_like(grad[0])
         for t in range(len(grad) - 1, -1, -1):
-            g, tc = s["g"][t], np.tanh(s["c"][t + 1])
-            i, f, o, z = g[:, :h], g[:, h : 2 * h], g[:, 2 * h : 3 * h], g[:, 3 * h :]
+            g, tc, da = s["g"][t], np.tanh(s["c"][t + 1]), das[t]
+            i, f, o, z = g[..., :h], g[..., h : 2 * h], g[..., 2 * h : 3 * h], g[..., 3 * h :]
             dh = dh + grad[t]
             dc = dc + dh * o * (1 - tc * tc)
-            da = np.concatenate([dc * z * i * (1 - i), dc * s["c"][t] * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - z * z)], 1)
-            das[t] = da
-            dh, dc = da @ rec.T, dc * f
-        flat = das.reshape(-1, 4 * h)
-        out[f"in{d}"] = (np.arange(N_CODES)[:, None] == s["x"].ravel()).astype(np.float64) @ flat
-        out[f"re{d}"] = s["h"][:-1].reshape(-1, h).T @ flat
-
-    def emissions(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict, dict]:
-        """x: (batch, time). Scores (time, batch, labels), states, and what _back needs."""
-        f, b = self._direction(x.T, "f"), self._direction(x.T[::-1], "b")
-        states = np.concatenate([f["h"][1:], b["h"][1:][::-1]], 2)
-        return states @ self.p["out"] + self.p["bias"], states, f, b
+            da[..., :h] = dc * z * i * (1 - i)
+            da[..., h : 2 * h] = dc * s["c"][t] * f * (1 - f)
+            da[..., 2 * h : 3 * h] = dh * tc * o * (1 - o)
+            da[..., 3 * h :] = dc * i * (1 - z * z)
+            dh, dc = da @ back, dc * f
+        for k, d in enumerate("fb"):
+            flat = das[:, k].reshape(-1, 4 * h)
+            out[f"in{d}"] = (np.arange(N_CODES)[:, None] == s["x"][k].ravel()).astype(np.float64) @ flat
+            out[f"re{d}"] = s["h"][:-1, k].reshape(-1, h).T @ flat
 
     def loss_gradient(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
-        e, states, f, b = self.emissions(x)
+        e, states, seen = self.emissions(x)
         steps, n, _ = e.shape
         trans = np.where(FORBIDDEN, -1e4, self.p["trans"])
         first = np.where([s.startswith("I-") for s in LABELS], -1e4, self.p["first"])
@@ -188,9 +194,7 @@ class Tagger:
             de[t, rows, yt[t]] -= 1
         np.subtract.at(d_trans, (yt[:-1].ravel(), yt[1:].ravel()), 1)
         g = {"trans": np.where(FORBIDDEN, 0, d_trans), "first": d_first, "bias": de.sum((0, 1)), "out": np.einsum("tnh,tnk->hk", states, de, optimize=True)}
-        ds = de @ self.p["out"].T
-        self._back(f, ds[:, :, : self.h], "f", g)
-        self._back(b, ds[::-1, :, self.h :], "b", g)
+        self._back(seen, de @ self.p["out"].T, g)
         return loss, {k: v / n for k, v in g.items()}
 
     def train(self, x: np.ndarray, y: np.ndarray, steps: int, batch: int = 96, rate: float = 0.02, seed: int = 6) -> "Tagger":
@@ -342,6 +346,7 @@ def detect(docs: DataFrame, tagger: Tagger | None = None, id_col: str = "doc_id"
     kind = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.string()), ("end", pa.int64()), ("text", pa.string()), ("base", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by_worker("pii")
         for batch in batches:
             for low in range(0, batch.num_rows, 1000):
                 texts = batch.column(1).slice(low, 1000).to_pylist()
@@ -367,6 +372,7 @@ def redact(docs: DataFrame, tagger: Tagger | None = None, text_col: str = "text"
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by_worker("pii")
         for batch in batches:
             for low in range(0, batch.num_rows, 1000):
                 part = batch.slice(low, 1000)

@@ -130,6 +130,26 @@ def test_model_learns_spans_it_has_not_seen():
     assert (got == y).mean() > 0.95 and (got == y)[y > 0].mean() > 0.9
 
 
+def test_gradients_are_those_of_the_loss():
+    tagger, (x, y) = pii.Tagger(5, 1), pii.training_windows(4, width=12, seed=3)
+    _, g = tagger.loss_gradient(x, y)
+    rng = np.random.default_rng(0)
+    for name, a in tagger.p.items():
+        for _ in range(6):
+            at = tuple(int(rng.integers(n)) for n in a.shape)
+            if name.startswith("in"):
+                at = (int(x.ravel()[rng.integers(x.size)]), at[1])
+            if name == "trans" and pii.FORBIDDEN[at] or name == "first" and pii.LABELS[at[0]].startswith("I-"):
+                continue
+            keep = a[at]
+            a[at] = keep + 1e-5
+            up = tagger.loss_gradient(x, y)[0]
+            a[at] = keep - 1e-5
+            down = tagger.loss_gradient(x, y)[0]
+            a[at] = keep
+            assert abs((up - down) / 2e-5 - g[name][at]) < 1e-5, (name, at)
+
+
 def test_windows_agree_with_the_whole_and_skipped_ones_are_empty():
     text = "word " * 100 + "call (415) 555-2671 or bob @ site.example.com " + "word " * 100
     spans = pii.find(pii.trained(), [text])[0][1]
