@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
+import sys
+import types
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brooklet.plans.lineage import shared_dir, written
 
-__all__ = ["WORD", "WORD_RE", "crc_mod", "read", "runs", "shared_dir", "text_or_empty", "written"]
+__all__ = ["WORD", "WORD_RE", "crc_mod", "kept_by_worker", "read", "runs", "shared_dir", "text_or_empty", "written"]
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -42,3 +44,12 @@ def runs(batches, n_keys: int):
             held.append(row[n_keys:])
     if held:
         yield key, held
+
+
+def kept_by_worker(owner: str) -> dict:
+    """What this Python worker keeps between tasks of one operator; what another operator
+    has left is dropped, so that caches never add up."""
+    held = sys.modules.setdefault("_brooklet_worker", types.ModuleType("_brooklet_worker"))
+    if getattr(held, "owner", None) != owner:
+        held.owner, held.store = owner, {}
+    return held.store

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brooklet.llm.common import runs, written
+from brooklet.llm.common import kept_by_worker, runs, written
 from brooklet.llm.graph import LocalForest, class_table
 
 BLOCK_DIMENSIONS = 16
@@ -107,6 +107,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, tile_rows: int =
     dealt = dealt.repartition(max(1, tiles * (tiles + 1) // 2), "dim", "low", "high").sortWithinPartitions("dim", "low", "high")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by_worker("embeddings")
         for (_, low, high), group in runs(batches, 3):
             first, second = [r for r in group if r[0] == low], [r for r in group if r[0] == high]
             a = units([r[3] for r in first])

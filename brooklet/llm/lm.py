@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brooklet.llm.common import runs, text_or_empty, written
+from brooklet.llm.common import kept_by_worker, runs, text_or_empty, written
 
 PARENTS, CHILDREN = 32, 32
 CLASSES = PARENTS * CHILDREN
@@ -226,6 +226,7 @@ def scores(docs: DataFrame, train, sweeps: int = 3, burn_in: int = 1, samples: i
     buckets = 2 * parts
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by_worker("lm")
         held: list[pa.RecordBatch] = []
         size, chunk = 0, TaskContext.get().partitionId() << 32
 
@@ -306,6 +307,7 @@ def scores(docs: DataFrame, train, sweeps: int = 3, burn_in: int = 1, samples: i
     n_train, v = total["n"], total["v"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by_worker("lm")
         for _, rows in runs(batches, 1):
             (first, state), rest = rows[0], rows[1:]
             assert first == -1

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brooklet.llm.common import text_or_empty
+from brooklet.llm.common import kept_by_worker, text_or_empty
 
 ROW = 64
 BLOCKS = frozenset("address article aside blockquote br div dl dt dd figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul figcaption title body".split())
@@ -105,6 +105,7 @@ def interleave(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
     id_type = pages.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by_worker("media")
         for batch in batches:
             for low in range(0, batch.num_rows, 500):
                 part = batch.slice(low, 500)
@@ -146,6 +147,7 @@ def store(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """ref, n_bytes and the stored media of each text (null: empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by_worker("media")
         for batch in batches:
             for low in range(0, batch.num_rows, 500):
                 raw = [t.encode("utf-8", "replace") for t in batch.column(0).slice(low, 500).to_pylist()]
@@ -161,6 +163,7 @@ def features(media: DataFrame) -> DataFrame:
     names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by_worker("media")
         for batch in batches:
             rows = []
             for form in batch.column(2).to_pylist():
@@ -190,6 +193,7 @@ def as_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         return f'<article><p>{escape(text)}</p><figure><img src="{reference(padded(raw), len(raw))}"><figcaption>{len(raw)} bytes</figcaption></figure></article>'
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by_worker("media")
         for batch in batches:
             for low in range(0, batch.num_rows, 500):
                 part = batch.slice(low, 500)

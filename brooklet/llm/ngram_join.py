@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brooklet.llm.common import WORD_RE, runs, text_or_empty, written
+from brooklet.llm.common import WORD_RE, kept_by_worker, runs, text_or_empty, written
 from brooklet.llm.graph import LocalForest, class_table, components
 
 WORDS = 5
@@ -57,7 +57,7 @@ def prefix_length(threshold: float, trees: int = TREES, depth: int = DEPTH, targ
 
 class _WordHashes(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 250_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word.encode("utf-8", "replace"))
         return h
@@ -98,7 +98,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _WordHashes()
+        known = kept_by_worker("ngrams").setdefault("words", _WordHashes())
         for batch in batches:
             keys, signatures = [], []
             for text in batch.column(1):
@@ -194,7 +194,7 @@ def verified(docs: DataFrame, classes: DataFrame, groups: DataFrame, threshold:
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(placed, F.col("id").eqNullSafe(F.col("first_id"))).select("key", "n", "root", "size", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _WordHashes()
+        known = kept_by_worker("ngrams").setdefault("words", _WordHashes())
         for batch in batches:
             for low in range(0, batch.num_rows, 500):
                 part = batch.slice(low, 500)
@@ -260,7 +260,7 @@ def keep_one(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", te
     fields = docs.schema.fields
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _WordHashes()
+        known = kept_by_worker("ngrams").setdefault("words", _WordHashes())
         for batch in batches:
             keys = [key_of(shingles(t.as_py() or "", known)) for t in batch.column(place)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], [*(f"c{i}" for i in range(n)), "k"])

@@ -17,8 +17,6 @@ from __future__ import annotations
 import heapq
 import json
 import re
-import sys
-import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brooklet.llm.common import text_or_empty
+from brooklet.llm.common import kept_by_worker, text_or_empty
 
 CACHED_CHARS = 10_000_000
 
@@ -127,11 +125,10 @@ class WordEncoder:
     @classmethod
     def of_process(cls, tokenizer_json: str) -> "WordEncoder":
         """The encoder that this Python worker already has, from an earlier task."""
-        held = sys.modules.setdefault("_brooklet_worker", types.ModuleType("_brooklet_worker")).__dict__
-        name = f"encoder {hash(tokenizer_json)}"
-        if name not in held:
-            held[name] = cls(tokenizer_json)
-        return held[name]
+        held = kept_by_worker(f"encoder {hash(tokenizer_json)}")
+        if not held:
+            held["encoder"] = cls(tokenizer_json)
+        return held["encoder"]
 
     def forget(self) -> None:
         self.number = _Numbers()

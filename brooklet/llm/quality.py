@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brooklet.llm.common import WORD_RE, crc_mod, text_or_empty
+from brooklet.llm.common import WORD_RE, crc_mod, kept_by_worker, text_or_empty
 
 THRESHOLD = 0.7
 FEATURES = (
@@ -163,6 +163,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000,
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(F.broadcast(chosen), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by_worker("quality")
         for batch in batches:
             stats = pa.array(matrix(batch.column(1).to_pylist()).tolist(), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), stats], ["id", "label", "stats"])
@@ -182,6 +183,7 @@ def score(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str =
     id_type = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by_worker("quality")
         for batch in batches:
             for low in range(0, batch.num_rows, 2000):
                 part = batch.slice(low, 2000)
@@ -195,6 +197,7 @@ def keep_good(docs: DataFrame, trees: Trees, threshold: float = THRESHOLD, text_
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by_worker("quality")
         for batch in batches:
             for low in range(0, batch.num_rows, 2000):
                 part = batch.slice(low, 2000)

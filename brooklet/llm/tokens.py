@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brooklet.llm.common import WORD_RE, text_or_empty
+from brooklet.llm.common import WORD_RE, kept_by_worker, text_or_empty
 
 MARK = "▁"
 #: Fixed value of the unigram tokenizer: what an unknown character costs below the lowest score.
@@ -97,7 +97,10 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     narrow = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = UnigramCounter(vocab)
+        held = kept_by_worker(f"pieces {model_path}")
+        if not held:
+            held["counter"] = UnigramCounter(vocab)
+        counter = held["counter"]
         for batch in batches:
             chars, words, tokens = [], [], []
             for text in batch.column(1).to_pylist():
