@@ -1,19 +1,25 @@
-"""LM scoring: a hierarchical Pitman-Yor model over word classes, sampled by Gibbs.
+"""LM scoring: a hierarchical Pitman-Yor model over preceding words, sampled by Gibbs.
 
-The next word is drawn in the restaurant of its context: the ending of the word before
-(two letters, hashed to CLASSES), whose parent is a coarser class (PARENTS of them share
-the root), whose parent serves all words; the root's base is uniform over the training
-vocabulary and one unknown word. A context's table counts are its parent's customers.
+The next word is drawn in the restaurant of the word before it. Its parent is the class
+of that word (its ending: two letters, hashed to CLASSES), whose parent is a coarser class
+(PARENTS of them share the root), whose parent serves all words; the root's base is uniform
+over the training vocabulary and one unknown word. A context's table counts are its
+parent's customers. There is a restaurant for every distinct preceding word, so contexts
+grow with the corpus; they are told apart by hashes of 64 bits.
 
-Everything a word needs sits in one bucket, so seating is sampled bucket by bucket:
+All pairs of a word sit in one bucket, so seating is sampled bucket by bucket:
 
 1. `chunks` reads documents in chunks of bounded size and sends each bucket one block:
-   the chunk's words of that bucket and their counts per context.
-2. Buckets add up the blocks. A Gibbs pass resamples the number of tables of every
-   (context, word) given its parent's predictive probability, level by level. Only the
-   totals per context, a fixed number of them, are taken from the pass before.
-3. A last pass averages predictive probabilities over samples and answers each block;
-   chunks meet their answers and score their documents.
+   the chunk's words of that bucket and their counts per preceding word.
+2. Buckets add up the blocks to a state. A Gibbs pass resamples the number of tables of
+   every (context, word) given its parent's predictive probability, level by level, and
+   writes the state anew. Totals of a preceding word are summed over buckets by a shuffle
+   before each pass; those of the classes, a fixed number of them, come to the driver.
+   One customer always has one table, so the state has pairs of two customers or more,
+   and of the others only how many customers they send to each class.
+3. A last pass averages predictive probabilities over the sampled states, each with the
+   totals of its own pass, and answers each block; chunks meet their answers and score
+   their documents.
 
 The number of tables t for c customers has conditional weight S_d(c, t) a^t, with
 generalised Stirling numbers S_d and a = (strength + d T) P_parent(word). It is drawn
@@ -32,12 +38,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brooklet.llm.common import kept_by_worker, runs, text_or_empty, written
+from brooklet.plans.lineage import dropped
 
 PARENTS, CHILDREN = 32, 32
 CLASSES = PARENTS * CHILDREN
@@ -45,8 +53,8 @@ END = b""
 EXACT = 96
 CHUNK_BYTES = 12_000_000
 #: Discount and strength from the root down.
-DISCOUNT = (0.6, 0.7, 0.8)
-STRENGTH = (5.0, 2.0, 1.0)
+DISCOUNT = (0.6, 0.7, 0.8, 0.8)
+STRENGTH = (5.0, 2.0, 1.0, 1.0)
 
 
 def _packed(x) -> bytes:
@@ -66,8 +74,13 @@ def class_of(word: bytes) -> int:
     return zlib.crc32(word[-1:]) % PARENTS * CHILDREN + zlib.crc32(word[-2:]) % CHILDREN
 
 
+def keys_of(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes, by which words are told apart as contexts."""
+    return np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
+
+
 class Chunk:
-    """Tokens of some documents by local word numbers, and the distinct (word, context) pairs."""
+    """Tokens of some documents by local word numbers, and the distinct (word, word before) pairs."""
 
     def __init__(self, texts: list[str], buckets: int):
         known: dict[bytes, int] = {END: 0}
@@ -80,27 +93,31 @@ class Chunk:
         self.lengths = np.array([len(e) + 1 for e in each], np.int64)
         self.tokens = np.concatenate([x for e in each for x in (e, np.zeros(1, np.int32))]) if each else np.zeros(0, np.int32)
         del each
-        classes = np.array([class_of(w) for w in self.words], np.int64)
         before = np.r_[0, self.tokens[:-1]].astype(np.int64)  # what stands before a text is the end of another
-        self.pairs, pair_of = np.unique(self.tokens.astype(np.int64) * CLASSES + classes[before], return_inverse=True)
+        self.pairs, pair_of = np.unique(self.tokens.astype(np.int64) * len(self.words) + before, return_inverse=True)
         self.pair_of = pair_of.astype(np.int32)
         del before, pair_of
         bucket = np.array([zlib.crc32(w) % buckets for w in self.words], np.int32)
         self.order = []  # word numbers by bucket, pair numbers by bucket, and where buckets begin
-        for of in (bucket, bucket[self.pairs // CLASSES]):
+        for of in (bucket, bucket[self.pairs // len(self.words)]):
             order = np.argsort(of, kind="stable")
             self.order.append((order, np.searchsorted(of[order], np.arange(buckets + 1))))
 
     def blocks(self, train: np.ndarray) -> Iterator[tuple[int, bytes]]:
-        """(bucket, block): words, and for each pair its word, context and training count."""
+        """(bucket, block): words, contexts, and for each pair its word, context and training count."""
         counts = np.bincount(self.pair_of, np.repeat(train, self.lengths), len(self.pairs)).astype(np.int64)
-        local = np.zeros(len(self.words), np.int32)
+        classes, keys = np.array([class_of(w) for w in self.words], np.uint16), keys_of(self.words)
+        local, number, here = np.zeros(len(self.words), np.int32), np.zeros(len(self.words), np.int32), np.zeros(len(self.words), bool)
         for b in np.flatnonzero(np.diff(self.order[0][1])).tolist():
             words, pairs = self.members(b)
             local[words] = np.arange(len(words))
-            # each word of the block has a pair, so codes rise by less than two words' worth
-            code = local[self.pairs[pairs] // CLASSES].astype(np.int64) * CLASSES + self.pairs[pairs] % CLASSES
-            yield b, _packed((b"\n".join(self.words[i] for i in words), np.diff(code, prepend=0).astype(np.uint16), counts[pairs].astype(np.uint32)))
+            word, before = np.divmod(self.pairs[pairs], len(self.words))
+            here[before] = True
+            own = np.flatnonzero(here)
+            here[own], number[own] = False, np.arange(len(own))
+            context = number[before]
+            each = np.bincount(local[word], minlength=len(words))  # pairs stand by word
+            yield b, _packed((b"\n".join(self.words[i] for i in words), keys[own], classes[own], each.astype(np.uint32), context.astype(np.uint16 if len(own) < 65536 else np.uint32), counts[pairs].astype(np.uint32)))
 
     def members(self, b: int) -> tuple[np.ndarray, np.ndarray]:
         """Word numbers and pair numbers of a bucket, ascending."""
@@ -144,62 +161,192 @@ def seat(rng: np.random.Generator, c: np.ndarray, a: np.ndarray, d: float, log_s
 
 
 class Bucket:
-    """The restaurants of the words of one bucket."""
+    """The restaurants of the words of one bucket; level 3 has the contexts by preceding word."""
 
     def __init__(self, blocks: list[bytes]):
         number: dict[bytes, int] = {}
-        own, counts, self.parts = [], [], []
-        for raw in blocks:
-            words, steps, count = _unpacked(raw)
+        read = [_unpacked(raw) for raw in blocks]
+        keys, first, place_of = np.unique(np.concatenate([r[1] for r in read]), return_index=True, return_inverse=True)
+        classes = np.concatenate([r[2] for r in read])[first]
+        order = np.argsort(classes, kind="stable")  # contexts stand by class, so that pairs do
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.keys, self.classes = keys[order], classes[order].astype(np.int64)
+        own, counts, self.parts, at = [], [], [], 0
+        for words, block_keys, _, each, context, count in read:
             place = np.array([number.setdefault(w, len(number)) for w in words.split(b"\n")], np.int64)
-            code = np.cumsum(steps, dtype=np.int64)
-            own.append(place[code // CLASSES] * CLASSES + code % CLASSES)
+            known = rank[place_of[at : at + len(block_keys)]]
+            at += len(block_keys)
+            own.append(np.repeat(place, each) * len(keys) + known[context])
             counts.append(count)
-            self.parts.append((len(code), place))
-        pairs, inverse = np.unique(np.concatenate(own), return_inverse=True)
-        self.inverse = inverse
-        self.word, self.context = pairs // CLASSES, pairs % CLASSES
-        self.c2 = np.bincount(inverse, np.concatenate(counts), len(pairs)).astype(np.int64)
-        middle, self.up = np.unique(self.word * PARENTS + self.context // CHILDREN, return_inverse=True)
-        self.word1, self.context1 = middle // PARENTS, middle % PARENTS
-        self.n_words = len(number)
-        self.count = np.bincount(self.word, self.c2, self.n_words).astype(np.int64)  # of each word
+            self.parts.append((len(context), place))
+        pairs, self.inverse = np.unique(np.concatenate(own), return_inverse=True)
+        self.word3, self.context3 = np.divmod(pairs, len(keys))
+        self.c3 = np.bincount(self.inverse, np.concatenate(counts), len(pairs)).astype(np.int64)
+        self.word_keys = keys_of(list(number))
+        code = self.word3 * CLASSES + self.classes[self.context3]  # ascending
+        fresh = np.r_[True, code[1:] != code[:-1]]
+        self.up3 = np.cumsum(fresh) - 1
+        self.word2, self.context2 = np.divmod(code[fresh], CLASSES)
+        self.fixed2 = np.zeros(len(self.word2), np.int64)  # customers from pairs that are not listed
+        self.single = np.zeros(len(self.keys), np.int64)  # tables of each context, in all buckets, from pairs that are not listed
+        self.count = np.bincount(self.word3, self.c3, len(number)).astype(np.int64)  # of each word
+        self.samples: list[tuple[np.ndarray, ...]] = []
+        self.link()
         self.open()
 
+    def link(self) -> None:
+        """The parents of the classes."""
+        self.n_words = len(self.word_keys)
+        code = self.word2 * PARENTS + self.context2 // CHILDREN
+        fresh = np.r_[True, code[1:] != code[:-1]][: len(code)]
+        self.up2 = np.cumsum(fresh) - 1
+        self.word1, self.context1 = np.divmod(code[fresh], PARENTS)
+
+    def fed(self, level: int) -> np.ndarray:
+        """Customers of a level, from the tables below it."""
+        if level == 2:
+            return self.fixed2 + np.bincount(self.up3, self.t3, len(self.word2)).astype(np.int64)
+        return np.bincount(self.up2, self.t2, len(self.word1)).astype(np.int64) if level else np.bincount(self.word1, self.t1, self.n_words).astype(np.int64)
+
     def open(self) -> None:
         """One table for each dish that is served at all."""
+        self.t3 = np.minimum(self.c3, 1)
+        self.c2 = self.fed(2)
         self.t2 = np.minimum(self.c2, 1)
-        self.c1 = np.bincount(self.up, self.t2, len(self.word1)).astype(np.int64)
+        self.c1 = self.fed(1)
         self.t1 = np.minimum(self.c1, 1)
-        self.c0 = np.bincount(self.word1, self.t1, self.n_words).astype(np.int64)
+        self.c0 = self.fed(0)
         self.t0 = np.minimum(self.c0, 1)
 
+    def tables(self) -> tuple[np.ndarray, ...]:
+        return tuple(t.astype(np.uint32) for t in (self.t3, self.t2, self.t1, self.t0))
+
+    def seated(self, tables: tuple[np.ndarray, ...]) -> None:
+        self.t3, self.t2, self.t1, self.t0 = (t.astype(np.int64) for t in tables)
+        self.c2, self.c1, self.c0 = self.fed(2), self.fed(1), self.fed(0)
+
+    def whole(self, tables: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+        """Tables of a thin() bucket as those of this one, from which it came."""
+        out = []
+        self.open()
+        for had, own, few in zip((self.c3 > 1, self.c2 > 0, self.c1 > 0), (self.t3, self.t2, self.t1), tables):
+            own = own.copy()
+            own[had] = few
+            out.append(own)
+        return (*out, tables[3])
+
+    def thin(self) -> "Bucket":
+        """This bucket as it opens with the pairs of two customers or more, and the classes that are served."""
+        own = Bucket.__new__(Bucket)
+        listed, served = self.c3 > 1, self.c2 > 0
+        own.word_keys, own.count, own.samples = self.word_keys, self.count, []
+        own.word2, own.context2 = self.word2[served], self.context2[served]
+        own.fixed2 = np.bincount(self.up3, self.c3 == 1, len(self.word2)).astype(np.int64)[served]
+        own.up3, own.c3 = (np.cumsum(served) - 1)[self.up3[listed]], self.c3[listed]
+        used, own.context3 = np.unique(self.context3[listed], return_inverse=True)
+        own.keys = self.keys[used]
+        own.single = np.zeros(len(used), np.int64)
+        own.link()
+        own.open()
+        return own
+
+    def state(self) -> bytes:
+        each2, each3 = np.bincount(self.word2, minlength=self.n_words), np.bincount(self.up3, minlength=len(self.word2))
+        small = (x.astype(np.uint32) for x in (self.count, each2, self.fixed2, each3, self.context3, self.c3, self.single))
+        return _packed((self.word_keys, self.keys, self.context2.astype(np.uint16), *small, self.tables(), self.samples))
+
+    @classmethod
+    def of(cls, state: bytes) -> "Bucket":
+        own = cls.__new__(cls)
+        own.word_keys, own.keys, context2, *small, tables, own.samples = _unpacked(state)
+        own.context2 = context2.astype(np.int64)
+        own.count, each2, own.fixed2, each3, own.context3, own.c3, own.single = (x.astype(np.int64) for x in small)
+        own.word2, own.up3 = np.repeat(np.arange(len(each2)), each2), np.repeat(np.arange(len(each3)), each3)
+        own.link()
+        own.seated(tables)
+        return own
+
     def totals(self) -> list[tuple[int, int, int]]:
-        """(number of the total, customers, tables): contexts, then their parents, then the root, then words and tokens."""
+        """(number of the total, customers, tables): classes, then their parents, then the root, then words and tokens."""
         out = []
-        for shift, context, size, c, t in ((0, self.context, CLASSES, self.c2, self.t2), (CLASSES, self.context1, PARENTS, self.c1, self.t1)):
+        for shift, context, size, c, t in ((0, self.context2, CLASSES, self.c2, self.t2), (CLASSES, self.context1, PARENTS, self.c1, self.t1)):
             cs, ts = np.bincount(context, c, size).astype(np.int64), np.bincount(context, t, size).astype(np.int64)
             out += [(shift + int(i), int(cs[i]), int(ts[i])) for i in np.flatnonzero(cs)]
         return [*out, (CLASSES + PARENTS, int(self.c0.sum()), int(self.t0.sum())), (CLASSES + PARENTS + 1, int(self.count.sum()), int((self.count > 0).sum()))]
 
+    def own_totals(self, each: list[np.ndarray]) -> np.ndarray:
+        """For each context, sums over its pairs in this bucket."""
+        return np.stack([np.bincount(self.context3, x, len(self.keys)) for x in each]).astype(np.int64)
+
+    def asked(self, shards: int, each: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
+        """(shard, contexts and what this bucket has of them), for summed()."""
+        order, cuts = self._by_shard(shards)
+        own = self.own_totals(each)[:, order]
+        for g in np.flatnonzero(np.diff(cuts)).tolist():
+            yield g, _packed((self.keys[order[cuts[g] : cuts[g + 1]]], own[:, cuts[g] : cuts[g + 1]].astype(np.uint32)))
+
+    def met(self, shards: int, replies: list[bytes]) -> np.ndarray:
+        """What all buckets have of each context; replies stand by shard."""
+        order, _ = self._by_shard(shards)
+        if not len(order):
+            return np.zeros((2, 0), np.int64)
+        sums = np.concatenate([_unpacked(r) for r in replies], 1)
+        out = np.empty(sums.shape, np.int64)
+        out[:, order] = sums
+        return out
+
+    def _by_shard(self, shards: int) -> tuple[np.ndarray, np.ndarray]:
+        shard = (self.keys % np.uint64(shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        return order, np.searchsorted(shard[order], np.arange(shards + 1))
+
     def probabilities(self, total: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Predictive probability of each pair, of each (word, parent), of each word."""
-        (d0, d1, d2), (s0, s1, s2) = DISCOUNT, STRENGTH
+        """Predictive probability of each (word, class), of each (word, parent), of each word."""
+        (d0, d1, d2, _), (s0, s1, s2, _) = DISCOUNT, STRENGTH
         p0 = (self.c0 - d0 * self.t0 + (s0 + d0 * total["t0"]) / (total["v"] + 1)) / (s0 + total["c0"])
         p1 = (self.c1 - d1 * self.t1 + (s1 + d1 * total["t1"][self.context1]) * p0[self.word1]) / (s1 + total["c1"][self.context1])
-        p2 = (self.c2 - d2 * self.t2 + (s2 + d2 * total["t2"][self.context]) * p1[self.up]) / (s2 + total["c2"][self.context])
+        p2 = (self.c2 - d2 * self.t2 + (s2 + d2 * total["t2"][self.context2]) * p1[self.up2]) / (s2 + total["c2"][self.context2])
         return p2, p1, p0
 
+    def by_context(self, total: dict) -> tuple[np.ndarray | None, np.ndarray]:
+        """Customers and tables of each pair's context: the totals met, else (of a sole bucket) its own."""
+        c, t = (total["c3"], total["t3"]) if "t3" in total else self.own_totals([self.c3, self.t3])
+        return None if c is None else c[self.context3], t[self.context3]
+
+    def leaves(self, total: dict) -> np.ndarray:
+        """Predictive probability of each pair."""
+        d, s = DISCOUNT[3], STRENGTH[3]
+        c, t = self.by_context(total)
+        return (self.c3 - d * self.t3 + (s + d * t) * self.probabilities(total)[0][self.up3]) / (s + c)
+
     def sweep(self, rng: np.random.Generator, total: dict, log_s: list[np.ndarray]) -> None:
-        (d0, d1, d2), (s0, s1, s2) = DISCOUNT, STRENGTH
-        _, p1, p0 = self.probabilities(total)
-        self.t2 = seat(rng, self.c2, (s2 + d2 * total["t2"][self.context]) * p1[self.up], d2, log_s[2])
-        self.c1 = np.bincount(self.up, self.t2, len(self.word1)).astype(np.int64)
+        (d0, d1, d2, d3), (s0, s1, s2, s3) = DISCOUNT, STRENGTH
+        p2, p1, p0 = self.probabilities(total)
+        self.t3 = seat(rng, self.c3, (s3 + d3 * self.by_context(total)[1]) * p2[self.up3], d3, log_s[3])
+        self.c2 = self.fed(2)
+        self.t2 = seat(rng, self.c2, (s2 + d2 * total["t2"][self.context2]) * p1[self.up2], d2, log_s[2])
+        self.c1 = self.fed(1)
         self.t1 = seat(rng, self.c1, (s1 + d1 * total["t1"][self.context1]) * p0[self.word1], d1, log_s[1])
-        self.c0 = np.bincount(self.word1, self.t1, self.n_words).astype(np.int64)
+        self.c0 = self.fed(0)
         self.t0 = seat(rng, self.c0, np.full(self.n_words, (s0 + d0 * total["t0"]) / (total["v"] + 1)), d0, log_s[0])
 
 
+def summed(every: list[bytes], listed: list[bytes], to_all: bool, n: int) -> list[bytes]:
+    """Sums over the buckets of what they have of the contexts of a shard. every: customers and
+    single tables of all contexts (or nothing, if these are known); listed: tables of listed pairs in n seatings.
+    Answers every (customers, then all tables of each seating) or listed (single tables, then others)."""
+    every, listed = [_unpacked(raw) for raw in every], [_unpacked(raw) for raw in listed]
+    keys, place = np.unique(np.concatenate([r[0] for r in every + listed]), return_inverse=True)
+    cut = sum(len(r[0]) for r in every)
+    of_every, of_listed = place[:cut], place[cut:]
+    add = lambda at, read, i: np.bincount(at, np.concatenate([r[1][i] for r in read]), len(keys)) if read else np.zeros(len(keys))
+    single, tables = add(of_every, every, 1), [add(of_listed, listed, i) for i in range(n)]
+    sums = np.stack([add(of_every, every, 0), *(single + t for t in tables)] if to_all else [single, *tables]).astype(np.int64)
+    at, read = (of_every, every) if to_all else (of_listed, listed)
+    return [_packed(sums[:, own].astype(np.uint64)) for own in np.split(at, np.cumsum([len(r[0]) for r in read])[:-1])] if read else []
+
+
 def _collected(totals: DataFrame) -> dict:
     """Totals of all buckets: a fixed number of rows."""
     out = {k: np.zeros(n, np.float64) for k, n in (("c2", CLASSES), ("t2", CLASSES), ("c1", PARENTS), ("t1", PARENTS))} | {"c0": 0.0, "t0": 0.0, "n": 0, "v": 0}
@@ -255,54 +402,98 @@ def scores(docs: DataFrame, train, sweeps: int = 3, burn_in: int = 1, samples: i
             yield from send()
 
     sent = written(narrow.mapInArrow(cut, "chunk long, bucket int, data binary, state int"), "chunks", ("state",))
-    blocks = sent.filter("state = 0").select("bucket", "chunk", "data")
+    blocks = sent.filter("state = 0").select("bucket", F.lit(2).alias("kind"), F.col("chunk").alias("source"), "data")
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (b,), rows in runs(batches, 1):
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([pickle.dumps(rows, 5)], pa.binary())], ["bucket", "blocks"])
+    # rows of the passes. kind 0: a bucket's state; 1: what it has of the contexts of a shard, or an answer; 2: blocks; 3: totals of
+    # classes; 4: what it has of all contexts of a shard, once
+    row = "bucket int, kind int, source long, data binary"
 
-    # one row a bucket: the passes over buckets need no more shuffles
-    dealt = written(blocks.repartition(buckets, "bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(gather, "bucket int, blocks binary"), "buckets")
+    def sent_on(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int64(), pa.binary()))], ["bucket", "kind", "source", "data"])
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list]]:
-        for batch in batches:
-            for b, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                yield b, pickle.loads(raw.as_py())
+    def left(b: int, own: Bucket, each: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        yield sent_on([(b, 0, -1, own.state()), (b, 3, b, _packed(own.totals()))])
+        for g, data in own.asked(buckets, each):
+            yield sent_on([(g, 1, b, data)])
 
-    counted = "number int, c long, t long"
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (b,), rows in runs(batches, 1):
+            own = Bucket([r[2] for r in rows])
+            for g, data in own.asked(buckets, [own.c3, own.c3 == 1]):
+                yield sent_on([(g, 4, b, data)])
+            own = own.thin()
+            yield from left(b, own, [own.t3])
 
-    def tally(total: dict | None):
+    def reply(to_all: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            log_s = [stirling(d) for d in DISCOUNT] if total else []
-            for b, rows in each(batches):
-                own, rng = Bucket([r[1] for r in rows]), np.random.default_rng([seed, b])
-                for _ in range(sweeps if total else 0):
-                    own.sweep(rng, total, log_s)
-                n, c, t = zip(*own.totals())
-                yield pa.RecordBatch.from_arrays([pa.array(n, pa.int32()), pa.array(c, pa.int64()), pa.array(t, pa.int64())], ["number", "c", "t"])
+            for (g,), rows in runs(batches, 1):
+                every, listed = ([r for r in rows if r[0] == kind] for kind in (4, 1))
+                for (_, b, _), data in zip(every if to_all else listed, summed([r[2] for r in every], [r[2] for r in listed], to_all, samples if to_all else 1)):
+                    yield sent_on([(b, 1, g, data)])
 
         return run
 
-    opened = _collected(dealt.mapInArrow(tally(None), counted))
-    total = _collected(dealt.mapInArrow(tally(opened), counted))
+    def swept(total: dict, k: int, last: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            log_s = [stirling(d) for d in DISCOUNT]
+            for (b,), rows in runs(batches, 1):
+                own = Bucket.of(rows[0][2])
+                single, tables = own.met(buckets, [r[2] for r in rows[1:]])
+                own.single += single  # comes with the first answer only
+                own.sweep(np.random.default_rng([seed, k, b]), total | {"c3": None, "t3": own.single + tables}, log_s)
+                if k >= sweeps + burn_in:
+                    own.samples.append(own.tables())
+                yield from left(b, own, [x[0] for x in own.samples] if last else [own.t3])
+
+        return run
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind", "source")
+
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                n, c, t = zip(*_unpacked(raw))
+                yield pa.RecordBatch.from_arrays([pa.array(n, pa.int32()), pa.array(c, pa.int64()), pa.array(t, pa.int64())], ["number", "c", "t"])
+
+    def kept(rows: DataFrame) -> tuple[DataFrame, dict]:
+        """The written pass, and its totals of classes."""
+        table = written(rows, "seats", ("kind",)).select("bucket", "kind", "source", "data")
+        return table, _collected(table.filter("kind = 3").select("data").mapInArrow(numbers, "number int, c long, t long"))
+
+    first, total = kept(dealt(blocks).mapInArrow(opened, row))
+    table, asks = first, first.filter("kind in (1, 4)")
+    of_samples: list[dict] = []
+    passes = sweeps + burn_in + samples
+    for k in range(passes):
+        state = table.filter("kind = 0").unionByName(dealt(asks).mapInArrow(reply(False), row))
+        old = table
+        table, total = kept(dealt(state).mapInArrow(swept(total, k, k == passes - 1), row))
+        if old is not first:
+            dropped(old)
+        asks = table.filter("kind = 1")
+        if k >= sweeps + burn_in:
+            of_samples.append(total)
+    state = table.filter("kind = 0").unionByName(dealt(asks.unionByName(first.filter("kind = 4"))).mapInArrow(reply(True), row))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        log_s = [stirling(d) for d in DISCOUNT]
-        for b, rows in each(batches):
-            own, rng = Bucket([r[1] for r in rows]), np.random.default_rng([seed + 1, b])
-            mean = np.zeros(len(own.c2))
-            for i in range(burn_in + samples):
-                own.sweep(rng, total, log_s)
-                if i >= burn_in:
-                    mean += own.probabilities(total)[0] / samples
+        for (b,), rows in runs(batches, 1):
+            chunks = [(source, raw) for kind, source, raw in rows if kind == 2]
+            own = Bucket([raw for _, raw in chunks])
+            seatings = [own.whole(t) for t in Bucket.of(rows[0][2]).samples]
+            c, *each = own.met(buckets, [raw for kind, _, raw in rows if kind == 1])
+            mean = np.zeros(len(own.c3))
+            for tables, t, of in zip(seatings, each, of_samples):
+                own.seated(tables)
+                mean += own.leaves(of | {"c3": c, "t3": t}) / samples
             logs = np.log10(mean)[own.inverse].astype(np.float32)
             at = 0
-            for (chunk, _), (n, place) in zip(rows, own.parts):
+            for (chunk, _), (n, place) in zip(chunks, own.parts):
                 data = _packed((own.count[place], logs[at : at + n]))
                 at += n
                 yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([b], pa.int32()), pa.array([data], pa.binary())], ["chunk", "bucket", "data"])
 
-    answers = dealt.mapInArrow(answer, "chunk long, bucket int, data binary")
+    answers = dealt(state.unionByName(blocks)).mapInArrow(answer, "chunk long, bucket int, data binary")
     meet = answers.unionByName(sent.filter("state = 1").select("chunk", "bucket", "data")).repartition(4 * parts, "chunk").sortWithinPartitions("chunk", "bucket")
     n_train, v = total["n"], total["v"]
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import gc
+import re
 import shutil
 import tempfile
 import uuid
@@ -33,3 +35,14 @@ def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Dat
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     df.write.partitionBy(*partition_by).option("compression", "zstd").parquet(path)
     return spark.read.parquet(path) if partition_by else spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete a table of written() that nothing will read again, and let Spark's cleaner take
+    the shuffles that led to it."""
+    spark = df.sparkSession
+    for path in {re.match(r".*/brooklet-[^/]+-[0-9a-f]{32}(?=/)", f)[0] for f in df.inputFiles()}:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    gc.collect()
+    spark._jvm.System.gc()

@@ -90,3 +90,18 @@ def test_probabilities_nearly_sum_to_one():
         back = (lm.STRENGTH[1] + lm.DISCOUNT[1] * t["t1"][g]) / (lm.STRENGTH[1] + t["c1"][g])
         rest = 1 - p0[bucket.word1[own]].sum()
         assert p1[own].sum() + back * rest == pytest.approx(1, abs=1e-6)
+
+
+def test_contexts_are_preceding_words():
+    # bat and cat share their ending, and so their class; only the words themselves tell what follows
+    texts = ["bat one"] * 50 + ["cat two"] * 50
+    chunk = lm.Chunk(texts, 1)
+    bucket = lm.Bucket([dict(chunk.blocks(np.ones(len(texts))))[0]])
+    assert len(bucket.keys) == 5 and lm.class_of(b"bat") == lm.class_of(b"cat")
+
+
+def test_the_word_before_tells_what_follows(spark):
+    rows = [(i, "bat one" if i % 2 else "cat two") for i in range(400)] + [(1000, "bat one"), (1001, "bat two")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.score for r in lm.scores(docs, queries.F.col("doc_id") < 1000, chunk_bytes=500).filter("doc_id >= 1000").collect()}
+    assert got[1000] > got[1001] + 1
