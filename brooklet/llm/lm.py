@@ -15,6 +15,8 @@ All pairs of a word sit in one bucket, so seating is sampled bucket by bucket:
    every (context, word) given its parent's predictive probability, level by level, and
    writes the state anew. Totals of a preceding word are summed over buckets by a shuffle
    before each pass; those of the classes, a fixed number of them, come to the driver.
+   Passes go on until the totals of every level settle; random numbers are keyed by
+   word, context and pass, so results do not depend on buckets.
    One customer always has one table, so the state has pairs of two customers or more,
    and of the others only how many customers they send to each class.
 3. A last pass averages predictive probabilities over the sampled states, each with the
@@ -52,6 +54,8 @@ CLASSES = PARENTS * CHILDREN
 END = b""
 EXACT = 96
 CHUNK_BYTES = 12_000_000
+#: Share by which totals may still move from pass to pass when they count as settled.
+SETTLED = 0.01
 #: Discount and strength from the root down.
 DISCOUNT = (0.6, 0.7, 0.8, 0.8)
 STRENGTH = (5.0, 2.0, 1.0, 1.0)
@@ -135,8 +139,43 @@ def stirling(d: float, most: int = EXACT) -> np.ndarray:
     return out
 
 
-def seat(rng: np.random.Generator, c: np.ndarray, a: np.ndarray, d: float, log_s: np.ndarray) -> np.ndarray:
-    """Table counts for c customers each, given the weight a of a new table."""
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64 bits that scatters (splitmix64)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def uniform(keys: np.ndarray, step: int) -> np.ndarray:
+    """A number between 0 and 1 for each key and the step."""
+    salt = np.uint64((step + 1) * 0x9E3779B97F4A7C15 % 2**64)
+    return ((mixed(keys + salt) >> np.uint64(11)) + 0.5) * 2.0**-53
+
+
+def binomial(keys: np.ndarray, step: int, n: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Binomial numbers of the keys and the step, by inversion over parts of up to 256 trials."""
+    out = np.zeros(len(n), np.int64)
+    q, part = np.minimum(p, 1 - p), 0
+    rest, at = n.copy(), np.flatnonzero(n > 0)
+    own = mixed(keys + np.uint64(step))
+    while len(at):
+        m, r = np.minimum(rest[at], 256), q[at]
+        u, mass = uniform(own[at], part), (1 - r) ** m
+        x, below, open_ = np.zeros(len(at), np.int64), mass.copy(), np.arange(len(at))
+        while len(open_ := open_[(u[open_] > below[open_]) & (x[open_] < m[open_])]):
+            mass[open_] *= (m[open_] - x[open_]) / (x[open_] + 1) * r[open_] / (1 - r[open_])
+            x[open_] += 1
+            below[open_] += mass[open_]
+        out[at] += np.where(p[at] > 0.5, m - x, x)
+        rest[at] -= m
+        at, part = at[rest[at] > 0], part + 1
+    return out
+
+
+def seat(rng: np.random.Generator | None, c: np.ndarray, a: np.ndarray, d: float, log_s: np.ndarray, keys: np.ndarray | None = None) -> np.ndarray:
+    """Table counts for c customers each, given the weight a of a new table. Random numbers
+    are those of the keys, if there are any."""
+    step = 0
     t = np.minimum(c, 1).astype(np.int64)
     some = np.flatnonzero(c >= 2)
     order = some[np.argsort(c[some], kind="stable")]
@@ -147,13 +186,14 @@ def seat(rng: np.random.Generator, c: np.ndarray, a: np.ndarray, d: float, log_s
         for part in np.array_split(own, max(1, len(own) * k // 4_000_000 + 1)):
             w = log_s[k, 1 : k + 1] + np.log(a[part])[:, None] * np.arange(1, k + 1)
             w = np.exp(w - w.max(1, keepdims=True)).cumsum(1)
-            t[part] = 1 + (w < rng.random((len(part), 1)) * w[:, -1:]).sum(1)
+            u = rng.random(len(part)) if keys is None else uniform(keys[part], step)
+            t[part] = 1 + (w < u[:, None] * w[:, -1:]).sum(1)
     rest = np.flatnonzero(c > EXACT)
     n = np.full(len(rest), EXACT, np.int64)
     while len(rest):
         block = np.minimum(np.maximum(1, n // 32), c[rest] - n)
-        p = a[rest] / (a[rest] + n - d * t[rest])
-        t[rest] += rng.binomial(block, np.clip(p, 0, 1))
+        p, step = np.clip(a[rest] / (a[rest] + n - d * t[rest]), 0, 1), step + 1
+        t[rest] += rng.binomial(block, p) if keys is None else binomial(keys[rest], step, block, p)
         n = n + block
         more = n < c[rest]
         rest, n = rest[more], n[more]
@@ -320,16 +360,31 @@ class Bucket:
         c, t = self.by_context(total)
         return (self.c3 - d * self.t3 + (s + d * t) * self.probabilities(total)[0][self.up3]) / (s + c)
 
-    def sweep(self, rng: np.random.Generator, total: dict, log_s: list[np.ndarray]) -> None:
+    def sweep(self, rng: np.random.Generator | int, total: dict, log_s: list[np.ndarray]) -> None:
+        """rng: a generator, or the number from which keyed random numbers start."""
         (d0, d1, d2, d3), (s0, s1, s2, s3) = DISCOUNT, STRENGTH
         p2, p1, p0 = self.probabilities(total)
-        self.t3 = seat(rng, self.c3, (s3 + d3 * self.by_context(total)[1]) * p2[self.up3], d3, log_s[3])
+
+        def drawn(level: int, c: np.ndarray, a: np.ndarray, word: np.ndarray, context: np.ndarray) -> np.ndarray:
+            if not isinstance(rng, int):
+                return seat(rng, c, a, DISCOUNT[level], log_s[level])
+            start = np.uint64((rng * 4 + level) * 0xD1B54A32D192ED03 % 2**64)
+            return seat(None, c, a, DISCOUNT[level], log_s[level], mixed(self.word_keys[word] + mixed(context.astype(np.uint64) ^ start)))
+
+        self.t3 = drawn(3, self.c3, (s3 + d3 * self.by_context(total)[1]) * p2[self.up3], self.word2[self.up3], self.keys[self.context3])
         self.c2 = self.fed(2)
-        self.t2 = seat(rng, self.c2, (s2 + d2 * total["t2"][self.context2]) * p1[self.up2], d2, log_s[2])
+        self.t2 = drawn(2, self.c2, (s2 + d2 * total["t2"][self.context2]) * p1[self.up2], self.word2, self.context2)
         self.c1 = self.fed(1)
-        self.t1 = seat(rng, self.c1, (s1 + d1 * total["t1"][self.context1]) * p0[self.word1], d1, log_s[1])
+        self.t1 = drawn(1, self.c1, (s1 + d1 * total["t1"][self.context1]) * p0[self.word1], self.word1, self.context1)
         self.c0 = self.fed(0)
-        self.t0 = seat(rng, self.c0, np.full(self.n_words, (s0 + d0 * total["t0"]) / (total["v"] + 1)), d0, log_s[0])
+        words = np.arange(self.n_words)
+        self.t0 = drawn(0, self.c0, np.full(self.n_words, (s0 + d0 * total["t0"]) / (total["v"] + 1)), words, words * 0)
+
+
+def settled(old: dict, new: dict, share: float) -> bool:
+    """Whether no level's customers or tables moved by more than the share (or chance, where they are few)."""
+    now = {k: (float(np.sum(old[k])), float(np.sum(new[k]))) for k in ("c2", "t2", "c1", "t1", "c0", "t0")}
+    return all(abs(y - x) <= max(share * x, 3 * x**0.5) for x, y in now.values())
 
 
 def summed(every: list[bytes], listed: list[bytes], to_all: bool, n: int) -> list[bytes]:
@@ -366,6 +421,7 @@ def scores(docs: DataFrame, train, sweeps: int = 3, burn_in: int = 1, samples: i
     """doc_id, train, n_tokens, n_known, train_tokens, base_score, score, perplexity of every row.
 
     train: a condition (column) that says which rows the model learns from.
+    sweeps: Gibbs passes before the totals may count as settled.
     """
     id_type = docs.schema[id_col].dataType
     narrow = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
@@ -433,15 +489,15 @@ def scores(docs: DataFrame, train, sweeps: int = 3, burn_in: int = 1, samples: i
 
         return run
 
-    def swept(total: dict, k: int, last: bool):
+    def swept(total: dict, k: int, sampled: bool, last: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             log_s = [stirling(d) for d in DISCOUNT]
             for (b,), rows in runs(batches, 1):
                 own = Bucket.of(rows[0][2])
                 single, tables = own.met(buckets, [r[2] for r in rows[1:]])
                 own.single += single  # comes with the first answer only
-                own.sweep(np.random.default_rng([seed, k, b]), total | {"c3": None, "t3": own.single + tables}, log_s)
-                if k >= sweeps + burn_in:
+                own.sweep(seed << 20 | k, total | {"c3": None, "t3": own.single + tables}, log_s)
+                if sampled:
                     own.samples.append(own.tables())
                 yield from left(b, own, [x[0] for x in own.samples] if last else [own.t3])
 
@@ -464,16 +520,22 @@ def scores(docs: DataFrame, train, sweeps: int = 3, burn_in: int = 1, samples: i
     first, total = kept(dealt(blocks).mapInArrow(opened, row))
     table, asks = first, first.filter("kind in (1, 4)")
     of_samples: list[dict] = []
-    passes = sweeps + burn_in + samples
-    for k in range(passes):
+    k, more = 0, None  # more: passes to go, once the totals have settled
+    while more != 0:
+        sampled = more is not None and more <= samples
         state = table.filter("kind = 0").unionByName(dealt(asks).mapInArrow(reply(False), row))
-        old = table
-        table, total = kept(dealt(state).mapInArrow(swept(total, k, k == passes - 1), row))
+        old, before = table, total
+        table, total = kept(dealt(state).mapInArrow(swept(total, k, sampled, more == 1), row))
         if old is not first:
             dropped(old)
         asks = table.filter("kind = 1")
-        if k >= sweeps + burn_in:
+        if sampled:
             of_samples.append(total)
+        k += 1
+        if more is not None:
+            more -= 1
+        elif k >= sweeps and settled(before, total, SETTLED):
+            more = burn_in + samples
     state = table.filter("kind = 0").unionByName(dealt(asks.unionByName(first.filter("kind = 4"))).mapInArrow(reply(True), row))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -105,3 +105,25 @@ def test_the_word_before_tells_what_follows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {r.doc_id: r.score for r in lm.scores(docs, queries.F.col("doc_id") < 1000, chunk_bytes=500).filter("doc_id >= 1000").collect()}
     assert got[1000] > got[1001] + 1
+
+
+def test_scores_do_not_depend_on_buckets(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(200)
+    few, many = ({r.doc_id: r.score for r in lm.scores(docs.repartition(n, "doc_id"), queries.crc_mod("doc_id", 5) != 1).collect()} for n in (2, 7))
+    assert few == pytest.approx(many, rel=1e-5)
+
+
+def test_keyed_numbers_have_their_distributions():
+    keys = lm.mixed(np.arange(100_000, dtype=np.uint64))
+    for n, p in ((3, 0.2), (700, 0.9), (1000, 0.01)):
+        got = lm.binomial(keys, 1, np.full(len(keys), n), np.full(len(keys), p))
+        assert got.mean() == pytest.approx(n * p, rel=0.01) and got.var() == pytest.approx(n * p * (1 - p), rel=0.03) and got.max() <= n
+    log_s = lm.stirling(0.7)
+    draws = lm.seat(None, np.full(len(keys), 5), np.full(len(keys), 0.8), 0.7, log_s, keys)
+    want = np.exp(log_s[5, 1:6] + np.log(0.8) * np.arange(1, 6))
+    assert np.allclose(np.bincount(draws, minlength=6)[1:] / len(keys), want / want.sum(), atol=8e-3)
+
+
+def test_totals_settle_only_when_no_level_moves():
+    start = {k: np.full(2, 1e6) for k in ("c2", "t2", "c1", "t1", "c0", "t0")}
+    assert lm.settled(start, start, 0.01) and not lm.settled(start, start | {"c1": np.full(2, 1.05e6)}, 0.01)
