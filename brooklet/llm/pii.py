@@ -6,9 +6,11 @@ time overlapping windows are decoded by Viterbi and reconciled over the text: ea
 position takes its label from the window in which it lies most centrally, so a span
 may run over several windows.
 
-A span must hold a digit or an @ (all four kinds do), so a window without either is
-all O by definition and is not evaluated; no other window is skipped. Spans that the
-model adds must fit their kind (`fits`) and may not meet a base span.
+A span must hold a digit or an @ (all four kinds do), so decoding starts from the windows
+that give those characters their labels, and goes on to the next window wherever a label
+other than O stands at the border of one that is not decoded. Every span that holds a digit
+or an @ is so the span that decoding all windows finds. Spans that the model adds must fit
+their kind (`fits`) and may not meet a base span.
 
 Null and empty texts have no spans. Places are code points, ends exclusive.
 """
@@ -287,30 +289,38 @@ def trained(steps: int = 260, hidden: int = 20, seed: int = 5) -> Tagger:
 
 
 def model_spans(tagger: Tagger, texts: list[str], width: int = 128) -> list[list[Span]]:
-    """Spans of the model before any check against base spans; all windows of all texts
-    that hold a digit or @ are decoded in batches."""
+    """Spans of the model before any check against base spans; the windows of all
+    texts that may share a span with a digit or @ are decoded in batches."""
     stride, margin = width // 2, width // 4
-    where, rows = [], []
     labels: dict[int, np.ndarray] = {}
+    lasts: dict[int, int] = {}
+    todo: set[tuple[int, int]] = set()
     for n, text in enumerate(texts):
         if not TRIGGER_RE.search(text):
             continue
-        windows = sorted({w for m in TRIGGER_RE.finditer(text) for w in ((m.start() // stride) - 1, m.start() // stride) if w >= 0})
         labels[n] = np.zeros(len(text), np.int8)
-        last = max(0, -(-(len(text) - width) // stride))
-        for w in sorted({min(w, last) for w in windows}):
-            x = np.zeros(width, np.int16)
-            own = codes(text[w * stride : w * stride + width])
-            x[: len(own)] = own
-            where.append((n, w, last))
-            rows.append(x)
-    for low in range(0, len(rows), 512):
-        got = tagger.decode(np.stack(rows[low : low + 512]))
-        for (n, w, last), path in zip(where[low : low + 512], got):
-            a = 0 if w == 0 else margin
-            b = width if w == last else margin + stride
-            own = labels[n][w * stride + a : w * stride + b]
-            own[:] = path[a : a + len(own)]
+        last = lasts[n] = max(0, -(-(len(text) - width) // stride))
+        todo |= {(n, min(w, last)) for m in TRIGGER_RE.finditer(text) for w in ((m.start() // stride) - 1, m.start() // stride) if w >= 0}
+    done: set[tuple[int, int]] = set()
+    while todo:
+        where, todo = sorted(todo), set()
+        done.update(where)
+        for low in range(0, len(where), 512):
+            part = where[low : low + 512]
+            x = np.zeros((len(part), width), np.int16)
+            for row, (n, w) in zip(x, part):
+                own = codes(texts[n][w * stride : w * stride + width])
+                row[: len(own)] = own
+            for (n, w), path in zip(part, tagger.decode(x)):
+                a = 0 if w == 0 else margin
+                b = width if w == lasts[n] else margin + stride
+                own = labels[n][w * stride + a : w * stride + b]
+                own[:] = path[a : a + len(own)]
+                if w > 0 and own[:1].any():
+                    todo.add((n, w - 1))
+                if w < lasts[n] and own[-1:].any():
+                    todo.add((n, w + 1))
+        todo -= done
     out: list[list[Span]] = [[] for _ in texts]
     for n, path in labels.items():
         kind = (path + 1) // 2  # 0: none, else the kind plus 1

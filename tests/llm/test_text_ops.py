@@ -323,3 +323,16 @@ def test_empty_tables(spark):
     assert media.resolve(media.interleave(media.as_pages(docs), "doc_id"), media.features(media.store(docs)), "doc_id").count() == 0
     assert mixing.mix(docs).count() == 0 and mixing.mixture(docs).count() == 0
     assert secrets.scan(docs).count() == 0
+
+
+def test_long_model_spans_are_not_cut_at_undecoded_windows():
+    class Lines:
+        """Labels every line an email."""
+
+        def decode(self, x):
+            return np.where((x == 0) | (x == pii.codes("\n")[0]), 0, 2).astype(np.int8)
+
+    long = "a" * 300 + " @ " + "b" * 310 + ".de"
+    texts = ["y" * 400 + "\n" + long + "\n" + "z" * 700, "@", long, "w" * 500]
+    found = pii.model_spans(Lines(), texts)
+    assert (401, 0, 401 + len(long)) in found[0] and found[1:] == [[(0, 0, 1)], [(0, 0, len(long))], []]
