@@ -6,12 +6,13 @@ references, each with its position, and a caption with the media it belongs to
 by digest resolves them against a store of payloads; positions and captions ride
 along with the reference and stay aligned.
 
-Payloads are stored without loss as 8-bit grey images (PGM, 64 samples a row).
-Features are computed from the bytes read back. Reads are checked: a stored form that
-does not parse raises.
+Payloads are stored without loss as 8-bit grey images (PGM, 64 samples a row) in a table
+in the shared folder. Features are computed from the table read back. Reads are checked: a
+stored form that does not parse raises.
 
 Null html has no elements. References without a payload resolve to nulls. Equal
-payloads share a digest; the store keeps one row of each.
+payloads share a digest; the store keeps one row of each. Only payloads that may occur
+twice are shuffled, for that; the others are written where they are read.
 """
 
 from __future__ import annotations
@@ -28,9 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brooklet.llm.common import kept_by_worker, text_or_empty
+from brooklet.llm.common import kept_by_worker, text_or_empty, written
 
 ROW = 64
+#: Slots by which refs that occur twice are told from others; refs that share a slot are shuffled too.
+SLOTS = 1 << 22
 BLOCKS = frozenset("address article aside blockquote br div dl dt dd figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul figcaption title body".split())
 HIDDEN = frozenset(("script", "style", "template", "noscript"))
 MEDIA = frozenset(("img", "video", "audio", "source", "embed"))
@@ -144,17 +147,54 @@ def reference(payload: bytes, n_bytes: int) -> str:
 
 
 def store(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """ref, n_bytes and the stored media of each text (null: empty)."""
+    """ref, n_bytes and the stored media of each distinct text (null: empty), as a written table."""
+    spark = docs.sparkSession
+    texts = docs.select(text_or_empty(text_col).alias("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def payloads(batch: pa.RecordBatch) -> Iterator[tuple[str, int, bytes]]:
+        for text in batch.column(0):
+            raw = text.as_py().encode("utf-8", "replace")
+            whole = padded(raw)
+            yield reference(whole, len(raw)), len(raw), whole
+
+    def refs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept_by_worker("media")
         for batch in batches:
-            for low in range(0, batch.num_rows, 500):
-                raw = [t.encode("utf-8", "replace") for t in batch.column(0).slice(low, 500).to_pylist()]
-                whole = [padded(r) for r in raw]
-                yield pa.RecordBatch.from_arrays([pa.array([reference(p, len(r)) for p, r in zip(whole, raw)]), pa.array([len(r) for r in raw], pa.int64()), pa.array([stored(p) for p in whole], pa.binary())], ["ref", "n_bytes", "media"])
+            yield pa.RecordBatch.from_arrays([pa.array([r for r, _, _ in payloads(batch)], pa.string())], ["ref"])
+
+    twice = texts.mapInArrow(refs, "ref string").groupBy("ref").agg(F.count("*").alias("n")).filter("n > 1").select((F.crc32(F.col("ref").cast("binary")) % SLOTS).alias("slot"))
+    taken = np.zeros(SLOTS // 32, np.uint32)
+    for word, bits in twice.groupBy((F.col("slot") / 32).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 32 as int)))")).collect():
+        taken[word] = bits
+    marks = spark.sparkContext.broadcast(taken)
+
+    def rows(shared: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kept_by_worker("media")
+            seen: set[str] = set()
+            for batch in batches:
+                for low in range(0, batch.num_rows, 500):
+                    out = []
+                    for ref, n, whole in payloads(batch.slice(low, 500)):
+                        slot = zlib.crc32(ref.encode()) % SLOTS
+                        if bool(int(marks.value[slot // 32]) >> slot % 32 & 1) == shared and ref not in seen:
+                            if shared:
+                                seen.add(ref)
+                            out.append((ref, n, stored(whole)))
+                    if out:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.string(), pa.int64(), pa.binary()))], ["ref", "n_bytes", "media"])
+
+        return run
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()
+        for batch in batches:
+            new = [r not in seen and not seen.add(r) for r in batch.column(0).to_pylist()]
+            yield batch.filter(pa.array(new, pa.bool_()))
 
-    return docs.select(text_or_empty(text_col).alias("text")).mapInArrow(run, "ref string, n_bytes long, media binary")
+    form = "ref string, n_bytes long, media binary"
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
+    return written(texts.mapInArrow(rows(False), form).unionByName(texts.mapInArrow(rows(True), form).repartition(parts, "ref").mapInArrow(once, form)), "media")
 
 
 def features(media: DataFrame) -> DataFrame:

@@ -336,3 +336,11 @@ def test_long_model_spans_are_not_cut_at_undecoded_windows():
     texts = ["y" * 400 + "\n" + long + "\n" + "z" * 700, "@", long, "w" * 500]
     found = pii.model_spans(Lines(), texts)
     assert (401, 0, 401 + len(long)) in found[0] and found[1:] == [[(0, 0, 1)], [(0, 0, len(long))], []]
+
+
+def test_the_media_store_is_a_written_table_of_distinct_payloads(spark):
+    texts = ["a", "b", "a", None, "", "a" * 200, "b", "a\0", "\0"] * 3
+    table = media.store(spark.createDataFrame([(t,) for t in texts], "text string").repartition(4))
+    got = table.collect()
+    assert table.inputFiles() and len(got) == len({t or "" for t in texts}) == len({r.ref for r in got})
+    assert sorted(media.read_back(r.media)[: r.n_bytes].decode() for r in got) == sorted({t or "" for t in texts})
