@@ -1,11 +1,12 @@
-"""N-gram Jaccard join: a MinHash LSH forest, then exact verification.
+"""N-gram Jaccard join: MinHash LSH in bands, then exact verification.
 
 1. Every whole text becomes its set of word shingles (five words; a text of fewer words
    is one shingle; hashes of 64 bits). Texts with equal sets form a class.
-2. A class's MinHash signature is cut into trees. A tree is a trie over its part of the
-   signature, kept as sorted rows: equal prefixes stand together. The matched prefix is
-   shortened from the full depth until a pair at the threshold meets in some tree with
-   at least the target recall (`prefix_length`, closed form).
+2. A class's MinHash signature is cut into TREES parts of DEPTH hashes, the trees of an LSH
+   forest. The forest is not built: the prefix at which a pair at the threshold meets in some
+   tree with at least the target recall follows from the threshold alone (`prefix_length`,
+   closed form), and pairs that match deeper in a tree match at that prefix too. So the join
+   is by fixed bands, the first hashes of each part; the others serve in step 3 only.
 3. Rows that share a prefix meet in tiles of bounded size. A pair passes if its whole
    signatures agree nearly as often as the threshold asks; a tile reports a spanning
    forest of what passes, never the pairs. Components of that are candidate groups.

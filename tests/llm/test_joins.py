@@ -146,3 +146,11 @@ def test_pigeonhole_loses_nothing():
     got = {(int(i), int(j)) for p, q in embeddings.tile_links(a, a, 0.9, True, step=128) for i, j in zip(p, q)}
     s = a @ a.T
     assert got == {(i, j) for i, j in np.argwhere(s >= 0.9).tolist() if i != j}
+
+
+def test_deeper_matches_are_in_the_bands():
+    k, rng = ngram_join.prefix_length(0.8), np.random.default_rng(3)
+    parts = rng.integers(0, 3, (300, ngram_join.DEPTH))
+    met = lambda n: {(i, j) for i in range(300) for j in range(i) if (parts[i, :n] == parts[j, :n]).all()}
+    shortened = set().union(*(met(n) for n in range(ngram_join.DEPTH, k - 1, -1)))
+    assert shortened == met(k) and met(k) > met(ngram_join.DEPTH)
