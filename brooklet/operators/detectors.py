@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brooklet.functions.vec import INF, NAN, ieee_div, metric_of
+from brooklet.functions.vec import INF, NAN, metric_of, numpy_metric
 from brooklet.operators.projection import hashed_weights, project, stream_hash, stream_hash_map
 from brooklet.plans.blocks import by_rows, by_time, overlap, rows_of
 from brooklet.plans.lineage import written
@@ -105,7 +105,9 @@ def _distance(s: Stream, metric, metric_params) -> Column:
 class SWDBOR(Detector):
     """1 / (1 + m), m the live earlier rows within the radius (inclusive).
 
-    A time axis must not fall within a key: late rows go through `kernels.ArrivalOrder`.
+    A time axis must not fall within a key: late rows raise here and go through
+    `kernels.ArrivalOrder`. A metric that is a callable builds Columns, and takes the plan
+    over pairs of rows in place of the kernel.
     """
 
     window: float
@@ -116,7 +118,16 @@ class SWDBOR(Detector):
     def __post_init__(self):
         _positive(window=self.window, radius=self.radius)
 
+    def kernel(self, group=(), features=None):
+        from brooklet.operators.kernels import NeighborKernel
+
+        return NeighborKernel(self.window, numpy_metric(self.metric, self.metric_params), radius=self.radius)
+
     def transform(self, s: Stream) -> DataFrame:
+        if not callable(self.metric):
+            from brooklet.operators.kernels import framed_run
+
+            return framed_run(s, self.window, self.kernel, "score double", rising=True)
         pairs = window_pairs(s, self.window)
         near = F.count(F.when(_distance(s, self.metric, self.metric_params) <= self.radius, F.lit(1)))
         return pairs.groupBy("blk", *s.key, s.order).agg(near.alias("m")).select(s.order, *s.key, (F.lit(1.0) / (F.col("m") + 1)).alias("score"))
@@ -148,7 +159,16 @@ class SWKNN(Detector):
     def __post_init__(self):
         _positive(window=self.window, k=self.k)
 
+    def kernel(self, group=(), features=None):
+        from brooklet.operators.kernels import NeighborKernel
+
+        return NeighborKernel(self.window, numpy_metric(self.metric, self.metric_params), k=self.k, k_is_max=self.k_is_max)
+
     def transform(self, s: Stream) -> DataFrame:
+        if not callable(self.metric):
+            from brooklet.operators.kernels import framed_run
+
+            return framed_run(s, self.window, self.kernel, "score array<double>" if self.k_is_max else "score double", rising=True)
         pairs = window_pairs(s, self.window)
         d = F.when(F.col("b_idx").isNotNull(), _distance(s, self.metric, self.metric_params))
         near = F.sort_array(F.collect_list(d))  # collect_list skips nulls; at most a window of values
@@ -199,9 +219,10 @@ class RSHash(Detector):
 
     def transform(self, s: Stream) -> DataFrame:
         if s.time is not None:
-            from brooklet.operators.kernels import sequential
+            from brooklet.operators.kernels import framed_run, names_of, sequential
 
-            return sequential(s, self)
+            names = names_of(s)
+            return framed_run(s, self.window, lambda group: self.kernel(group, names), "score double") if s.rising else sequential(s, self)
         n, draws = rows_of(self.window), self.draw(s.n_features)
         big = 2**62
 
@@ -334,6 +355,11 @@ class XStream(Detector):
         rng, k = np.random.default_rng(self.seed), self.n_projections
         return [{"dims": rng.integers(0, k, self.depth).tolist(), "offset": rng.uniform(0, 0.5, k).tolist()} for _ in range(self.n_estimators)]
 
+    def hashes(self) -> list[tuple[list[int], int]]:
+        """Multipliers and shift of each hash function of the sketch."""
+        rng = np.random.default_rng([self.seed, 1])
+        return [(rng.integers(1, 1_000_003, self.n_projections).tolist(), int(rng.integers(0, 1_000_003))) for _ in range(self.cms_w)]
+
     def kernel(self, group=(), features=None):
         from brooklet.operators.kernels import ChainKernel
 
@@ -387,8 +413,11 @@ class XStream(Detector):
                 cells.append(F.struct(F.lit(c).alias("chain"), F.lit(level).alias("level"), F.array(*bins).alias("cell")))
         rows = placed.withColumn("g", F.explode(F.array(*cells))).select(s.order, *key, "blk", F.col("g.chain").alias("chain"), F.col("g.level").alias("level"), F.col("g.cell").alias("cell"))
         if self.cms_d is not None:
-            hashed = F.explode(F.transform(F.sequence(F.lit(0), F.lit(self.cms_w - 1)), lambda i: F.array(i.cast("long"), F.pmod(F.xxhash64(i, F.col("cell")), F.lit(self.cms_d).cast("long")))))
-            rows = rows.withColumn("cell", hashed)
+            bins = []
+            for i, (a, shift) in enumerate(self.hashes()):
+                h = sum((F.get("cell", j).cast("long") * w for j, w in enumerate(a)), F.lit(shift).cast("long"))
+                bins.append(F.array(F.lit(i).cast("long"), F.pmod(F.pmod(h, F.lit(1_000_003)), F.lit(self.cms_d))))
+            rows = rows.withColumn("cell", F.explode(F.array(*bins)))
         counts = rows.groupBy("blk", *key, "chain", "level", "cell").agg(F.count("*").alias("n"))
         before = counts.select((F.col("blk") + 1).alias("c_blk"), *(F.col(c).alias(f"c_key{i}") for i, c in enumerate(key)), F.col("chain").alias("c_chain"), F.col("level").alias("c_level"), F.col("cell").alias("c_cell"), "n")
         on = same("c") & (F.col("chain") == F.col("c_chain")) & (F.col("level") == F.col("c_level")) & (F.col("cell") == F.col("c_cell"))

@@ -1,7 +1,7 @@
 """Row-sequential kernels: explicit state, one row in, one score out.
 
-A kernel has `step(x, t) -> score` and may be pickled between rows, so the same class
-serves batch groups (`grouped`), overlap blocks and streaming state. Batch runs cut a
+A kernel has `step(x, t) -> score`, and `many` for a run of rows, and may be pickled between
+rows, so the same class serves batch groups (`grouped`), overlap blocks and streaming state. Batch runs cut a
 long stream into overlap blocks where the score depends on the window alone; the robust
 random cut forest is cut so too, since its trees have the same distribution whatever
 they held before.
@@ -17,6 +17,7 @@ from bisect import bisect_left, bisect_right, insort
 from collections import deque
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from brooklet.functions.vec import numpy_metric
 from brooklet.operators.detectors import Detector, _positive
 from brooklet.operators.projection import hashed_weights, project, sparse_weights
-from brooklet.plans.blocks import by_rows, rows_of
+from brooklet.plans.blocks import by_rows, by_time, rows_of
 from brooklet.sources.stream import Stream, ingest
 
 # --- sliding windows -----------------------------------------------------------
@@ -46,30 +47,92 @@ class WindowKernel:
         while self.rows and self.rows[0][0] + self.window <= now:
             self.left(*self.rows.popleft())
 
+    def many(self, x: np.ndarray, t: np.ndarray) -> list:
+        """Scores of consecutive rows."""
+        return [self.step(row, at) for row, at in zip(x, t.tolist())]
 
-class NeighborKernel(WindowKernel):
+
+class FrameKernel:
+    """Live rows as arrays: a run of rows is scored at once, each against its own frame.
+
+    A frame is a stretch of rows in order of arrival, so a run of rows costs one gather of
+    (rows, longest frame), cut into parts of bounded size.
+    """
+
+    #: Numbers in one gathered part.
+    PART = 2_000_000
+
+    def __init__(self, window: float):
+        self.window = window
+        self.x: np.ndarray | None = None
+        self.t: np.ndarray | None = None
+
+    def scored(self, x: np.ndarray, frame: np.ndarray, live: np.ndarray) -> list:
+        """Scores of rows x (n, d), given their frames (n, length, d) and which places are live."""
+        raise NotImplementedError
+
+    #: Whether the row itself belongs to its frame.
+    own = False
+
+    def frames(self, t: np.ndarray, held: int) -> np.ndarray:
+        """The first row of the frame of each row from `held` on. Rows leave from the front only."""
+        low, out = 0, np.empty(len(t) - held, np.int64)
+        ends = (t + self.window).tolist()
+        for i, now in enumerate(t[held:].tolist(), held):
+            while low < i and ends[low] <= now:
+                low += 1
+            out[i - held] = low
+        return out
+
+    def many(self, x: np.ndarray, t: np.ndarray) -> list:
+        held = 0 if self.x is None else len(self.x)
+        x = np.asarray(x, np.float64).reshape(len(t), -1)
+        if held:
+            x, t = np.concatenate([self.x, x]), np.concatenate([self.t, t])
+        low = self.frames(t, held)
+        at = np.arange(held, len(t))
+        sizes = at - low + int(self.own)
+        out, i = [], 0
+        while i < len(at):
+            rows = max(1, self.PART // max(1, int(sizes[i : i + 4096].max()) * x.shape[1]))
+            part = slice(i, i + min(rows, 4096))
+            length = int(sizes[part].max())
+            places = at[part, None] + int(self.own) - 1 - np.arange(length)
+            out += self.scored(x[at[part]], x[np.maximum(places, 0)], places >= low[part, None])
+            i = part.stop
+        # what a later row may still see: nothing before the frame of the last row
+        keep = int(low[-1]) if len(low) else 0
+        self.x, self.t = x[keep:], t[keep:]
+        return out
+
+    def step(self, x: np.ndarray, t: float):
+        return self.many(np.asarray(x)[None], np.asarray([t]))[0]
+
+
+class NeighborKernel(FrameKernel):
     """SWDBOR (radius) or SWKNN (k) in arrival order, for any time axis."""
 
     def __init__(self, window: float, metric, radius: float | None = None, k: int | None = None, k_is_max: bool = False):
         super().__init__(window)
         self.metric, self.radius, self.k, self.k_is_max = metric, radius, k, k_is_max
 
-    def step(self, x: np.ndarray, t: float):
-        self.prune(t)
-        d = self.metric(np.array([r[1] for r in self.rows]), x) if self.rows else np.zeros(0)
-        self.rows.append((t, x))
+    def scored(self, x, frame, live):
+        d = self.metric(frame, x[:, None, :]) if frame.shape[1] else np.zeros(frame.shape[:2])
         if self.radius is not None:
-            return 1.0 / (1.0 + int((d <= self.radius).sum()))
-        near = np.sort(d)[: self.k].tolist()
-        near += [math.inf] * (self.k - len(near))
-        return near if self.k_is_max else near[-1]
+            return (1.0 / (1.0 + ((d <= self.radius) & live).sum(1))).tolist()
+        d = np.where(live, d, math.inf)
+        if d.shape[1] < self.k:
+            d = np.hstack([d, np.full((len(d), self.k - d.shape[1]), math.inf)])
+        near = np.partition(d, self.k - 1, axis=1)[:, : self.k]
+        return np.sort(near, axis=1).tolist() if self.k_is_max else near.max(1).tolist()
 
 
 class LOFKernel(WindowKernel):
     """Local outlier factor of the row within its window, for neighbourhoods of 1..k.
 
-    Neighbourhoods include ties; distances between live rows are kept as one matrix, so a
-    row costs one row of it.
+    Neighbourhoods include ties. Distances between live rows stand in one matrix with room to
+    spare, which moves once it is full; a row writes one row and column of it, and needs the
+    k-th distances of its neighbours and of theirs only.
     """
 
     def __init__(self, window: float, k: int, metric, simplified: bool = False, k_is_max: bool = False):
@@ -77,33 +140,49 @@ class LOFKernel(WindowKernel):
         self.k, self.metric, self.simplified, self.k_is_max = k, metric, simplified, k_is_max
         self.points: np.ndarray | None = None
         self.d = np.zeros((0, 0))
-        self.gone = 0
+        self.low = self.high = 0
 
     def left(self, t, x):
-        self.gone += 1
+        self.low += 1
+
+    def room(self, x: np.ndarray) -> None:
+        if self.points is not None and self.high < len(self.points):
+            return
+        live, size = slice(self.low, self.high), max(32, 2 * (self.high - self.low) + 2)
+        n, d, points = self.high - self.low, np.empty((size, size)), np.empty((size, len(x)))
+        if n:
+            d[:n, :n], points[:n] = self.d[live, live], self.points[live]
+        self.d, self.points, self.low, self.high = d, points, 0, n
+
+    def __getstate__(self):
+        """Only what is live is kept between batches."""
+        live = slice(self.low, self.high)
+        return self.__dict__ | {"d": self.d[live, live].copy(), "points": None if self.points is None else self.points[live].copy(), "low": 0, "high": self.high - self.low}
 
     def step(self, x: np.ndarray, t: float):
         self.prune(t)
-        n = len(self.rows)
-        if self.gone:
-            self.points, self.d, self.gone = self.points[self.gone :], self.d[self.gone :, self.gone :], 0
-        row = self.metric(self.points, x) if n else np.zeros(0)
-        grown = np.full((n + 1, n + 1), math.inf)  # a row is no neighbour of itself
-        grown[:n, :n] = self.d
-        grown[n, :n] = grown[:n, n] = row
-        self.d = grown
-        self.points = np.vstack([self.points, x]) if n else np.array([x])
-        self.rows.append((t, x))
+        self.room(x)
+        low, n = self.low, self.high - self.low
+        own = low + n
+        row = self.metric(self.points[low:own], x) if n else np.zeros(0)
+        self.d[own, low:own] = self.d[low:own, own] = row
+        self.d[own, own] = math.inf  # a row is no neighbour of itself
+        self.points[own] = x
+        self.rows.append((t, None))
+        self.high = own + 1
         if not n:
             return [0.0] * self.k if self.k_is_max else 0.0
-        out = []
-        ordered = np.sort(self.d, axis=1)[:, :n]
+        d, out = self.d[low : own + 1, low : own + 1], []
         for k in range(1, self.k + 1) if self.k_is_max else (self.k,):
-            kd = ordered[:, min(k, n) - 1]
-            near = np.flatnonzero(self.d[n] <= kd[n])
+            rank = min(k, n) - 1
+            near = np.flatnonzero(row <= np.partition(row, rank)[rank])
             some = np.r_[n, near]
-            inside = self.d[some] <= kd[some][:, None]
-            reach = np.where(inside, kd[None, :] if self.simplified else np.maximum(self.d[some], kd[None, :]), 0.0)
+            to = d[some]
+            inside = to <= np.partition(to, rank, axis=1)[:, rank : rank + 1]
+            met = np.flatnonzero(inside.any(0))
+            kd = np.partition(d[met], rank, axis=1)[:, rank]
+            inside, to = inside[:, met], to[:, met]
+            reach = np.where(inside, kd[None, :] if self.simplified else np.maximum(to, kd[None, :]), 0.0)
             count, total = inside.sum(1), reach.sum(1)
             with np.errstate(divide="ignore", invalid="ignore"):
                 lrd = count / total
@@ -111,49 +190,53 @@ class LOFKernel(WindowKernel):
         return out if self.k_is_max else out[-1]
 
 
-class HBOSKernel(WindowKernel):
-    """Sum over dimensions of -log10(height of the row's bin / greatest height), with
-    equi-depth bins over the window, the row included. Runs of ties stay in one bin."""
+class SortedKernel(WindowKernel):
+    """Live rows, and the values of each feature in order: a row costs a place found by halving."""
 
-    def __init__(self, window: float, n_bins: int, weights: np.ndarray | None = None):
+    def __init__(self, window: float):
         super().__init__(window)
-        self.n_bins, self.weights = n_bins, weights
         self.sorted: list[list[float]] | None = None
 
     def left(self, t, x):
         for values, v in zip(self.sorted, x):
             del values[bisect_left(values, v)]
 
-    def height(self, values: list[float], x: float) -> float:
-        n = len(values)
-        if values[0] == values[-1]:
-            return 1.0
-        depth = max(1, n // self.n_bins)
-        most, own, start, low = 0.0, 0.0, 0, values[0]
-        while start < n:
-            end = start + depth
-            if end < n and values[end] == values[end - 1]:
-                end = bisect_right(values, values[end], end)
-            end = min(end, n)
-            high = (values[end - 1] + values[end]) / 2 if end < n else values[-1]
-            h = (end - start) / (high - low) if high > low else math.inf
-            most = max(most, h)
-            if low <= x <= high:
-                own = h  # the last bin that holds it
-            start, low = end, high
-        return own / most if math.isfinite(most) else float(own == most)
-
-    def step(self, x: np.ndarray, t: float) -> float:
-        if self.weights is not None:
-            x = self.weights @ x
+    def enter(self, x: np.ndarray, t: float) -> list[float]:
+        x = [float(v) for v in x]
         if self.sorted is None:
             self.sorted = [[] for _ in x]
         self.prune(t)
-        x = [float(v) for v in x]
         for values, v in zip(self.sorted, x):
             insort(values, v)
         self.rows.append((t, x))
+        return x
+
+
+class HBOSKernel(SortedKernel):
+    """Sum over dimensions of -log10(height of the row's bin / greatest height), with
+    equi-depth bins over the window, the row included. Runs of ties stay in one bin."""
+
+    def __init__(self, window: float, n_bins: int, weights: np.ndarray | None = None):
+        super().__init__(window)
+        self.n_bins, self.weights = n_bins, weights
+
+    def height(self, values: list[float], x: float) -> float:
+        n, depth = len(values), max(1, len(values) // self.n_bins)
+        if values[0] == values[-1]:
+            return 1.0
+        ends = [0]
+        while ends[-1] < n:  # a bin ends with the run of ties that its last value stands in
+            last = min(ends[-1] + depth, n) - 1
+            ends.append(bisect_right(values, values[last], last))
+        edges = [values[0], *((values[e - 1] + values[e]) / 2 for e in ends[1:-1]), values[-1]]
+        counts = [b - a for a, b in zip(ends, ends[1:])]
+        heights = [c / (b - a) if b > a else math.inf for c, a, b in zip(counts, edges, edges[1:])]
+        own, most = heights[bisect_right(edges, x, 0, len(heights)) - 1], max(heights)
+        return own / most if math.isfinite(most) else float(own == most)
+
+    def step(self, x: np.ndarray, t: float) -> float:
         total = 0.0
+        x = self.enter(x if self.weights is None else self.weights @ x, t)
         for values, v in zip(self.sorted, x):
             h = self.height(values, v)
             total -= math.log10(h) if h > 0 else -math.inf
@@ -273,6 +356,9 @@ class ObserverKernel:
         self.obs, self.touched, self.added, self.index = np.zeros(0), np.zeros(0), np.zeros(0), np.zeros(0, np.int64)
         self.n, self.last_added, self.last_index = 0, 0.0, 0
 
+    def many(self, x: np.ndarray, t: np.ndarray) -> list:
+        return [self.step(row, at) for row, at in zip(x, t.tolist())]
+
     def step(self, x: np.ndarray, t: float) -> tuple[float, int]:
         """(score, whether the row became an observer)."""
         n, f = len(self.obs), self.fading
@@ -289,8 +375,9 @@ class ObserverKernel:
         age = 1.0 - f ** (t - self.added)
         with np.errstate(divide="ignore", invalid="ignore"):
             worth = np.where(age > 0, faded / age, np.inf)
-        worst = int(np.argmin(worth))
-        total, near_total = float(faded.sum()), float(faded[near].sum())
+        worst = int(order[np.argmin(worth[order])])
+        # sums of the observations as they are once the nearest have seen this row
+        total, near_total = float(faded.sum()) + len(near), float(faded[near].sum()) + len(near)
         self.obs[near] = faded[near] + 1.0
         self.touched[near] = t
         sampled = self.rng.random() * total * (self.n - self.last_index) < self.rate * near_total * (t - self.last_added)
@@ -328,43 +415,86 @@ class ObserverKernel:
 # --- row by row, what DataFrame operators do in batch ----------------------------------
 
 
-class StatsKernel(WindowKernel):
+class StatsKernel:
     """Statistics of the window that ends with the row: count, then each statistic and
     each quantile of each feature."""
 
     def __init__(self, window: float, what=(), quantiles=()):
-        super().__init__(window)
         self.what, self.quantiles = ([what] if isinstance(what, str) else list(what)), list(quantiles)
+        unknown = set(self.what) - {"sum", "average", "squares_sum", "variance", "min", "max", "median"}
+        if unknown or not all(0 <= q <= 1 for q in self.quantiles):
+            raise ValueError(f"unknown statistics {sorted(unknown)} or quantiles out of [0, 1]")
+        ranked = self.quantiles or {"min", "max", "median"} & set(self.what)
+        self.frame = _Sums(window) if set(self.what) - {"min", "max", "median"} or not ranked else None
+        self.ranks = SortedKernel(window) if ranked else None
+
+    def many(self, x: np.ndarray, t: np.ndarray) -> list[list[float]]:
+        plain = [None] * len(t) if self.frame is None else self.frame.many(x, t)
+        return [self.one(row, at, p) for row, at, p in zip(x, t.tolist(), plain)]
 
     def step(self, x: np.ndarray, t: float) -> list[float]:
-        self.prune(t)
-        self.rows.append((t, x))
-        data = np.sort(np.array([r[1] for r in self.rows]), axis=0)
-        n = len(data)
-        at = lambda q: data[math.floor((n - 1) * q)]
-        plain = {"sum": data.sum(0), "average": data.mean(0), "squares_sum": (data * data).sum(0), "variance": data.var(0), "min": data[0], "max": data[-1], "median": at(0.5)}
-        return [float(n), *(float(v) for name in self.what for v in plain[name]), *(float(v) for q in self.quantiles for v in at(q))]
+        return self.many(np.asarray(x)[None], np.asarray([t]))[0]
+
+    def one(self, x: np.ndarray, t: float, plain: tuple | None) -> list[float]:
+        if self.ranks is not None:
+            self.ranks.enter(x, t)
+            lists = self.ranks.sorted
+            n = len(lists[0]) if lists else len(self.ranks.rows)
+        else:
+            n = plain[0]
+        at = lambda q: [values[math.floor((n - 1) * q)] for values in lists]
+        ranks = {"min": 0.0, "max": 1.0, "median": 0.5}
+        out = [float(n)]
+        for name in self.what:
+            out += at(ranks[name]) if name in ranks else plain[1][name].tolist()
+        for q in self.quantiles:
+            out += at(q)
+        return out
+
+
+class _Sums(FrameKernel):
+    """Count, sums and moments of each row's window, the row included."""
+
+    own = True
 
+    def scored(self, x, frame, live):
+        n, held = live.sum(1), np.where(live[..., None], frame, 0.0)
+        total, squares = held.sum(1), (held * held).sum(1)
+        mean = total / n[:, None]
+        variance = np.where(live[..., None], (frame - mean[:, None]) ** 2, 0.0).sum(1) / n[:, None]
+        return [(int(n[i]), {"sum": total[i], "average": mean[i], "squares_sum": squares[i], "variance": variance[i]}) for i in range(len(n))]
 
-class ScaleKernel(WindowKernel):
+
+class ScaleKernel:
     """The z-score of the row (quantile None) or its place between two quantiles."""
 
     def __init__(self, window: float, quantile: float | None = None):
-        super().__init__(window)
-        self.quantile = quantile
+        self.quantile, self.ranks = quantile, SortedKernel(window)
+        self.frame = _Sums(window) if quantile is None else None
+
+    def many(self, x: np.ndarray, t: np.ndarray) -> list[list[float]]:
+        plain = [None] * len(t) if self.frame is None else self.frame.many(x, t)
+        return [self.one(row, at, p) for row, at, p in zip(x, t.tolist(), plain)]
 
     def step(self, x: np.ndarray, t: float) -> list[float]:
-        self.prune(t)
-        self.rows.append((t, x))
-        data = np.sort(np.array([r[1] for r in self.rows]), axis=0)
-        n = len(data)
-        with np.errstate(divide="ignore", invalid="ignore"):
+        return self.many(np.asarray(x)[None], np.asarray([t]))[0]
+
+    def one(self, x: np.ndarray, t: float, plain: tuple | None) -> list[float]:
+        self.ranks.enter(x, t)
+        data, n = self.ranks.sorted, len(self.ranks.rows)
+        out = []
+        for i, v in enumerate(map(float, x)):
             if self.quantile is None:
-                dev = np.where(data[0] == data[-1], 0.0, data.std(0))
-                shift = np.where(data[0] == data[-1], x, data.mean(0))
-                return ((x - shift) / dev).tolist()
-            low, high = (data[math.floor((n - 1) * q)] for q in (self.quantile, 1 - self.quantile))
-            return ((x - low) / (high - low)).tolist()
+                if data[i][0] == data[i][-1]:  # a constant window has deviation 0 exactly
+                    out.append(math.nan)
+                    continue
+                low, wide = float(plain[1]["average"][i]), math.sqrt(float(plain[1]["variance"][i]))
+            else:
+                low, high = (data[i][math.floor((n - 1) * q)] for q in (self.quantile, 1 - self.quantile))
+                wide = high - low
+            up = v - low
+            out.append(up / wide if wide else math.nan if not up or up != up else math.copysign(math.inf, up))
+        return out
 
 
 class HashKernel(WindowKernel):
@@ -402,7 +532,14 @@ class HashKernel(WindowKernel):
         return score
 
 
-class HalfSpaceKernel:
+class RowKernel:
+    """A kernel that takes rows one by one."""
+
+    def many(self, x: np.ndarray, t: np.ndarray) -> list:
+        return [self.step(row, at) for row, at in zip(x, t.tolist())]
+
+
+class HalfSpaceKernel(RowKernel):
     """Half-space trees, row by row. A block begins with the first row, and anew with a row
     at or after the block's begin plus the window; empty stretches make no blocks."""
 
@@ -432,9 +569,9 @@ class HalfSpaceKernel:
         return total / len(self.trees)
 
 
-class ChainKernel:
-    """Half-space chains, row by row, over exact cells. The first block waits for its own
-    ranges, unless an initial sample gives them."""
+class ChainKernel(RowKernel):
+    """Half-space chains, row by row, over exact cells or sketch bins. The first block waits for
+    its own ranges, unless an initial sample gives them."""
 
     def __init__(self, detector, features: list[str], initial_sample: np.ndarray | None = None):
         self.d, self.weights, self.chains = detector, hashed_weights(detector.n_projections, features), detector.draw()
@@ -442,29 +579,31 @@ class ChainKernel:
         self.used = None if initial_sample is None else self.range_of(np.asarray(initial_sample, np.float64) @ self.weights.T)
         self.before: dict | None = None
         self.now: dict = {}
+        self.hashes = detector.hashes()
 
     @staticmethod
     def range_of(rows: np.ndarray):
         return rows.min(0), rows.max(0)
 
     def cells(self, p: np.ndarray) -> list[list[tuple]]:
+        """For each chain and level, the keys (chain, level, hash number, cell) that count the row."""
         low, high = self.used
         norm = np.where(high > low, (p - low) / np.where(high > low, high - low, 1.0), 0.0)
         out = []
         for c, chain in enumerate(self.chains):
-            times, bins, own = [0] * len(p), [0] * len(p), []
+            times, bins = [0] * len(p), [0] * len(p)
             for level, d in enumerate(chain["dims"]):
                 times[d] += 1
                 wide = 2.0 ** times[d]
                 bins[d] = int(min(max(norm[d] * wide + chain["offset"][d], 0.0), wide - 1))
-                own.append((c, level, tuple(bins)))
-            out.append(own)
+                cells = [tuple(bins)] if self.d.cms_d is None else [(sum(b * w for b, w in zip(bins, a)) + shift) % 1_000_003 % self.d.cms_d for a, shift in self.hashes]
+                out.append([(c, level, i, cell) for i, cell in enumerate(cells)])
         return out
 
     def count(self, p: np.ndarray) -> list[list[tuple]]:
         cells = self.cells(p)
-        for own in cells:
-            for k in own:
+        for keys in cells:
+            for k in keys:
                 self.now[k] = self.now.get(k, 0) + 1
         return cells
 
@@ -475,7 +614,11 @@ class ChainKernel:
         if self.used is not None:
             cells = self.count(p)
             if self.before is not None:
-                score = -float(sum(min(self.before.get(k, 0) * 2 ** (k[1] + 1) for k in own) for own in cells))
+                least = [math.inf] * len(self.chains)
+                for keys in cells:
+                    c, level = keys[0][:2]
+                    least[c] = min(least[c], min(self.before.get(k, 0) for k in keys) * 2 ** (level + 1))
+                score = -float(sum(least))
         if len(self.block) == int(self.d.window):
             ranges = self.range_of(np.array(self.block))
             if self.used is None:
@@ -486,7 +629,7 @@ class ChainKernel:
         return score
 
 
-class ForestKernel:
+class ForestKernel(RowKernel):
     """All trees of a robust random cut forest, for online runs."""
 
     def __init__(self, window: float, n: int, seed: int):
@@ -499,11 +642,11 @@ class ForestKernel:
 # --- batch runs ------------------------------------------------------------------
 
 
-def grouped(df: DataFrame, group: list[str], order: str, keep: list[str], x: list[str], make: Callable, out: str, collect: Callable | None = None, home: bool = True) -> DataFrame:
+def grouped(df: DataFrame, group: list[str], order: str, keep: list[str], x: list[str], make: Callable, out: str, home: bool = True, rising: bool = False) -> DataFrame:
     """Run a kernel over each group's rows in order; rows with `home` give a row.
 
     make(group key) -> kernel. A group arrives as sorted Arrow batches of one task, so it
-    is never held whole: only the kernel's state is.
+    is never held whole: only the kernel's state is. rising: times that fall raise.
     """
     parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     names = [*group, *keep, "t", *(["home"] if home else []), *x]
@@ -513,25 +656,29 @@ def grouped(df: DataFrame, group: list[str], order: str, keep: list[str], x: lis
     g, k = len(group), len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, kernel = None, None
+        key, kernel, last = None, None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = list(zip(*(batch.column(i).to_pylist() for i in range(g)))) if g else [()] * batch.num_rows
-            t = batch.column(g + k).to_pylist()
-            own = batch.column(g + k + 1).to_pylist() if home else [True] * batch.num_rows
-            data = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[g + k + 1 + home :]])
-            at, scores = [], []
-            for i in range(batch.num_rows):
-                if kernel is None or keys[i] != key:
-                    key, kernel = keys[i], make(keys[i])
-                score = kernel.step(data[i], t[i])
-                if own[i]:
-                    at.append(i)
-                    scores.append(score)
+            t = batch.column(g + k).to_numpy(zero_copy_only=False)
+            own = batch.column(g + k + 1).to_numpy(zero_copy_only=False).astype(bool) if home else np.ones(batch.num_rows, bool)
+            columns = batch.columns[g + k + 1 + home :]
+            data = np.column_stack([c.to_numpy(zero_copy_only=False) for c in columns]).astype(np.float64) if columns else np.zeros((len(t), 0))
+            rows = zip(*(batch.column(i).to_pylist() for i in range(g))) if g else iter([()] * len(t))
+            scores, low = [], 0
+            for now, part in groupby(rows):
+                high = low + sum(1 for _ in part)
+                if kernel is None or now != key:
+                    key, kernel, last = now, make(now), None
+                if rising and ((last is not None and t[low] < last) or (np.diff(t[low:high]) < 0).any()):
+                    raise ValueError("a time axis that falls: late rows go through kernels.sequential")
+                scores += kernel.many(data[low:high], t[low:high])
+                last, low = t[high - 1], high
+            at = np.flatnonzero(own)
+            scores = [scores[i] for i in at]
             kept = [batch.column(g + j).take(pa.array(at, pa.int64())) for j in range(k)]
-            columns = list(zip(*scores)) if scores and isinstance(scores[0], tuple) else [scores] if n_out == 1 else [[] for _ in range(n_out)]
-            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(c, kind) for c, kind in zip(columns, out_kinds))], [*keep, *out_names])
+            values = [list(c) for c in zip(*scores)] if scores and isinstance(scores[0], tuple) else [scores] if n_out == 1 else [[] for _ in range(n_out)]
+            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(c, kind) for c, kind in zip(values, out_kinds))], [*keep, *out_names])
 
     fields = [f.strip().rsplit(" ", 1) for f in out.split(",")]
     out_names, n_out = [f[0] for f in fields], len(fields)
@@ -541,27 +688,35 @@ def grouped(df: DataFrame, group: list[str], order: str, keep: list[str], x: lis
     return dealt.mapInArrow(run, schema)
 
 
-def _blocked(s: Stream, window: float) -> tuple[DataFrame, list[str]]:
-    """Overlap blocks on the default clock; whole keys on a time axis, where late rows may
-    shield others however far back."""
+def _blocked(s: Stream, window: float, rising: bool = False) -> tuple[DataFrame, list[str]]:
+    """Overlap blocks on the default clock, and on a time axis that never falls (rising); else
+    whole keys, where late rows may shield others however far back."""
     df = ingest(s)
     if s.time is None:
         return by_rows(df, rows_of(window)), [*s.key, "blk"]
+    if rising or s.rising:
+        return by_time(df, window), [*s.key, "blk"]
     return df.withColumn("home", F.lit(True)), s.key
 
 
-def _run(s: Stream, window: float, make: Callable, out: str) -> DataFrame:
-    df, group = _blocked(s, window)
+def framed_run(s: Stream, window: float, make: Callable, out: str, rising: bool = False) -> DataFrame:
+    """Order, key and scores of a kernel whose scores depend on the window alone."""
+    df, group = _blocked(s, window, rising)
     x = [f"x{i}" for i in range(s.n_features)]
     key = [k for k in s.key]
     renamed = df.select(*(F.col(k).alias(f"g_{k}") for k in key), *(["blk"] if "blk" in group else []), *df.columns[: 1 + len(key)], "idx", "t", "home", *x)
     groups = [*(f"g_{k}" for k in key), *(["blk"] if "blk" in group else [])]
-    return grouped(renamed, groups, "idx", [s.order, *key], x, make, out)
+    return grouped(renamed, groups, "idx", [s.order, *key], x, make, out, rising=(rising or s.rising) and s.time is not None)
+
 
+def names_of(s: Stream) -> list[str]:
+    return [f"{s.features[0]}_{i}" for i in range(s.dimension)] if s.dimension else list(s.features)
 
-def sequential(s: Stream, detector, out: str = "score double") -> DataFrame:
+
+def sequential(s: Stream, detector, out: str | None = None) -> DataFrame:
     """A detector's kernel over each key as a whole: for time axes with ties or late rows."""
     names = [f"x{i}" for i in range(s.n_features)] if s.dimension else list(s.features)
+    out = out or ("score array<double>" if getattr(detector, "k_is_max", False) else "score double")
     timed = ingest(s).withColumn("home", F.lit(True))
     x, key = [f"x{i}" for i in range(s.n_features)], list(s.key)
     renamed = timed.select(*(F.col(k).alias(f"g_{k}") for k in key), s.order, *key, "idx", "t", "home", *x)
@@ -580,6 +735,11 @@ class SlidingStatistics:
     def kernel(self, group=(), features=None) -> StatsKernel:
         return StatsKernel(self.window, self.what, self.quantiles)
 
+    def outputs(self, features: list[str]) -> list[tuple[str, str]]:
+        """Names and types of what the kernel's array holds."""
+        what = [self.what] if isinstance(self.what, str) else self.what
+        return [("count", "bigint"), *((f"{f}_{name}", "double") for name in (*what, *(f"q{q:g}" for q in self.quantiles)) for f in features)]
+
     def transform(self, s: Stream) -> DataFrame:
         return sequential(s, self, "score array<double>")
 
@@ -595,6 +755,9 @@ class SlidingScale:
     def kernel(self, group=(), features=None) -> ScaleKernel:
         return ScaleKernel(self.window, self.quantile)
 
+    def outputs(self, features: list[str]) -> list[tuple[str, str]]:
+        return [(f, "double") for f in features]
+
     def transform(self, s: Stream) -> DataFrame:
         return sequential(s, self, "score array<double>")
 
@@ -615,7 +778,7 @@ class SWLOF(Detector):
         return LOFKernel(self.window, self.k, numpy_metric(self.metric, self.metric_params), self.simplified, self.k_is_max)
 
     def transform(self, s: Stream) -> DataFrame:
-        return _run(s, self.window, self.kernel, "score array<double>" if self.k_is_max else "score double")
+        return framed_run(s, self.window, self.kernel, "score array<double>" if self.k_is_max else "score double")
 
 
 @dataclass(frozen=True)
@@ -639,7 +802,7 @@ class LODA(Detector):
 
     def transform(self, s: Stream) -> DataFrame:
         names = [f"x{i}" for i in range(s.n_features)]
-        return _run(s, self.window, lambda group: self.kernel(group, names), "score double")
+        return framed_run(s, self.window, lambda group: self.kernel(group, names), "score double")
 
     def projected_window(self, s: Stream) -> DataFrame:
         """The live rows as the detector sees them: projected, if it projects."""
@@ -698,6 +861,9 @@ class SDOstream(Detector):
         if not 0 <= self.qv < 1:
             raise ValueError("qv lies in [0, 1)")
 
+    def outputs(self, features: list[str]) -> list[tuple[str, str]]:
+        return [("score", "double"), *([("sampled", "int")] if self.return_sampling else [])]
+
     def kernel(self, group=(), features=None) -> ObserverKernel:
         return ObserverKernel(self.k, self.T, self.qv, self.x, numpy_metric(self.metric, self.metric_params), self.seed)
 
@@ -758,4 +924,4 @@ class ArrivalOrder(Detector):
         return NeighborKernel(self.window, numpy_metric(self.metric, self.metric_params), self.radius, self.k, self.k_is_max)
 
     def transform(self, s: Stream) -> DataFrame:
-        return _run(s, self.window, self.kernel, "score array<double>" if self.k_is_max else "score double")
+        return framed_run(s, self.window, self.kernel, "score array<double>" if self.k_is_max else "score double")

@@ -61,8 +61,10 @@ class PointSet:
         return replace(self, points=self.points.join(rows.select("key"), "key", "left_anti").unionByName(rows))
 
     def update_by_index(self, rows: DataFrame) -> "PointSet":
-        """Set points by ordinal (ix, vec); an ordinal that does not exist raises."""
-        keyed = rows.join(self.itok(), "ix", "left")
+        """Set points by ordinal (ix, vec; negative ones count from the end); an ordinal that does
+        not exist raises."""
+        ix = F.col("ix").cast("long")
+        keyed = rows.withColumn("ix", F.when(ix < 0, ix + self.count()).otherwise(ix)).join(self.itok(), "ix", "left")
         known = F.when(F.col("key").isNull(), F.raise_error(F.lit("no such ordinal")).cast("long")).otherwise(F.col("key"))
         return self.upsert(keyed.select(known.alias("key"), "vec"))
 
@@ -78,7 +80,8 @@ class PointSet:
         return replace(self, points=self.points.join(keys.select("key"), "key", "left_anti")), self.contains(keys)
 
     def delete_by_index(self, start=None, stop=None, step=None) -> "PointSet":
-        return replace(self, points=self.points.join(self.by_index(start, stop, step).select("key"), "key", "left_anti"))
+        """Remove a slice of the ordinals, or a list of them; negative ones count from the end."""
+        return replace(self, points=self.points.join(self.by_index(start, stop, step).select("key").distinct(), "key", "left_anti"))
 
     def clear(self) -> "PointSet":
         return replace(self, points=self.points.limit(0))
@@ -118,8 +121,23 @@ class PointSet:
         own = self.itok().select(F.col("key").alias("own"), "ix")
         return keys.select("key").join(own, F.col("key") == F.col("own"), "left").select("key", "ix")
 
+    def ordinals(self, picks) -> DataFrame:
+        """place, ix of a list of ordinals (or a DataFrame of ix); negative ones count from the
+        end, one that does not exist raises. place is the position in the list, from 0."""
+        n = self.count()
+        if isinstance(picks, DataFrame):
+            at = numbered(picks.select(F.col("ix").cast("long").alias("ix")).withColumn("__at", F.monotonically_increasing_id()), "__at", []).select(F.col("idx").alias("place"), "ix")
+        else:
+            at = self.points.sparkSession.createDataFrame(list(enumerate(map(int, picks))), "place long, ix long")
+        own = F.when(F.col("ix") < 0, F.col("ix") + n).otherwise(F.col("ix"))
+        sure = F.when(own.between(0, n - 1), own).otherwise(F.raise_error(F.lit("no such ordinal")).cast("long"))
+        return at.select("place", sure.alias("ix"))
+
     def by_index(self, start=None, stop=None, step=None) -> DataFrame:
-        """ix, key, vec of a Python slice of the ordinals (negative ends count from the end)."""
+        """ix, key, vec of a Python slice of the ordinals (negative ends count from the end). With
+        a list or a DataFrame of ordinals (ix) in place of start: place, ix, key, vec of each."""
+        if isinstance(start, (list, tuple, DataFrame)):
+            return self.ordinals(start).join(self.itok(), "ix").join(self.points, "key").select("place", "ix", "key", "vec")
         low, high, stride = slice(start, stop, step).indices(self.count())
         if stride < 0:
             low, high, stride = low + (len(range(low, high, stride)) - 1) * stride, low + 1, -stride

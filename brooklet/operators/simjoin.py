@@ -5,7 +5,8 @@ Points are (key, vec) and queries (query_id, vec), vec an array<double>.
 `range_join` buckets both sides on distances to a few pivots: within radius r the
 distances to a pivot differ by at most r, so a query meets its own and the two
 neighbouring buckets per pivot in an equi-join, and the metric decides the rest. This
-holds for every metric.
+holds for every metric; a callable that is none (no triangle inequality) must say so by
+metric_params={"metric": False}, and every query then meets every point, block by block.
 
 `knn_join` has no radius to bucket by. Queries are the small side: they are cut into
 blocks of bounded size, and every block meets all points; ranks are limited on the map
@@ -25,11 +26,31 @@ INF = float("inf")
 BLOCK_BYTES = 8_000_000
 
 
-def _pivots(points: DataFrame, n: int) -> list[list[float]]:
+def _is_metric(metric, metric_params: dict | None) -> bool:
+    """Whether the triangle inequality holds: for metrics by name, and callables unless they deny it."""
+    return not callable(metric) or bool((metric_params or {}).get("metric", True))
+
+
+def _all_pairs(queries: DataFrame, points: DataFrame, measure, block_bytes: int) -> DataFrame:
+    """query_id, key, distance of every query with every point; queries in blocks of bounded size."""
+    q, p = queries.select("query_id", _vector("vec").alias("q_vec")), points.select("key", _vector("vec").alias("p_vec"))
+    n, size = q.agg(F.count("*"), F.max(F.size("q_vec"))).first()
+    blocks = max(1, -(-n * (8 * max(size or 0, 1) + 24) // block_bytes))
+    if blocks == 1:
+        pairs = p.crossJoin(F.broadcast(q))  # n rows of a size just checked
+    else:
+        q = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+        p = p.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+        pairs = p.hint("shuffle_hash").join(q, "block")
+    return pairs.select("query_id", "key", measure(F.col("q_vec"), F.col("p_vec")).alias("distance"))
+
+
+def _pivots(points: DataFrame, n: int, measure) -> list[list[float]]:
     """A few points far from each other: n rows to the driver."""
     rows = [r[0] for r in points.orderBy("key").select("vec").limit(1).collect()]
     while rows and len(rows) < n:
-        near = F.least(*[metric_of()(F.col("vec"), F.lit(p).cast("array<double>")) for p in rows]) if len(rows) > 1 else metric_of()(F.col("vec"), F.lit(rows[0]).cast("array<double>"))
+        to = [measure(F.col("vec"), F.lit(p).cast("array<double>")) for p in rows]
+        near = F.least(*to) if len(to) > 1 else to[0]
         rows.append(points.orderBy(near.desc(), "key").select("vec").limit(1).collect()[0][0])
     return rows
 
@@ -42,8 +63,11 @@ def range_join(queries: DataFrame, points: DataFrame, radius: float, metric="euc
     """query_id, key, distance for all pairs with min_radius <= distance <= radius."""
     if radius < 0:
         raise ValueError("radius must not be negative")
+    if callable(metric) and not _is_metric(metric, metric_params):
+        pairs = _all_pairs(queries, points, metric, BLOCK_BYTES)
+        return pairs.filter(F.col("distance").between(min_radius, radius))
     measure = metric_of(metric, metric_params)
-    pivots = _pivots(points, n_pivots)
+    pivots = _pivots(points, n_pivots, measure)
     q, p = queries.select("query_id", _vector("vec").alias("q_vec")), points.select("key", _vector("vec").alias("p_vec"))
     width = radius if radius > 0 else 1.0
     names = [f"b{i}" for i in range(len(pivots))]
@@ -90,16 +114,7 @@ def knn_join(
     if max_radius != INF and not reverse:
         pairs = range_join(queries, points, max_radius, metric, metric_params, min_radius=min_radius)
     else:
-        q, p = queries.select("query_id", _vector("vec").alias("q_vec")), points.select("key", _vector("vec").alias("p_vec"))
-        n, size = q.agg(F.count("*"), F.max(F.size("q_vec"))).first()
-        blocks = max(1, -(-n * (8 * max(size or 0, 1) + 24) // block_bytes))
-        if blocks == 1:
-            pairs = p.crossJoin(F.broadcast(q))  # n rows of a size just checked
-        else:
-            q = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-            p = p.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-            pairs = p.hint("shuffle_hash").join(q, "block")
-        pairs = pairs.select("query_id", "key", measure(F.col("q_vec"), F.col("p_vec")).alias("distance")).filter(F.col("distance").between(min_radius, max_radius))
+        pairs = _all_pairs(queries, points, measure, block_bytes).filter(F.col("distance").between(min_radius, max_radius))
     order = F.col("distance").desc() if reverse else F.col("distance").asc()
     by = Window.partitionBy("query_id")
     rank = F.rank().over(by.orderBy(order)) if extend_for_ties else F.row_number().over(by.orderBy(order, "key"))

@@ -5,6 +5,9 @@ Doubles are rounded on both sides, since engines add in different orders.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,28 +95,35 @@ def sw_stats_time(spark, sf_dir):
     return _stats(stats.sliding_stats(events(spark, sf_dir, time="ts"), 86_400_000_000, PLAIN), ["event_id"])
 
 
-def _finite(df: DataFrame) -> DataFrame:
-    return rounded(df, ["event_id"]).filter(~F.isnan("cents") & (F.abs("cents") != vec.INF))
+def marked(df: DataFrame, column: str = "score") -> DataFrame:
+    """NaN as -1, infinity as -2 and minus infinity as -3, so that every engine prints them alike."""
+    c = F.col(column)
+    return df.withColumn(column, F.when(F.isnan(c), F.lit(-1.0)).when(c == vec.INF, F.lit(-2.0)).when(c == -vec.INF, F.lit(-3.0)).otherwise(c))
+
+
+def _scaled(df: DataFrame) -> DataFrame:
+    return rounded(marked(df, "cents"), ["event_id"])
 
 
-@query(f"SELECT event_id, round((cents - m) / d, 6) + 0.0 AS cents FROM (SELECT event_id, cents, avg(cents) {FRAME} AS m, stddev_pop(cents) {FRAME} AS d, min(cents) {FRAME} AS a, max(cents) {FRAME} AS b FROM {EV}) WHERE a <> b")
+@query(f"SELECT event_id, CASE WHEN a = b THEN -1.0 ELSE round((cents - m) / d, 6) + 0.0 END AS cents FROM (SELECT event_id, cents, avg(cents) {FRAME} AS m, stddev_pop(cents) {FRAME} AS d, min(cents) {FRAME} AS a, max(cents) {FRAME} AS b FROM {EV})")
 def zscore_scale(spark, sf_dir):
-    return _finite(stats.zscore_scale(events(spark, sf_dir), W))
+    return _scaled(stats.zscore_scale(events(spark, sf_dir), W))
 
 
 def _scale_sql(q: float) -> str:
     at = lambda q: f"l[CAST(floor((len(l) - 1) * CAST({q!r} AS DOUBLE)) AS BIGINT) + 1]"
-    return f"SELECT event_id, round((cents - low) / CAST(high - low AS DOUBLE), 6) + 0.0 AS cents FROM (SELECT event_id, cents, {at(q)} AS low, {at(1 - q)} AS high FROM (SELECT event_id, cents, list_sort(list(cents) {FRAME}) AS l FROM {EV})) WHERE high <> low"
+    flat = "CASE WHEN cents = low THEN -1.0 WHEN cents > low THEN -2.0 ELSE -3.0 END"
+    return f"SELECT event_id, CASE WHEN high = low THEN {flat} ELSE round((cents - low) / CAST(high - low AS DOUBLE), 6) + 0.0 END AS cents FROM (SELECT event_id, cents, {at(q)} AS low, {at(1 - q)} AS high FROM (SELECT event_id, cents, list_sort(list(cents) {FRAME}) AS l FROM {EV}))"
 
 
 @query(_scale_sql(0.25))
 def quantile_scale(spark, sf_dir):
-    return _finite(stats.quantile_scale(events(spark, sf_dir), W, 0.25))
+    return _scaled(stats.quantile_scale(events(spark, sf_dir), W, 0.25))
 
 
 @query(_scale_sql(0.0))
 def minmax_scale(spark, sf_dir):
-    return _finite(stats.quantile_scale(events(spark, sf_dir), W, 0.0))
+    return _scaled(stats.quantile_scale(events(spark, sf_dir), W, 0.0))
 
 
 # --- projections -------------------------------------------------------------------
@@ -289,6 +299,46 @@ def ix_slice(spark, sf_dir):
     return _xy(PointSet(_customers(spark, sf_dir)).by_index(2, None, 3), "ix", "key")
 
 
+_PICKS = [0, 5, -1, 7, 5, -10]
+_PICKED = ", ".join(f"({i}, {ix})" for i, ix in enumerate(_PICKS))
+_PLACED = f"(SELECT *, row_number() OVER (ORDER BY key) - 1 AS ix, count(*) OVER () AS n FROM {_C})"
+
+
+@query(f"SELECT CAST(place AS BIGINT) AS place, ix, key, x, y FROM (VALUES {_PICKED}) AS v(place, pick) JOIN {_PLACED} ON ix = CASE WHEN pick < 0 THEN pick + n ELSE pick END")
+def ix_list(spark, sf_dir):
+    return _xy(PointSet(_customers(spark, sf_dir)).by_index(_PICKS), "place", "ix", "key")
+
+
+@query(f"SELECT key, x, y FROM {_PLACED} WHERE ix NOT IN (SELECT CASE WHEN pick < 0 THEN pick + n ELSE pick END FROM (VALUES {_PICKED}) AS v(place, pick), (SELECT count(*) AS n FROM customer))")
+def ix_delete(spark, sf_dir):
+    return _xy(PointSet(_customers(spark, sf_dir)).delete_by_index(_PICKS).points, "key")
+
+
+@query(f"SELECT key, CASE WHEN pick IS NULL THEN x ELSE 1.5 END AS x, CASE WHEN pick IS NULL THEN y ELSE -2.0 END AS y FROM {_PLACED} LEFT JOIN (SELECT DISTINCT CASE WHEN pick < 0 THEN pick + n ELSE pick END AS pick FROM (VALUES {_PICKED}) AS v(place, pick), (SELECT count(*) AS n FROM customer)) ON pick = ix")
+def ix_update(spark, sf_dir):
+    rows = spark.createDataFrame([(ix, [1.5, -2.0]) for ix in _PICKS], "ix long, vec array<double>")
+    return _xy(PointSet(_customers(spark, sf_dir)).update_by_index(rows).points, "key")
+
+
+@query(f"SELECT key, CASE WHEN key % 2 = 0 THEN x ELSE x + y END AS x, CASE WHEN key % 2 = 0 THEN y ELSE x - y END AS y FROM (SELECT key, x, y FROM {_C})")
+def vector_algebra(spark, sf_dir):
+    own = _customers(spark, sf_dir)
+    turned = vec.add(F.array(F.get("vec", 0), F.get("vec", 0)), F.array(F.get("vec", 1), -F.get("vec", 1)))
+    back = vec.subtract(vec.add(F.col("vec"), F.col("vec")), F.col("vec"))
+    return _xy(own.select("key", F.when(F.col("key") % 2 == 0, back).otherwise(turned).alias("vec")), "key")
+
+
+def _canberra(a, b):
+    """A metric of one's own, as Columns."""
+    terms = F.zip_with(a, b, lambda x, y: F.abs(x - y) / F.greatest(F.abs(x) + F.abs(y), F.lit(1e-12)))
+    return F.aggregate(terms, F.lit(0.0), lambda s, v: s + v)
+
+
+@query(_knn_sql("sum(abs(a.v - b.v) / greatest(abs(a.v) + abs(b.v), 1e-12))", 5))
+def knn_callable(spark, sf_dir):
+    return _found(simjoin.knn_join(searches(spark, sf_dir), points(spark, sf_dir), 5, metric=_canberra))
+
+
 # --- detectors --------------------------------------------------------------------------------
 
 _NEAR = f"(SELECT a.event_id, b.event_id AS other, abs(a.cents - b.cents) AS d FROM {EV} a LEFT JOIN {EV} b ON b.event_id < a.event_id AND b.event_id > a.event_id - {W})"
@@ -307,12 +357,6 @@ def dbor_window_neighbors(spark, sf_dir):
 _FIFTH = f"SELECT event_id, CASE WHEN count(other) >= 5 THEN CAST(list_sort(list(d) FILTER (other IS NOT NULL))[5] AS DOUBLE) END AS score FROM {_NEAR} GROUP BY event_id"
 
 
-def marked(df: DataFrame, column: str = "score") -> DataFrame:
-    """NaN as -1 and infinity as -2, so that every engine prints them alike."""
-    c = F.col(column)
-    return df.withColumn(column, F.when(F.isnan(c), F.lit(-1.0)).when(c == vec.INF, F.lit(-2.0)).otherwise(c))
-
-
 @query(f"SELECT event_id, coalesce(score, -2.0) AS score FROM ({_FIFTH})")
 def swknn(spark, sf_dir):
     return marked(det.SWKNN(W, 5).transform(events(spark, sf_dir)))
@@ -379,12 +423,12 @@ def _hstrees_sql(h: det.HSTrees) -> str:
     paths = " UNION ALL ".join(f"SELECT event_id, blk, tree, {d} AS depth, node FROM p{d}" for d in range(h.max_depth + 1))
     ctes += [f"paths AS ({paths})", "mass AS (SELECT blk + 1 AS blk, tree, node, count(*) AS r FROM paths GROUP BY ALL)"]
     ctes.append("met AS (SELECT event_id, paths.tree, depth, coalesce(r, 0) AS r FROM paths LEFT JOIN mass USING (blk, tree, node) WHERE blk > 0)")
-    return f"WITH {', '.join(ctes)} SELECT event_id, round(avg(s), 6) + 0.0 AS score FROM (SELECT event_id, tree, arg_min(-r * pow(2, depth), depth) AS s FROM met WHERE depth = {h.max_depth} OR r <= {h.limit} GROUP BY ALL) GROUP BY event_id"
+    return f"WITH {', '.join(ctes)} SELECT event_id, round(avg(s), 6) + 0.0 AS score FROM (SELECT event_id, tree, arg_min(-r * pow(2, depth), depth) AS s FROM met WHERE depth = {h.max_depth} OR r <= {h.limit} GROUP BY ALL) GROUP BY event_id UNION ALL SELECT event_id, -1.0 FROM {UNIT} WHERE event_id < {int(h.window)}"
 
 
 @query(_hstrees_sql(_TREES))
 def hstrees(spark, sf_dir):
-    return rounded(_TREES.transform(unit_events(spark, sf_dir)), ["event_id"]).filter(~F.isnan("score"))
+    return rounded(marked(_TREES.transform(unit_events(spark, sf_dir))), ["event_id"])
 
 
 _CHAINS = det.XStream(250, 4, 3, 3, seed=6)
@@ -407,14 +451,25 @@ def _xstream_sql(x: det.XStream) -> str:
             times[d] += 1
             wide = float(2 ** times[d])
             bins[d] = f"CAST(trunc(least(greatest(n{d} * {wide!r} + {p['offset'][d]!r}, 0.0), {wide - 1!r})) AS INT)"
-            cells.append(f"SELECT event_id, blk, {c} AS chain, {level} AS level, concat_ws(':', {', '.join(bins)}) AS cell FROM norm")
+            named = [f"concat_ws(':', {', '.join(bins)})"]
+            if x.cms_d is not None:
+                named = [f"'{i}:' || (({' + '.join(f'{b} * {w}' for b, w in zip(bins, a))} + {shift}) % 1000003) % {x.cms_d}" for i, (a, shift) in enumerate(x.hashes())]
+            cells += [f"SELECT event_id, blk, {c} AS chain, {level} AS level, {cell} AS cell FROM norm" for cell in named]
     ctes += [f"cells AS ({' UNION ALL '.join(cells)})", "counts AS (SELECT blk + 1 AS blk, chain, level, cell, count(*) AS n FROM cells GROUP BY ALL)"]
-    return f"WITH {', '.join(ctes)} SELECT event_id, CAST(-sum(s) AS DOUBLE) + 0.0 AS score FROM (SELECT event_id, chain, min(coalesce(n, 0) * pow(2, level + 1)) AS s FROM cells LEFT JOIN counts USING (blk, chain, level, cell) WHERE blk > 0 GROUP BY ALL) GROUP BY event_id"
+    return f"WITH {', '.join(ctes)} SELECT event_id, CAST(-sum(s) AS DOUBLE) + 0.0 AS score FROM (SELECT event_id, chain, min(coalesce(n, 0) * pow(2, level + 1)) AS s FROM cells LEFT JOIN counts USING (blk, chain, level, cell) WHERE blk > 0 GROUP BY ALL) GROUP BY event_id UNION ALL SELECT event_id, -1.0 FROM proj WHERE blk = 0"
 
 
 @query(_xstream_sql(_CHAINS))
 def xstream(spark, sf_dir):
-    return rounded(_CHAINS.transform(unit_events(spark, sf_dir)), ["event_id"]).filter(~F.isnan("score"))
+    return rounded(marked(_CHAINS.transform(unit_events(spark, sf_dir))), ["event_id"])
+
+
+_CHAIN_SKETCH = det.XStream(250, 3, 3, 3, cms_w=2, cms_d=7, seed=6)
+
+
+@query(_xstream_sql(_CHAIN_SKETCH))
+def xstream_cms(spark, sf_dir):
+    return rounded(marked(_CHAIN_SKETCH.transform(unit_events(spark, sf_dir))), ["event_id"])
 
 
 def _lof_sql(w: int, k: int, simplified: bool) -> str:
@@ -474,9 +529,43 @@ def rrcf(spark, sf_dir):
     return rounded(ker.SWRRCT(W, 4, seed=2).transform(unit_events(spark, sf_dir)), ["event_id"])
 
 
-@query()
+_OBSERVERS = ker.SDOstream(12, 60, qv=0.3, x=4, seed=1, return_sampling=True)
+
+
+def _sdostream_sql(o: ker.SDOstream, draws: int = 4096) -> str:
+    """Row by row for all groups at once; observers are a list, draws are literals by row."""
+    fading, rate = math.exp(-1.0 / o.T), o.k * o.k / o.x / o.T
+    u = ", ".join(map(repr, np.random.default_rng(o.seed).random(draws).tolist()))
+    shape = lambda e, obs, touched: f"{{'x': {e}.x, 'obs': {obs}, 'touched': {touched}, 'added': {e}.added, 'idx': {e}.idx}}"
+    return f"""WITH RECURSIVE draws AS (SELECT [{u}] AS u),
+    ev AS (SELECT event_id, user_id % 97 AS g, CAST(cents AS DOUBLE) AS x, row_number() OVER (PARTITION BY user_id % 97 ORDER BY event_id) - 1 AS r FROM {EV}),
+    rec AS (
+        SELECT event_id, g, r, CAST(0 AS DOUBLE) AS score, 1 AS sampled, [{{'x': x, 'obs': 1.0::DOUBLE, 'touched': r + 1, 'added': r + 1, 'idx': r}}] AS state, r AS last FROM ev WHERE r = 0
+        UNION ALL
+        SELECT event_id, g, r, CASE WHEN len(act) % 2 = 1 THEN act[len(act) // 2 + 1] ELSE (act[len(act) // 2] + act[len(act) // 2 + 1]) / 2 END, CAST(hit AS INT),
+            CASE WHEN NOT hit THEN seen ELSE list_append(CASE WHEN len(seen) < {o.k} THEN seen ELSE list_filter(seen, lambda e: e.idx <> worst) END, {{'x': px, 'obs': 1.0::DOUBLE, 'touched': r + 1, 'added': r + 1, 'idx': r}}) END,
+            CASE WHEN hit THEN r ELSE last END
+        FROM (
+            SELECT *, u[r] * (list_sum(list_transform(o, lambda e: -e.nf)) + len(near)) * (r - last) < {rate!r} * (list_sum(list_transform(near, lambda i: -o[i].nf)) + len(near)) * (r - last) AS hit,
+                list_transform(range(1, len(o) + 1), lambda i: CASE WHEN list_contains(near, i) THEN {shape('o[i]', '-o[i].nf + 1', 'r + 1')} ELSE {shape('o[i]', 'o[i].obs', 'o[i].touched')} END) AS seen
+            FROM (
+                SELECT *, list_transform(list_sort(dist)[1:{o.x}], lambda e: e.i) AS near, list_sort(list_transform(dist[1:CAST(floor((len(o) - 1) * {1 - o.qv!r}) AS INT) + 1], lambda e: e.d))[1:{o.x}] AS act,
+                    list_sort(list_transform(o, lambda e: {{'w': -e.nf / (1 - pow({fading!r}, r + 1 - e.added)), 'idx': e.idx}}))[1].idx AS worst
+                FROM (
+                    SELECT *, list_transform(range(1, len(o) + 1), lambda i: {{'d': abs(o[i].x - px), 'i': i}}) AS dist
+                    FROM (
+                        SELECT ev.event_id, ev.g, ev.r, ev.x AS px, last, list_sort(list_transform(state, lambda e: {{'nf': -(e.obs * pow({fading!r}, ev.r + 1 - e.touched)), 'idx': e.idx, 'x': e.x, 'obs': e.obs, 'touched': e.touched, 'added': e.added}})) AS o
+                        FROM rec JOIN ev ON ev.g = rec.g AND ev.r = rec.r + 1
+                    )
+                )
+            ), draws
+        )
+    ) SELECT event_id, g AS group97, round(score, 6) AS score, sampled FROM rec"""
+
+
+@query(_sdostream_sql(_OBSERVERS))
 def sdostream(spark, sf_dir):
-    return rounded(ker.SDOstream(40, 500, seed=1, return_sampling=True).transform(events(spark, sf_dir)), ["event_id"])
+    return rounded(_OBSERVERS.transform(events(spark, sf_dir, key=["group97"], dense=False)), ["event_id", "group97"])
 
 
 @query(f"SELECT event_id, coalesce(f.score, -2.0) AS score FROM ({_FIFTH}) f ORDER BY f.score DESC NULLS FIRST, event_id LIMIT 10")

@@ -24,8 +24,10 @@ class Stream:
     order: str
     time: str | None = None
     key: list[str] = field(default_factory=list)
-    #: Whether `order` already counts 0, 1, 2, ... within each key.
+    #: Whether `order` already counts 0, 1, 2, ... within each key; one that does not raises.
     dense: bool = False
+    #: Whether time never falls within a key, so that a key can be cut on its time axis; one that falls raises.
+    rising: bool = False
     #: "double" or "float": features are rounded to that type on the way in.
     float_type: str = "double"
     #: Length of the array, where the one feature is an array column.
@@ -74,8 +76,23 @@ def numbered(df: DataFrame, order: str, key: list[str]) -> DataFrame:
     return joined.withColumn("idx", (F.col("__i") + F.col("__before") - 1).cast("long")).drop("__row", "__part", "__i", "__before", "__p", *(f"__k{i}" for i in range(len(key))))
 
 
+def check_dense(s: Stream) -> None:
+    """Whether the order counts 0, 1, 2, ... within each key: one aggregate of two columns,
+    once for each stream."""
+    if not s.dense or getattr(s, "_checked", False):
+        return
+    n = F.col(s.order)
+    each = s.df.groupBy(*s.key).agg(F.count("*").alias("rows"), F.count(n).alias("n"), F.min(n).alias("low"), F.max(n).alias("high"), F.sum(n.cast("decimal(38,0)")).alias("total"))
+    # with these ends and this sum, a place that is missing and one that is doubled can only hide each other if they balance
+    whole = (F.col("n") == F.col("rows")) & (F.col("low") == 0) & (F.col("high") == F.col("rows") - 1) & (F.col("total") * 2 == F.col("rows").cast("decimal(38,0)") * F.col("high"))
+    if each.filter((F.col("rows") > 0) & ~F.coalesce(whole, F.lit(False))).limit(1).count():
+        raise ValueError(f"{s.order} does not count 0, 1, 2, ... within each key: leave out dense")
+    object.__setattr__(s, "_checked", True)
+
+
 def ingest(s: Stream) -> DataFrame:
     """order, key columns, idx, t, x0.. of the stream."""
+    check_dense(s)
     if s.dimension:
         raw = [(F.get(F.col(s.features[0]), i), f"{s.features[0]}[{i}]") for i in range(s.dimension)]
     else:

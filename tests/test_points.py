@@ -2,10 +2,12 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from brooklet.functions.vec import numpy_metric
 from brooklet.operators import simjoin
 from brooklet.operators.pointset import PointSet
+from brooklet.plans.lineage import written
 
 
 def frame(spark, points, key="key"):
@@ -98,3 +100,63 @@ def test_lookups(spark):
     assert tree.delete_by_index(0, None, 2).count() == 2 and tree.clear().count() == 0 and tree.clear().dimension() is None
     ragged = PointSet.ragged(tree.knn(frame(spark, [(0, [0, 0])], "query_id"), 2)).first()
     assert ragged.keys == [10, 20] and ragged.length == 2
+
+
+def test_lists_of_ordinals(spark):
+    own = PointSet(spark.createDataFrame([(k, [float(k)]) for k in (3, 9, 4, 20)], "key long, vec array<double>"))
+    got = sorted((r.place, r.ix, r.key) for r in own.by_index([2, -1, 0, 2]).collect())
+    assert got == [(0, 2, 9), (1, 3, 20), (2, 0, 3), (3, 2, 9)]
+    frame = spark.createDataFrame([(1,), (-4,)], "ix long")
+    assert sorted(r.key for r in own.by_index(frame).collect()) == [3, 4]
+    assert sorted(r.key for r in own.delete_by_index([0, -1, 0]).points.collect()) == [4, 9]
+    new = spark.createDataFrame([(-1, [0.5])], "ix long, vec array<double>")
+    assert {r.key: r.vec for r in own.update_by_index(new).points.collect()}[20] == [0.5]
+    for bad in ([4], [-5]):
+        with pytest.raises(Exception, match="no such ordinal"):
+            own.by_index(bad).collect()
+        with pytest.raises(Exception, match="no such ordinal"):
+            own.delete_by_index(bad).points.collect()
+
+
+def test_churn(spark):
+    """Many random changes of a large set against a plain dict; lookups by key, place and distance."""
+    rng, plain = np.random.default_rng(8), {}
+    own = PointSet.empty(spark)
+    for step in range(5):
+        new = rng.random((2000, 4))
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(new)], "row long, vec array<double>")
+        own, keys = own.insert(df, "row")
+        own = own.__class__(written(own.points, "churn"), own.counter)
+        plain |= {r.key: new[r.row] for r in keys.collect()}
+        gone = rng.choice(sorted(plain), int(rng.integers(200, 900)), replace=False).tolist()
+        own, found = own.remove(spark.createDataFrame([(k,) for k in [*gone, 10**9]], "key long"))
+        assert {r.key for r in found.collect() if not r.found} == {10**9}
+        for k in gone:
+            del plain[k]
+        moved = rng.choice(sorted(plain), 300, replace=False).tolist()
+        to = rng.random((300, 4))
+        own = own.upsert(spark.createDataFrame([(k, v.tolist()) for k, v in zip(moved, to)], "key long, vec array<double>"))
+        plain |= dict(zip(moved, to))
+        own = own.__class__(written(own.points, "churn"), own.counter)
+        places = rng.integers(-len(plain), len(plain), 50).tolist()
+        order = sorted(plain)
+        assert [r.key for r in own.by_index(places).orderBy("place").collect()] == [order[i] for i in places]
+        data, asked = np.array([plain[k] for k in order]), rng.random((20, 4))
+        q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(asked)], "query_id long, vec array<double>")
+        d = np.sqrt(((asked[:, None] - data[None]) ** 2).sum(-1))
+        radius, k = float(rng.gamma(1, 0.3)), int(rng.poisson(5)) + 1
+        assert {(r.query_id, r.key) for r in own.neighbors(q, radius).collect()} == {(i, order[j]) for i, j in zip(*np.nonzero(d <= radius))}
+        near = sorted((r.query_id, r.rank, r.key) for r in own.knn(q, k).collect())
+        assert near == [(i, n + 1, order[j]) for i in range(20) for n, j in enumerate(np.argsort(d[i], kind="stable")[:k])]
+    assert own.count() == len(plain)
+
+
+def test_a_callable_that_is_no_metric(spark):
+    squared = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
+    df = spark.createDataFrame([(i, [float(i)]) for i in range(30)], "key long, vec array<double>")
+    q = df.selectExpr("key AS query_id", "vec")
+    got = {(r.query_id, r.key) for r in simjoin.range_join(q, df, 9.0, squared, {"metric": False}).collect()}
+    assert got == {(i, j) for i in range(30) for j in range(30) if (i - j) ** 2 <= 9}
+    absolute = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, v: s + v)
+    got = {(r.query_id, r.key) for r in simjoin.range_join(q, df, 3.0, absolute).collect()}
+    assert got == {(i, j) for i in range(30) for j in range(30) if abs(i - j) <= 3}
