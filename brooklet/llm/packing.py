@@ -9,7 +9,9 @@ partition is left. If its fullest window exceeds the capacity, the number of
 windows rises and the shard is split again.
 
 There is no shuffle: a task packs what it scans. Null and empty texts give one
-piece, the end id alone. Repeated rows and null ids are packed like any others.
+piece, the end id alone. Repeated rows and null ids are packed like any others. A special
+token that a text spells out, in its own case, is that token, as for the tokenizer; in
+another case it is plain text.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from pyspark.sql import functions as F
 from brooklet.llm.common import kept_by_worker, text_or_empty
 
 CACHED_CHARS = 10_000_000
+#: What every special token of the tokenizers in use begins with.
+SPECIAL = "<|"
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
@@ -87,9 +91,16 @@ def windows_of(sizes: list[int], capacity: int) -> list[list[int]]:
 UNIT_RE = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+(?=[.,!?*#%&$]*(?:[\x20\x09-\x0D]|\Z))|[^\x20\x09-\x0D]+")
 
 
+WHITE_RE = re.compile(r"[\x20\x09-\x0D]")
+
+
 def units(text: str) -> list[str]:
     """The tokenizer lower-cases anyway; doing so before leaves fewer distinct units. Only
-    Latin-1 texts are lowered here: there, the order of lowering and NFC cannot matter."""
+    Latin-1 texts are lowered here: there, the order of lowering and NFC cannot matter. Texts
+    with a mark that begins a special token are not: the tokenizer looks for special tokens, in
+    their own case, before it lowers."""
+    if SPECIAL in text:
+        return UNIT_RE.findall(text)
     try:
         text.encode("latin-1")
     except UnicodeEncodeError:
@@ -120,6 +131,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        odd = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not t.content.startswith(SPECIAL) or t.normalized or WHITE_RE.search(t.content)]
+        if odd:
+            raise ValueError(f"special tokens that this encoder cannot keep apart: {odd}")
         self.forget()
 
     @classmethod
