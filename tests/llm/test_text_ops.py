@@ -344,3 +344,20 @@ def test_the_media_store_is_a_written_table_of_distinct_payloads(spark):
     got = table.collect()
     assert table.inputFiles() and len(got) == len({t or "" for t in texts}) == len({r.ref for r in got})
     assert sorted(media.read_back(r.media)[: r.n_bytes].decode() for r in got) == sorted({t or "" for t in texts})
+
+
+def test_many_secrets_in_one_text(spark):
+    """Thousands of matches: places stay right over chunks, and spans that meet base ones go."""
+    texts = [" ".join(f"{i:x}".rjust(26, "f") if i % 2 else f"token={i}Zq8Rt5Lw2Vb9Xc4Nm7Kp3" for i in range(n)) for n in (1, 63, 64, 65, 3000)]
+    found = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in found:
+        text = texts[r.doc_id]
+        want = sorted([(m.start(), "assign", m.end()) for m in re.finditer(r"token=([A-Za-z0-9]+)", text) if len(m[1]) >= 6] + [(m.start(), "hex", m.end()) for m in re.finditer("[0-9a-f]{24,}", text)])
+        assert [(s.start, s.kind, s.end) for s in r.spans] == want and all(text[s.start : s.end] == s.text for s in r.spans)
+
+
+def test_entropy_spans_stay_clear_of_base_ones(spark):
+    key = "Zq8Rt5Lw2Vb9Xc4Nm7Kp3Hj6"
+    texts = [f"{key} x", f"{'0123456789abcdef' * 2}{key}", f"{key}{'0123456789abcdef' * 2}", f"secret={key} {key}", f"{key} {'0123456789abcdef' * 2} {key}"]
+    got = [[s.kind for s in r.spans] for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == [["entropy"], ["hex"], ["hex"], ["assign", "entropy"], ["entropy", "hex", "entropy"]]
