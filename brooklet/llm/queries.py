@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brooklet.llm import embeddings, lm, media, mixing, ngram_join, packing, pii, quality, secrets, tokens
-from brooklet.llm.common import crc_mod, read
+from brooklet.llm.common import crc_mod, read, written
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +41,8 @@ def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     sequences = media.interleave(media.as_pages(docs), "doc_id")
-    found = media.resolve(sequences, media.features(media.store(docs)), "doc_id")
+    # written, so that the join can split a hot ref
+    found = media.resolve(sequences, written(media.features(media.store(docs)), "features"), "doc_id")
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
 
 
