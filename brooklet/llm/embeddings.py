@@ -6,11 +6,12 @@ pair one at least holds no more than its proportional share of that budget. So e
 block is range-joined under its share, and the union of candidates is verified by
 cosine in double precision: no pair is lost, none below t is linked.
 
-At the thresholds in use a block's ball covers most of its space (t = 0.9 and 16
-dimensions: radius 0.22 of a typical distance 0.35), so no cell grid prunes; tiles of
-classes meet in tasks and the range join of a block is one small matrix product, which
-leaves about one pair in 10^5 to verify. The number of tile pairs is quadratic in
-rows / tile_rows.
+At the thresholds in use cells prune little: at t = 0.9 a block of 16 dimensions has radius
+0.22, its pairs a median distance of 0.69 to 0.70 and a 1 % quantile of 0.43 (sf0.1), and of
+256 cells around pivots a block still has to visit 37 %. So tiles of classes meet in tasks
+and the range join of a block is one small matrix product, which leaves about one pair in
+10^5 to verify. Work is quadratic in rows: a tile grows with the input up to a fixed size,
+and a task takes many pairs of tiles once there are more than MAX_TASKS of them.
 
 Equal vectors form a class first and count by weight. A task reports counts of links
 and a spanning forest of its links, never the pairs, so a hot group costs rows in
@@ -34,6 +35,10 @@ from brooklet.llm.graph import LocalForest, class_table
 BLOCK_DIMENSIONS = 16
 #: Tiles that a small input is cut into at most, so that its work spreads over tasks.
 SPREAD = 8
+#: Rows of a tile: few in small inputs, more in large ones, so that fewer copies of each are dealt.
+TILE_ROWS, MOST_TILE_ROWS = 8192, 32_768
+#: Tiles up to which a tile keeps TILE_ROWS, and tasks that pairs of tiles are dealt to at most.
+MANY_TILES, MAX_TASKS = 64, 20_000
 
 
 def rotation(d: int, seed: int = 3) -> np.ndarray:
@@ -78,7 +83,7 @@ def tile_links(a: np.ndarray, b: np.ndarray, threshold: float, same: bool, step:
                     yield p[good], q[good]
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.9, tile_rows: int = 8192, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.9, tile_rows: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
     id_type = vectors.schema[id_col].dataType.simpleString()
 
@@ -96,6 +101,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, tile_rows: int =
     rows = written(vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>")).mapInArrow(prepare, f"id {id_type}, key binary, raw binary, dim int"), "vectors")
     classes = written(rows.filter("key is not null").groupBy("key").agg(F.min("id").alias("first_id"), F.count("*").alias("n"), F.max("raw").alias("raw"), F.max("dim").alias("dim")), "classes")
     n = classes.count()
+    tile_rows = tile_rows or min(max(TILE_ROWS, -(-n // MANY_TILES)), MOST_TILE_ROWS)
     # tiles of tile_rows; of fewer, down to an eighth, as long as there are no more than SPREAD tiles
     tiles = max(1, -(-n // tile_rows), min(-(-8 * n // tile_rows), SPREAD))
 
@@ -104,7 +110,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, tile_rows: int =
     pairs = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
     dealt = classes.select("dim", "key", "n", "raw", tile.alias("tile")).withColumn("other", pairs)
     dealt = dealt.select("dim", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "key", "n", "raw")
-    dealt = dealt.repartition(max(1, tiles * (tiles + 1) // 2), "dim", "low", "high").sortWithinPartitions("dim", "low", "high")
+    dealt = dealt.repartition(min(max(1, tiles * (tiles + 1) // 2), MAX_TASKS), "dim", "low", "high").sortWithinPartitions("dim", "low", "high")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept_by_worker("embeddings")
