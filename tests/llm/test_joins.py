@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from brooklet.llm import embeddings, graph, ngram_join
 
@@ -86,7 +87,7 @@ def test_jaccard_hot_group(spark):
 def test_prefix_reaches_the_target():
     for t in (0.5, 0.8, 0.95):
         k = ngram_join.prefix_length(t)
-        assert k == 1 or 1 - (1 - t**k) ** ngram_join.TREES >= ngram_join.TARGET
+        assert k == 1 or 1 - (1 - t**k) ** ngram_join.TREES >= ngram_join.LEAST
     assert ngram_join.prefix_length(0.8) > ngram_join.prefix_length(0.5)
 
 
@@ -148,9 +149,55 @@ def test_pigeonhole_loses_nothing():
     assert got == {(i, j) for i, j in np.argwhere(s >= 0.9).tolist() if i != j}
 
 
-def test_deeper_matches_are_in_the_bands():
-    k, rng = ngram_join.prefix_length(0.8), np.random.default_rng(3)
-    parts = rng.integers(0, 3, (300, ngram_join.DEPTH))
-    met = lambda n: {(i, j) for i in range(300) for j in range(i) if (parts[i, :n] == parts[j, :n]).all()}
-    shortened = set().union(*(met(n) for n in range(ngram_join.DEPTH, k - 1, -1)))
-    assert shortened == met(k) and met(k) > met(ngram_join.DEPTH)
+def test_pairs_meet_at_their_deepest_node():
+    rng = np.random.default_rng(3)
+    rest = rng.integers(0, 3, (200, 3)).astype(np.uint32)
+    rest = rest[np.lexsort(rest.T[::-1])]
+    tile = rng.integers(0, 2, 200)
+    for two in (False, True):
+        got = [(d, i, int(j)) for d, i, later in ngram_join.met_pairs(rest, tile, two) for j in later]
+        depth = lambda i, j: next((d for d in range(3) if rest[i, d] != rest[j, d]), 3)
+        want = {(depth(i, j), i, j) for i in range(200) for j in range(i + 1, 200) if not two or tile[i] != tile[j]}
+        assert len(got) == len(want) and set(got) == want and [d for d, _, _ in got] == sorted((d for d, _, _ in got), reverse=True)
+
+
+def test_prefixes_shorten_until_the_target():
+    least, trees = ngram_join.prefix_length(0.8), ngram_join.TREES
+    stats = lambda s: {k: (100.0, 100 * (1 - s**k) ** trees) for k in range(least, ngram_join.DEPTH + 1)}
+    stops = [ngram_join.shortened(stats(s), least) for s in (0.8, 0.83, 0.85, 0.86, 0.87, 0.88, 0.9, 1.0)]
+    assert stops == sorted(stops) and stops[0] == least and stops[-1] == ngram_join.DEPTH and len(set(stops)) > 2
+    assert ngram_join.shortened({}, least) == ngram_join.DEPTH
+
+
+def test_prefixes_follow_the_data(spark):
+    """Copies with one word changed need no short prefix; texts near the threshold do."""
+    rng, least = np.random.default_rng(5), ngram_join.prefix_length(0.8)
+
+    def stop(changes: int) -> int:
+        rows = []
+        for i in range(60):
+            words = [f"w{w}" for w in rng.integers(0, 10**6, 300)]
+            rows.append((2 * i, " ".join(words)))
+            for at in np.linspace(10, 290, changes).astype(int):
+                words[at] = "new"
+            rows.append((2 * i + 1, " ".join(words)))
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        classes = ngram_join.keyed(docs, "doc_id", "text")
+        found = ngram_join.forest_edges(classes, 0.8, 4)
+        stats = {r.prefix: (r.links, r.missed) for r in found.filter("a is null").groupBy("prefix").agg(F.sum("links").alias("links"), F.sum("missed").alias("missed")).collect()}
+        assert abs(stats[least][0] - 60) < 15  # the links there are
+        return ngram_join.shortened(stats, least)
+
+    assert stop(1) > stop(6) >= least
+
+
+def test_keep_one_bears_columns_of_any_type(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, text, {"a": 2}, [1.5], b"x"), (1, text, {"a": 1}, None, b"y"), (2, text, None, [], None), (None, None, {}, [], b""), (3, "", None, None, None), (4, "other words", {"b": None}, [2.0], b"z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>, l array<double>, b binary")
+    got = ngram_join.keep_one(docs)
+    assert got.schema.simpleString() == docs.schema.simpleString()
+    kept = {(r.doc_id, None if r.m is None else tuple(r.m.items())) for r in got.collect()}
+    assert kept == {(1, (("a", 1),)), (3, None), (4, (("b", None),))}
+    twice = docs.select("doc_id", "text", *(["m"] * 2))
+    assert ngram_join.keep_one(twice.toDF("doc_id", "text", "m", "m2")).count() == 3
