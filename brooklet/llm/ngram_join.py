@@ -51,7 +51,7 @@ SLACK = 4.0
 #: Rows of a tile of a large node; rows and shingles of a tile of a large candidate group; and the
 #: number of tiles that a group of medium size is cut into at most, so that its verification
 #: spreads over tasks. (A node has one in each tree.)
-TILE, GROUP_TILE, TILE_SHINGLES, SMALL_TILE, SPREAD = 256, 768, 500_000, 64, 24
+TILE, GROUP_TILE, TILE_SHINGLES, SMALL_TILE, SPREAD = 256, 768, 500_000, 64, 12
 
 
 def prefix_length(threshold: float, trees: int = TREES, depth: int = DEPTH, target: float = LEAST) -> int:
