@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 _own: dict[str, str] = {}
 
@@ -38,7 +39,9 @@ def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Dat
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     df.write.partitionBy(*partition_by).option("compression", "zstd").parquet(path)
-    return spark.read.parquet(path) if partition_by else spark.read.schema(df.schema).parquet(path)
+    # a schema, so that an empty table can be read
+    fields = sorted(df.schema.fields, key=lambda f: f.name in partition_by)
+    return spark.read.schema(T.StructType(fields)).parquet(path)
 
 
 def dropped(df: DataFrame) -> None:
