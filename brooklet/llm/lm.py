@@ -5,28 +5,29 @@ of that word (its ending: two letters, hashed to CLASSES), whose parent is a coa
 (PARENTS of them share the root), whose parent serves all words; the root's base is uniform
 over the training vocabulary and one unknown word. A context's table counts are its
 parent's customers. There is a restaurant for every distinct preceding word, so contexts
-grow with the corpus; they are told apart by hashes of 64 bits.
+grow with the corpus; they are told apart by class and hashes of 38 bits.
 
 All pairs of a word sit in one bucket, so seating is sampled bucket by bucket:
 
-1. `chunks` reads documents in chunks of bounded size and sends each bucket one block:
+1. `cut` reads documents in chunks of bounded size and sends each bucket one block:
    the chunk's words of that bucket and their counts per preceding word.
-2. Buckets add up the blocks to a state. A Gibbs pass resamples the number of tables of
-   every (context, word) given its parent's predictive probability, level by level, and
-   writes the state anew. Totals of a preceding word are summed over buckets by a shuffle
-   before each pass; those of the classes, a fixed number of them, come to the driver.
-   Passes go on until the totals of every level settle; random numbers are keyed by
-   word, context and pass, so results do not depend on buckets.
+2. Buckets add up the blocks to a state. A Gibbs sweep takes the tables of every (context,
+   word) out of its own context and of its parent, and draws their number anew given all
+   others, level by level. A bucket sweeps several times between exchanges: what it changes
+   itself counts at once, what other buckets change counts from the next exchange on. Totals
+   of a preceding word are summed over buckets by a shuffle; those of the classes, a fixed
+   number of them, come to the driver. Passes go on until the totals of every level settle;
+   random numbers are keyed by word, context and sweep, so the order of rows does not matter.
    One customer always has one table, so the state has pairs of two customers or more,
    and of the others only how many customers they send to each class.
-3. A last pass averages predictive probabilities over the sampled states, each with the
-   totals of its own pass, and answers each block; chunks meet their answers and score
-   their documents.
+3. A last pass takes samples, and predictive probabilities are averaged over them, each
+   with the totals of all buckets for that very sample; so those of a context sum to 1.
+   Every block is answered, and chunks meet their answers and score their documents.
 
-The number of tables t for c customers has conditional weight S_d(c, t) a^t, with
-generalised Stirling numbers S_d and a = (strength + d T) P_parent(word). It is drawn
-from that exactly for up to EXACT customers; further customers are then seated in
-turn, a new table with probability a / (a + n - d t), in blocks of n/32 that share it.
+The number of tables t for c customers has conditional weight S_d(c, t), generalised
+Stirling numbers, times the rising products of what each further table costs in its context
+and in the parent. It is drawn from that exactly for up to EXACT customers; further
+customers are then seated in turn, in blocks of n/32 that share one probability.
 
 The model and all counts come from every training document, and every text is scored
 whole. Null and empty texts are one end token. Ids may repeat or be null.
@@ -45,6 +46,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from brooklet.llm.common import kept_by_worker, runs, text_or_empty, written
 from brooklet.plans.lineage import dropped
@@ -53,6 +55,7 @@ PARENTS, CHILDREN = 32, 32
 CLASSES = PARENTS * CHILDREN
 END = b""
 EXACT = 96
+HASH_BITS = 38
 CHUNK_BYTES = 12_000_000
 #: Share by which totals may still move from pass to pass when they count as settled.
 SETTLED = 0.01
@@ -79,12 +82,26 @@ def class_of(word: bytes) -> int:
 
 
 def keys_of(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes, by which words are told apart as contexts."""
-    return np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
+    """What tells words apart as contexts: their class, then 38 bits of a hash. Of 10^7 words, about one pair shares a key."""
+    classes = np.fromiter(map(class_of, words), np.uint64, len(words))
+    return (classes << np.uint64(HASH_BITS)) | (np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)) >> np.uint64(64 - HASH_BITS))
+
+
+def _gaps(keys: np.ndarray) -> bytes:
+    """Ascending keys as bytes of their gaps, by place value, which pack well."""
+    gaps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
+    return gaps.view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes()
+
+
+def _of_gaps(raw: bytes) -> np.ndarray:
+    gaps = np.zeros((len(raw) // 6, 8), np.uint8)
+    gaps[:, :6] = np.frombuffer(raw, np.uint8).reshape(6, -1).T
+    return np.cumsum(gaps.view("<u8")[:, 0], dtype=np.uint64)
 
 
 class Chunk:
-    """Tokens of some documents by local word numbers, and the distinct (word, word before) pairs."""
+    """Tokens of some documents as distinct (word, word before) pairs. Words are numbered by
+    bucket, and pairs by word, so what belongs to a bucket is a stretch of either."""
 
     def __init__(self, texts: list[str], buckets: int):
         known: dict[bytes, int] = {END: 0}
@@ -93,39 +110,34 @@ class Chunk:
         for text in texts:
             own = words_of(text)
             each.append(np.fromiter((number(w, len(known)) for w in own), np.int32, len(own)))
-        self.words = list(known)
+        words = list(known)
+        bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int32, len(words))
+        order = np.argsort(bucket, kind="stable")
+        rank = np.empty(len(words), np.int64)
+        rank[order] = np.arange(len(words))
+        self.words = [words[i] for i in order]
         self.lengths = np.array([len(e) + 1 for e in each], np.int64)
-        self.tokens = np.concatenate([x for e in each for x in (e, np.zeros(1, np.int32))]) if each else np.zeros(0, np.int32)
-        del each
-        before = np.r_[0, self.tokens[:-1]].astype(np.int64)  # what stands before a text is the end of another
-        self.pairs, pair_of = np.unique(self.tokens.astype(np.int64) * len(self.words) + before, return_inverse=True)
-        self.pair_of = pair_of.astype(np.int32)
-        del before, pair_of
-        bucket = np.array([zlib.crc32(w) % buckets for w in self.words], np.int32)
-        self.order = []  # word numbers by bucket, pair numbers by bucket, and where buckets begin
-        for of in (bucket, bucket[self.pairs // len(self.words)]):
-            order = np.argsort(of, kind="stable")
-            self.order.append((order, np.searchsorted(of[order], np.arange(buckets + 1))))
+        tokens = rank[np.concatenate([x for e in each for x in (e, np.zeros(1, np.int32))])] if each else np.zeros(0, np.int64)
+        del each, known
+        before = np.r_[rank[:1], tokens[:-1]]  # what stands before a text is the end of another
+        self.pairs, pair_of = np.unique(tokens * len(words) + before, return_inverse=True)
+        self.pair_of = pair_of.astype(np.uint32)
+        self.of_word = np.bincount(self.pairs // len(words), minlength=len(words)).astype(np.uint32)  # pairs of each word
+        self.word_cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        self.pair_cuts = np.r_[0, np.cumsum(self.of_word, dtype=np.int64)][self.word_cuts]
 
     def blocks(self, train: np.ndarray) -> Iterator[tuple[int, bytes]]:
         """(bucket, block): words, contexts, and for each pair its word, context and training count."""
         counts = np.bincount(self.pair_of, np.repeat(train, self.lengths), len(self.pairs)).astype(np.int64)
-        classes, keys = np.array([class_of(w) for w in self.words], np.uint16), keys_of(self.words)
-        local, number, here = np.zeros(len(self.words), np.int32), np.zeros(len(self.words), np.int32), np.zeros(len(self.words), bool)
-        for b in np.flatnonzero(np.diff(self.order[0][1])).tolist():
-            words, pairs = self.members(b)
-            local[words] = np.arange(len(words))
-            word, before = np.divmod(self.pairs[pairs], len(self.words))
-            here[before] = True
-            own = np.flatnonzero(here)
-            here[own], number[own] = False, np.arange(len(own))
-            context = number[before]
-            each = np.bincount(local[word], minlength=len(words))  # pairs stand by word
-            yield b, _packed((b"\n".join(self.words[i] for i in words), keys[own], classes[own], each.astype(np.uint32), context.astype(np.uint16 if len(own) < 65536 else np.uint32), counts[pairs].astype(np.uint32)))
-
-    def members(self, b: int) -> tuple[np.ndarray, np.ndarray]:
-        """Word numbers and pair numbers of a bucket, ascending."""
-        return tuple(order[at[b] : at[b + 1]] for order, at in self.order)
+        keys = keys_of(self.words)
+        place = np.empty(len(self.words), np.int64)
+        by_key = np.argsort(keys, kind="stable")
+        place[by_key] = np.arange(len(keys))  # contexts stand by key
+        for b in np.flatnonzero(np.diff(self.word_cuts)).tolist():
+            words, pairs = (slice(*cuts[b : b + 2]) for cuts in (self.word_cuts, self.pair_cuts))
+            own, context = np.unique(place[self.pairs[pairs] % len(self.words)], return_inverse=True)
+            own = by_key[own]
+            yield b, _packed((b"\n".join(self.words[words]), _gaps(keys[own]), self.of_word[words], context.astype(np.uint16 if len(own) < 65536 else np.uint32), counts[pairs].astype(np.uint32)))
 
 
 def stirling(d: float, most: int = EXACT) -> np.ndarray:
@@ -172,9 +184,29 @@ def binomial(keys: np.ndarray, step: int, n: np.ndarray, p: np.ndarray) -> np.nd
     return out
 
 
-def seat(rng: np.random.Generator | None, c: np.ndarray, a: np.ndarray, d: float, log_s: np.ndarray, keys: np.ndarray | None = None) -> np.ndarray:
-    """Table counts for c customers each, given the weight a of a new table. Random numbers
-    are those of the keys, if there are any."""
+class Cost:
+    """What a further table costs, for each pair: the i-th one has weight (theta + d i) times the
+    parent's predictive probability once i customers more sit there."""
+
+    def __init__(self, d: float, theta: np.ndarray, base: np.ndarray, later: np.ndarray | None = None, total: np.ndarray | None = None):
+        self.d, self.theta, self.base, self.later, self.total = d, theta, base, later, total
+
+    def logs(self, part: np.ndarray, k: int) -> np.ndarray:
+        i = np.arange(k)
+        out = self.theta[part][:, None] + self.d * i
+        if self.total is None:  # the base of all is fixed
+            return np.log(out * self.base[part][:, None])
+        up = self.later[part][:, None] + i
+        up[:, 0] = self.base[part]
+        return np.log(out * up / (self.total[part][:, None] + i))
+
+    def weight(self, part: np.ndarray, t: np.ndarray) -> np.ndarray:
+        return (self.theta[part] + self.d * t) * (self.base[part] if self.total is None else self.base[part] / self.total[part])
+
+
+def seat(rng: np.random.Generator | None, c: np.ndarray, a: "np.ndarray | Cost", d: float, log_s: np.ndarray, keys: np.ndarray | None = None) -> np.ndarray:
+    """Table counts for c customers each, given the weight a of a new table (or what each costs).
+    Random numbers are those of the keys, if there are any."""
     step = 0
     t = np.minimum(c, 1).astype(np.int64)
     some = np.flatnonzero(c >= 2)
@@ -184,7 +216,8 @@ def seat(rng: np.random.Generator | None, c: np.ndarray, a: np.ndarray, d: float
     for low, high in zip(cuts, [*cuts[1:], len(order)]):
         own, k = order[low:high], int(first[low])
         for part in np.array_split(own, max(1, len(own) * k // 4_000_000 + 1)):
-            w = log_s[k, 1 : k + 1] + np.log(a[part])[:, None] * np.arange(1, k + 1)
+            cost = a.logs(part, k).cumsum(1) if isinstance(a, Cost) else np.log(a[part])[:, None] * np.arange(1, k + 1)
+            w = log_s[k, 1 : k + 1] + cost
             w = np.exp(w - w.max(1, keepdims=True)).cumsum(1)
             u = rng.random(len(part)) if keys is None else uniform(keys[part], step)
             t[part] = 1 + (w < u[:, None] * w[:, -1:]).sum(1)
@@ -192,7 +225,8 @@ def seat(rng: np.random.Generator | None, c: np.ndarray, a: np.ndarray, d: float
     n = np.full(len(rest), EXACT, np.int64)
     while len(rest):
         block = np.minimum(np.maximum(1, n // 32), c[rest] - n)
-        p, step = np.clip(a[rest] / (a[rest] + n - d * t[rest]), 0, 1), step + 1
+        new = a.weight(rest, t[rest]) if isinstance(a, Cost) else a[rest]
+        p, step = np.clip(new / (new + n - d * t[rest]), 0, 1), step + 1
         t[rest] += rng.binomial(block, p) if keys is None else binomial(keys[rest], step, block, p)
         n = n + block
         more = n < c[rest]
@@ -206,22 +240,20 @@ class Bucket:
     def __init__(self, blocks: list[bytes]):
         number: dict[bytes, int] = {}
         read = [_unpacked(raw) for raw in blocks]
-        keys, first, place_of = np.unique(np.concatenate([r[1] for r in read]), return_index=True, return_inverse=True)
-        classes = np.concatenate([r[2] for r in read])[first]
-        order = np.argsort(classes, kind="stable")  # contexts stand by class, so that pairs do
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        self.keys, self.classes = keys[order], classes[order].astype(np.int64)
+        every = [_of_gaps(r[1]) for r in read]
+        # contexts stand by key, and so by class, so that pairs do
+        self.keys, place_of = np.unique(np.concatenate(every), return_inverse=True)
+        self.classes = (self.keys >> np.uint64(HASH_BITS)).astype(np.int64)
         own, counts, self.parts, at = [], [], [], 0
-        for words, block_keys, _, each, context, count in read:
+        for n_keys, (words, _, each, context, count) in zip(map(len, every), read):
             place = np.array([number.setdefault(w, len(number)) for w in words.split(b"\n")], np.int64)
-            known = rank[place_of[at : at + len(block_keys)]]
-            at += len(block_keys)
-            own.append(np.repeat(place, each) * len(keys) + known[context])
+            known = place_of[at : at + n_keys]
+            at += n_keys
+            own.append(np.repeat(place, each) * len(self.keys) + known[context])
             counts.append(count)
             self.parts.append((len(context), place))
         pairs, self.inverse = np.unique(np.concatenate(own), return_inverse=True)
-        self.word3, self.context3 = np.divmod(pairs, len(keys))
+        self.word3, self.context3 = np.divmod(pairs, len(self.keys))
         self.c3 = np.bincount(self.inverse, np.concatenate(counts), len(pairs)).astype(np.int64)
         self.word_keys = keys_of(list(number))
         code = self.word3 * CLASSES + self.classes[self.context3]  # ascending
@@ -307,6 +339,21 @@ class Bucket:
         own.seated(tables)
         return own
 
+    def refeed(self) -> None:
+        """Customers from the tables below them; where there are too few for the tables, fewer tables."""
+        fit = lambda t, c: np.clip(t, c > 0, c)
+        self.c2 = self.fed(2)
+        self.t2 = fit(self.t2, self.c2)
+        self.c1 = self.fed(1)
+        self.t1 = fit(self.t1, self.c1)
+        self.c0 = self.fed(0)
+        self.t0 = fit(self.t0, self.c0)
+
+    def sums(self) -> dict:
+        """What this bucket has of each total."""
+        by = lambda at, x, n: np.bincount(at, x, n)
+        return {"t3": by(self.context3, self.t3, len(self.keys)), "c2": by(self.context2, self.c2, CLASSES), "t2": by(self.context2, self.t2, CLASSES), "c1": by(self.context1, self.c1, PARENTS), "t1": by(self.context1, self.t1, PARENTS), "c0": float(self.c0.sum()), "t0": float(self.t0.sum())}
+
     def totals(self) -> list[tuple[int, int, int]]:
         """(number of the total, customers, tables): classes, then their parents, then the root, then words and tokens."""
         out = []
@@ -324,7 +371,7 @@ class Bucket:
         order, cuts = self._by_shard(shards)
         own = self.own_totals(each)[:, order]
         for g in np.flatnonzero(np.diff(cuts)).tolist():
-            yield g, _packed((self.keys[order[cuts[g] : cuts[g + 1]]], own[:, cuts[g] : cuts[g + 1]].astype(np.uint32)))
+            yield g, _packed((_gaps(self.keys[order[cuts[g] : cuts[g + 1]]]), own[:, cuts[g] : cuts[g + 1]].astype(np.uint32)))
 
     def met(self, shards: int, replies: list[bytes]) -> np.ndarray:
         """What all buckets have of each context; replies stand by shard."""
@@ -338,7 +385,7 @@ class Bucket:
 
     def _by_shard(self, shards: int) -> tuple[np.ndarray, np.ndarray]:
         shard = (self.keys % np.uint64(shards)).astype(np.int64)
-        order = np.argsort(shard, kind="stable")
+        order = np.lexsort((self.keys, shard))
         return order, np.searchsorted(shard[order], np.arange(shards + 1))
 
     def probabilities(self, total: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -361,24 +408,57 @@ class Bucket:
         return (self.c3 - d * self.t3 + (s + d * t) * self.probabilities(total)[0][self.up3]) / (s + c)
 
     def sweep(self, rng: np.random.Generator | int, total: dict, log_s: list[np.ndarray]) -> None:
-        """rng: a generator, or the number from which keyed random numbers start."""
-        (d0, d1, d2, d3), (s0, s1, s2, s3) = DISCOUNT, STRENGTH
-        p2, p1, p0 = self.probabilities(total)
-
-        def drawn(level: int, c: np.ndarray, a: np.ndarray, word: np.ndarray, context: np.ndarray) -> np.ndarray:
+        """One draw of every table count, each without its own tables in what it is given.
+        rng: a generator, or the number from which keyed random numbers start."""
+        own = self.sums()
+        others = {k: total[k] - v for k, v in own.items() if k in total}
+        whole = lambda k, own: others.get(k, 0) + own[k]
+        p1, p0 = self.probabilities(total)[1:]
+
+        def drawn(level: int, c, t, tables, word, context, parent=None) -> np.ndarray:
+            """tables: of each pair's context; parent: customers, tables, their totals and what its parent predicts, of each pair."""
+            d, s, some = DISCOUNT[level], STRENGTH[level], np.flatnonzero(c > 1)  # one customer has one table
+            out = np.minimum(c, 1)
+            c, t, tables, word, context = c[some], t[some], tables[some], word[some], context[some]
+            theta = s + d * (tables - t)
+            if parent is None:
+                cost = Cost(d, theta, np.full(len(c), 1 / (total["v"] + 1)))
+            else:
+                (pc, pt, all_c, all_t, back), d_up, s_up = (x[some] for x in parent), DISCOUNT[level - 1], STRENGTH[level - 1]
+                pc, all_c = pc - t, all_c - t
+                kept = np.minimum(pt, pc)
+                all_t = all_t - (pt - kept)
+                later = pc - d_up * np.maximum(kept, 1) + (s_up + d_up * (all_t + (kept == 0))) * back
+                cost = Cost(d, theta, pc - d_up * kept + (s_up + d_up * all_t) * back, later, s_up + all_c)
             if not isinstance(rng, int):
-                return seat(rng, c, a, DISCOUNT[level], log_s[level])
-            start = np.uint64((rng * 4 + level) * 0xD1B54A32D192ED03 % 2**64)
-            return seat(None, c, a, DISCOUNT[level], log_s[level], mixed(self.word_keys[word] + mixed(context.astype(np.uint64) ^ start)))
-
-        self.t3 = drawn(3, self.c3, (s3 + d3 * self.by_context(total)[1]) * p2[self.up3], self.word2[self.up3], self.keys[self.context3])
-        self.c2 = self.fed(2)
-        self.t2 = drawn(2, self.c2, (s2 + d2 * total["t2"][self.context2]) * p1[self.up2], self.word2, self.context2)
-        self.c1 = self.fed(1)
-        self.t1 = drawn(1, self.c1, (s1 + d1 * total["t1"][self.context1]) * p0[self.word1], self.word1, self.context1)
-        self.c0 = self.fed(0)
+                out[some] = seat(rng, c, cost, d, log_s[level])
+            else:
+                start = np.uint64((rng * 4 + level) * 0xD1B54A32D192ED03 % 2**64)
+                out[some] = seat(None, c, cost, d, log_s[level], mixed(self.word_keys[word] + mixed(context.astype(np.uint64) ^ start)))
+            return out
+
+        up = self.up3
+        self.t3 = drawn(3, self.c3, self.t3, whole("t3", own)[self.context3], self.word2[up], self.keys[self.context3], (self.c2[up], self.t2[up], whole("c2", own)[self.context2[up]], whole("t2", own)[self.context2[up]], p1[self.up2][up]))
+        self.refeed()
+        own, up = self.sums(), self.up2
+        self.t2 = drawn(2, self.c2, self.t2, whole("t2", own)[self.context2], self.word2, self.context2, (self.c1[up], self.t1[up], whole("c1", own)[self.context1[up]], whole("t1", own)[self.context1[up]], p0[self.word1[up]]))
+        self.refeed()
+        own = self.sums()
+        words, n = self.word1, len(self.word1)
+        self.t1 = drawn(1, self.c1, self.t1, whole("t1", own)[self.context1], words, self.context1, (self.c0[words], self.t0[words], np.full(n, whole("c0", own)), np.full(n, whole("t0", own)), np.full(n, 1 / (total["v"] + 1))))
+        self.refeed()
         words = np.arange(self.n_words)
-        self.t0 = drawn(0, self.c0, np.full(self.n_words, (s0 + d0 * total["t0"]) / (total["v"] + 1)), words, words * 0)
+        self.t0 = drawn(0, self.c0, self.t0, np.full(self.n_words, whole("t0", self.sums())), words, words * 0)
+
+    def sweeps(self, total: dict, log_s: list[np.ndarray], steps: list[int], burn_in: int | None = None) -> None:
+        """Sweeps with the totals of all buckets at the last exchange and what this one has changed
+        since; after burn_in of them (if that is given) each is a sample."""
+        own = self.sums()
+        others = {k: total[k] - v for k, v in own.items()}
+        for i, step in enumerate(steps):
+            self.sweep(step, total | {k: others[k] + v for k, v in self.sums().items()}, log_s)
+            if burn_in is not None and i >= burn_in:
+                self.samples.append(self.tables())
 
 
 def settled(old: dict, new: dict, share: float) -> bool:
@@ -391,7 +471,7 @@ def summed(every: list[bytes], listed: list[bytes], to_all: bool, n: int) -> lis
     """Sums over the buckets of what they have of the contexts of a shard. every: customers and
     single tables of all contexts (or nothing, if these are known); listed: tables of listed pairs in n seatings.
     Answers every (customers, then all tables of each seating) or listed (single tables, then others)."""
-    every, listed = [_unpacked(raw) for raw in every], [_unpacked(raw) for raw in listed]
+    every, listed = ([(_of_gaps(keys), sums) for keys, sums in map(_unpacked, rows)] for rows in (every, listed))
     keys, place = np.unique(np.concatenate([r[0] for r in every + listed]), return_inverse=True)
     cut = sum(len(r[0]) for r in every)
     of_every, of_listed = place[:cut], place[cut:]
@@ -402,10 +482,12 @@ def summed(every: list[bytes], listed: list[bytes], to_all: bool, n: int) -> lis
     return [_packed(sums[:, own].astype(np.uint64)) for own in np.split(at, np.cumsum([len(r[0]) for r in read])[:-1])] if read else []
 
 
-def _collected(totals: DataFrame) -> dict:
-    """Totals of all buckets: a fixed number of rows."""
-    out = {k: np.zeros(n, np.float64) for k, n in (("c2", CLASSES), ("t2", CLASSES), ("c1", PARENTS), ("t1", PARENTS))} | {"c0": 0.0, "t0": 0.0, "n": 0, "v": 0}
-    for number, c, t in totals.groupBy("number").agg(F.sum("c"), F.sum("t")).collect():
+def _collected(totals: DataFrame) -> list[dict]:
+    """Totals of all buckets for each seating: a fixed number of rows."""
+    blank = lambda: {k: np.zeros(n, np.float64) for k, n in (("c2", CLASSES), ("t2", CLASSES), ("c1", PARENTS), ("t1", PARENTS))} | {"c0": 0.0, "t0": 0.0, "n": 0, "v": 0}
+    found: dict[int, dict] = {}
+    for sample, number, c, t in totals.groupBy("sample", "number").agg(F.sum("c"), F.sum("t")).collect():
+        out = found.setdefault(sample, blank())
         if number < CLASSES:
             out["c2"][number], out["t2"][number] = c, t
         elif number < CLASSES + PARENTS:
@@ -414,14 +496,15 @@ def _collected(totals: DataFrame) -> dict:
             out["c0"], out["t0"] = float(c), float(t)
         else:
             out["n"], out["v"] = int(c), int(t)
-    return out
+    return [found[i] for i in sorted(found)] or [blank()]  # no rows, no totals
 
 
-def scores(docs: DataFrame, train, sweeps: int = 3, burn_in: int = 1, samples: int = 3, seed: int = 23, chunk_bytes: int = CHUNK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scores(docs: DataFrame, train, sweeps: int = 2, burn_in: int = 1, samples: int = 3, seed: int = 23, chunk_bytes: int = CHUNK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, train, n_tokens, n_known, train_tokens, base_score, score, perplexity of every row.
 
     train: a condition (column) that says which rows the model learns from.
-    sweeps: Gibbs passes before the totals may count as settled.
+    sweeps: Gibbs sweeps between two exchanges of totals; burn_in: those of the last pass before
+    its samples.
     """
     id_type = docs.schema[id_col].dataType
     narrow = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
@@ -437,10 +520,8 @@ def scores(docs: DataFrame, train, sweeps: int = 3, burn_in: int = 1, samples: i
             nonlocal chunk
             table = pa.Table.from_batches(held)
             own = Chunk(table["text"].to_pylist(), buckets)
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                out.write_table(table)
-            rows = [(-1, sink.getvalue().to_pybytes()), *own.blocks(table["train"].to_numpy(zero_copy_only=False).astype(np.float64))]
+            train = table["train"].to_numpy(zero_copy_only=False)
+            rows = [(-1, _packed((table["id"].to_pylist(), train, own.lengths.astype(np.uint32), own.of_word, own.pair_of))), *own.blocks(train.astype(np.float64))]
             for low in range(0, len(rows), 16):
                 part = rows[low : low + 16]
                 yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(part), pa.int64()), pa.array([r[0] for r in part], pa.int32()), pa.array([r[1] for r in part], pa.binary()), pa.array([int(r[0] < 0) for r in part], pa.int32())], ["chunk", "bucket", "data", "state"])
@@ -467,9 +548,14 @@ def scores(docs: DataFrame, train, sweeps: int = 3, burn_in: int = 1, samples: i
     def sent_on(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int64(), pa.binary()))], ["bucket", "kind", "source", "data"])
 
-    def left(b: int, own: Bucket, each: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        yield sent_on([(b, 0, -1, own.state()), (b, 3, b, _packed(own.totals()))])
-        for g, data in own.asked(buckets, each):
+    def left(b: int, own: Bucket, tables: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        """The state, and for each seating its totals and its tables of contexts."""
+        every = []
+        for sample, seating in enumerate(tables):
+            own.seated(seating)
+            every += [(sample, *row_) for row_ in own.totals()]
+        yield sent_on([(b, 0, -1, own.state()), (b, 3, b, _packed(every))])
+        for g, data in own.asked(buckets, [seating[0] for seating in tables]):
             yield sent_on([(g, 1, b, data)])
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -478,7 +564,7 @@ def scores(docs: DataFrame, train, sweeps: int = 3, burn_in: int = 1, samples: i
             for g, data in own.asked(buckets, [own.c3, own.c3 == 1]):
                 yield sent_on([(g, 4, b, data)])
             own = own.thin()
-            yield from left(b, own, [own.t3])
+            yield from left(b, own, [own.tables()])
 
     def reply(to_all: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -489,17 +575,16 @@ def scores(docs: DataFrame, train, sweeps: int = 3, burn_in: int = 1, samples: i
 
         return run
 
-    def swept(total: dict, k: int, sampled: bool, last: bool):
+    def swept(total: dict, k: int, sampled: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             log_s = [stirling(d) for d in DISCOUNT]
             for (b,), rows in runs(batches, 1):
                 own = Bucket.of(rows[0][2])
                 single, tables = own.met(buckets, [r[2] for r in rows[1:]])
                 own.single += single  # comes with the first answer only
-                own.sweep(seed << 20 | k, total | {"c3": None, "t3": own.single + tables}, log_s)
-                if sampled:
-                    own.samples.append(own.tables())
-                yield from left(b, own, [x[0] for x in own.samples] if last else [own.t3])
+                steps = [seed << 20 | k << 8 | i for i in range(burn_in + samples if sampled else sweeps)]
+                own.sweeps(total | {"c3": None, "t3": own.single + tables}, log_s, steps, burn_in if sampled else None)
+                yield from left(b, own, own.samples if sampled else [own.tables()])
 
         return run
 
@@ -509,33 +594,28 @@ def scores(docs: DataFrame, train, sweeps: int = 3, burn_in: int = 1, samples: i
     def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for raw in batch.column(0).to_pylist():
-                n, c, t = zip(*_unpacked(raw))
-                yield pa.RecordBatch.from_arrays([pa.array(n, pa.int32()), pa.array(c, pa.int64()), pa.array(t, pa.int64())], ["number", "c", "t"])
+                sample, n, c, t = zip(*_unpacked(raw))
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (sample, n, c, t)], ["sample", "number", "c", "t"])
 
-    def kept(rows: DataFrame) -> tuple[DataFrame, dict]:
-        """The written pass, and its totals of classes."""
+    def kept(rows: DataFrame) -> tuple[DataFrame, list[dict]]:
+        """The written pass, and its totals of classes for each seating."""
         table = written(rows, "seats", ("kind",)).select("bucket", "kind", "source", "data")
-        return table, _collected(table.filter("kind = 3").select("data").mapInArrow(numbers, "number int, c long, t long"))
+        return table, _collected(table.filter("kind = 3").select("data").mapInArrow(numbers, "sample long, number long, c long, t long"))
 
-    first, total = kept(dealt(blocks).mapInArrow(opened, row))
+    first, (total,) = kept(dealt(blocks).mapInArrow(opened, row))
     table, asks = first, first.filter("kind in (1, 4)")
-    of_samples: list[dict] = []
-    k, more = 0, None  # more: passes to go, once the totals have settled
-    while more != 0:
-        sampled = more is not None and more <= samples
+    k, sampled = 0, False
+    while True:
         state = table.filter("kind = 0").unionByName(dealt(asks).mapInArrow(reply(False), row))
         old, before = table, total
-        table, total = kept(dealt(state).mapInArrow(swept(total, k, sampled, more == 1), row))
+        table, of_samples = kept(dealt(state).mapInArrow(swept(total, k, sampled), row))
         if old is not first:
             dropped(old)
         asks = table.filter("kind = 1")
         if sampled:
-            of_samples.append(total)
-        k += 1
-        if more is not None:
-            more -= 1
-        elif k >= sweeps and settled(before, total, SETTLED):
-            more = burn_in + samples
+            break
+        total, k = of_samples[0], k + 1
+        sampled = settled(before, total, SETTLED)
     state = table.filter("kind = 0").unionByName(dealt(asks.unionByName(first.filter("kind = 4"))).mapInArrow(reply(True), row))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -557,24 +637,22 @@ def scores(docs: DataFrame, train, sweeps: int = 3, burn_in: int = 1, samples: i
 
     answers = dealt(state.unionByName(blocks)).mapInArrow(answer, "chunk long, bucket int, data binary")
     meet = answers.unionByName(sent.filter("state = 1").select("chunk", "bucket", "data")).repartition(4 * parts, "chunk").sortWithinPartitions("chunk", "bucket")
-    n_train, v = total["n"], total["v"]
+    n_train, v, id_arrow = total["n"], total["v"], to_arrow_type(id_type)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept_by_worker("lm")
         for _, rows in runs(batches, 1):
             (first, state), rest = rows[0], rows[1:]
             assert first == -1
-            table = pa.ipc.open_stream(state).read_all()
-            own = Chunk(table["text"].to_pylist(), buckets)
-            count, log_p = np.zeros(len(own.words), np.int64), np.zeros(len(own.pairs))
-            for b, data in rest:
-                words, pairs = own.members(b)
-                count[words], log_p[pairs] = _unpacked(data)
-            starts = np.r_[0, np.cumsum(own.lengths)[:-1]]
-            base = np.log10((count + 0.5) / (n_train + 0.5 * (v + 1)))[own.tokens]
-            known = (count > 0)[own.tokens].astype(np.int64)
-            total_p = np.add.reduceat(log_p[own.pair_of], starts)
-            arrays = [table["id"].combine_chunks(), table["train"].combine_chunks(), pa.array(own.lengths), pa.array(np.add.reduceat(known, starts)), pa.array(np.full(len(starts), n_train, np.int64)), pa.array(np.add.reduceat(base, starts)), pa.array(total_p), pa.array(10.0 ** np.minimum(-total_p / own.lengths, 300))]
+            ids, train_, lengths, of_word, pair_of = _unpacked(state)
+            answers = [_unpacked(data) for _, data in rest]  # by bucket, as words and pairs are numbered
+            count, log_p = (np.concatenate(x) for x in zip(*answers))
+            base = np.log10((count + 0.5) / (n_train + 0.5 * (v + 1)))
+            word_of = np.repeat(np.arange(len(of_word)), of_word)[pair_of]
+            starts = np.r_[0, np.cumsum(lengths, dtype=np.int64)[:-1]]
+            add = lambda x: np.add.reduceat(x, starts)
+            total_p = add(log_p.astype(np.float64)[pair_of])
+            arrays = [pa.array(ids, id_arrow), pa.array(train_), pa.array(lengths.astype(np.int64)), pa.array(add((count > 0)[word_of].astype(np.int64))), pa.array(np.full(len(starts), n_train, np.int64)), pa.array(add(base[word_of])), pa.array(total_p), pa.array(10.0 ** np.minimum(-total_p / lengths, 300))]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
 
     return meet.mapInArrow(score, f"doc_id {id_type.simpleString()}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")

@@ -58,38 +58,99 @@ def test_seating_has_the_conditional_distribution():
     assert lm.seat(rng, np.array([0, 1, 2, 100_000]), np.ones(4), d, log_s)[:2].tolist() == [0, 1]
 
 
-def test_probabilities_nearly_sum_to_one():
+def _buckets(n):
     rng = np.random.default_rng(1)
     words = [f"w{int(x)}" for x in rng.zipf(1.3, 40_000) % 3000]
     texts = [" ".join(words[i : i + 100]) for i in range(0, len(words), 100)]
-    chunk = lm.Chunk(texts, 1)
-    bucket = lm.Bucket([dict(chunk.blocks(np.ones(len(texts))))[0]])
+    chunks = [lm.Chunk(part, n) for part in (texts[:150], texts[150:])]
+    blocks = [dict(c.blocks(np.ones(len(c.lengths)))) for c in chunks]
+    return [lm.Bucket([b[i] for b in blocks if i in b]) for i in range(n)]
+
+
+def _totals(buckets):
+    """Totals of all buckets as they stand, and for each bucket those of its own contexts."""
+    out = {"v": sum(b.n_words for b in buckets)}
+    for b in buckets:
+        for k, v in b.sums().items():
+            if k != "t3":
+                out[k] = out.get(k, 0) + v
+    tables, customers = Counter(), Counter()
+    for b in buckets:
+        for key, c, t in zip(b.keys.tolist(), *b.own_totals([b.c3, b.t3]).tolist()):
+            customers[key] += c
+            tables[key] += t
+    each = [{"c3": np.array([customers[k] for k in b.keys.tolist()]), "t3": np.array([tables[k] for k in b.keys.tolist()])} for b in buckets]
+    return out, each
+
+
+def test_probabilities_sum_to_one_in_every_context():
+    """Several buckets, several sweeps between exchanges, and totals of the last seating."""
+    buckets, log_s = _buckets(3), [lm.stirling(d) for d in lm.DISCOUNT]
+    for pass_ in range(3):
+        total, each = _totals(buckets)
+        for b, own in zip(buckets, each):
+            b.sweeps(total | own, log_s, [pass_ << 8 | i for i in range(3)])
+            assert all((t >= (c > 0)).all() and (t <= c).all() for t, c in ((b.t3, b.c3), (b.t2, b.c2), (b.t1, b.c1), (b.t0, b.c0)))
+    total, each = _totals(buckets)
+    (s0, s1, s2, s3), (d0, d1, d2, d3) = lm.STRENGTH, lm.DISCOUNT
+    levels = [b.probabilities(total) for b in buckets]
+    unknown = (s0 + d0 * total["t0"]) / (total["v"] + 1) / (s0 + total["c0"])
+    assert sum(p0.sum() for _, _, p0 in levels) + unknown == pytest.approx(1, abs=1e-9)
+    p1_all = {g: unknown for g in range(lm.PARENTS)}  # mass of every word that a parent has not served, by its root
+    back1 = (s1 + d1 * total["t1"]) / (s1 + total["c1"])
+    for g in range(lm.PARENTS):
+        own = [(b.context1 == g, b, p) for b, p in zip(buckets, levels)]
+        rest = 1 - sum(p[2][b.word1[m]].sum() for m, b, p in own)
+        p1_all[g] = sum(p[1][m].sum() for m, b, p in own) + back1[g] * rest
+        assert p1_all[g] == pytest.approx(1, abs=1e-9)
+    back2 = (s2 + d2 * total["t2"]) / (s2 + total["c2"])
+    # leaf contexts: what they have served, and through their class, its parent and the root, all else
+    p2_of, p1_of, p0_of, leaf = {}, {}, {}, {}
+    for n, (b, own, (p2, p1, p0)) in enumerate(zip(buckets, each, levels)):
+        p2_of |= {(n, w, g): p for w, g, p in zip(b.word2.tolist(), b.context2.tolist(), p2)}
+        p1_of |= {(n, w, g): p for w, g, p in zip(b.word1.tolist(), b.context1.tolist(), p1)}
+        p0_of |= {(n, w): p for w, p in enumerate(p0)}
+        for key, w, p in zip(b.keys[b.context3].tolist(), b.word3.tolist(), b.leaves(total | own)):
+            leaf.setdefault(key, {})[n, w] = p
+    counts = {k: (c, t) for b, own in zip(buckets, each) for k, c, t in zip(b.keys.tolist(), own["c3"].tolist(), own["t3"].tolist())}
+    for key in list(leaf)[:: max(1, len(leaf) // 200)]:
+        g = int(key) >> lm.HASH_BITS
+        h = g // lm.CHILDREN
+        c, t = counts[key]
+        back3, mass = (s3 + d3 * t) / (s3 + c), 0.0
+        for word, p0 in p0_of.items():
+            p1 = p1_of.get((*word, h), back1[h] * p0)
+            p2 = p2_of.get((*word, g), back2[g] * p1)
+            mass += leaf[key].get(word, back3 * p2)
+        assert mass + back3 * back2[g] * back1[h] * unknown == pytest.approx(1, abs=1e-6)
+
+
+def test_a_draw_leaves_its_own_tables_out():
+    """One pair alone: its own seats must not tell it where to sit."""
+    chunk = lm.Chunk(["a b"] * 30, 1)
     log_s = [lm.stirling(d) for d in lm.DISCOUNT]
-
-    def total():
-        out = {"c2": np.zeros(lm.CLASSES), "t2": np.zeros(lm.CLASSES), "c1": np.zeros(lm.PARENTS), "t1": np.zeros(lm.PARENTS)}
-        for n, c, t in bucket.totals():
-            if n < lm.CLASSES:
-                out["c2"][n], out["t2"][n] = c, t
-            elif n < lm.CLASSES + lm.PARENTS:
-                out["c1"][n - lm.CLASSES], out["t1"][n - lm.CLASSES] = c, t
-            elif n == lm.CLASSES + lm.PARENTS:
-                out["c0"], out["t0"] = c, t
-            else:
-                out["v"] = t
-        return out
-
-    for _ in range(4):
-        bucket.sweep(rng, total(), log_s)
-    t = total()
-    p2, p1, p0 = bucket.probabilities(t)
-    unknown = (lm.STRENGTH[0] + lm.DISCOUNT[0] * t["t0"]) / (t["v"] + 1) / (lm.STRENGTH[0] + t["c0"])
-    assert p0.sum() + unknown == pytest.approx(1, abs=1e-6)
-    for g in np.unique(bucket.context1):
-        own = bucket.context1 == g
-        back = (lm.STRENGTH[1] + lm.DISCOUNT[1] * t["t1"][g]) / (lm.STRENGTH[1] + t["c1"][g])
-        rest = 1 - p0[bucket.word1[own]].sum()
-        assert p1[own].sum() + back * rest == pytest.approx(1, abs=1e-6)
+    seen = Counter()
+    for i in range(2000):
+        bucket = lm.Bucket([dict(chunk.blocks(np.ones(30)))[0]])
+        total, (own,) = _totals([bucket])
+        at = int(np.flatnonzero(bucket.c3 == 30)[0])
+        for start in (1, 20):
+            bucket.t3[at] = start
+            bucket.refeed()
+            total, (own,) = _totals([bucket])
+            bucket.sweep(i, total | own, log_s)
+            seen[start, int(bucket.t3[at])] += 1
+    means = [sum(t * n for (s, t), n in seen.items() if s == start) / 2000 for start in (1, 20)]
+    assert means[0] == pytest.approx(means[1], rel=0.15)
+
+
+def test_gaps_round_trip():
+    keys = np.unique(np.random.default_rng(2).integers(0, 2**48, 1000).astype(np.uint64))
+    assert (lm._of_gaps(lm._gaps(keys)) == keys).all() and len(lm._of_gaps(lm._gaps(keys[:0]))) == 0
+
+
+def test_empty_table(spark):
+    assert lm.scores(edge.empty(spark), queries.crc_mod("doc_id", 5) != 1).count() == 0
 
 
 def test_contexts_are_preceding_words():
