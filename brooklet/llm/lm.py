@@ -58,10 +58,11 @@ EXACT = 96
 HASH_BITS = 38
 CHUNK_BYTES = 12_000_000
 #: Share by which totals may still move from pass to pass when they count as settled.
-SETTLED = 0.01
-#: Discount and strength from the root down.
+SETTLED = 0.02
+#: Discount, strength and start (see Bucket.open) from the root down.
 DISCOUNT = (0.6, 0.7, 0.8, 0.8)
 STRENGTH = (5.0, 2.0, 1.0, 1.0)
+START = (0.45, 0.57, 0.66, 0.4)
 
 
 def _packed(x) -> bytes:
@@ -282,14 +283,15 @@ class Bucket:
         return np.bincount(self.up2, self.t2, len(self.word1)).astype(np.int64) if level else np.bincount(self.word1, self.t1, self.n_words).astype(np.int64)
 
     def open(self) -> None:
-        """One table for each dish that is served at all."""
-        self.t3 = np.minimum(self.c3, 1)
+        """A start not far from where sweeps lead: of c customers, c^START tables."""
+        begin = lambda c, e: np.clip(np.round(np.maximum(c, 1) ** e).astype(np.int64), c > 0, c)
+        self.t3 = begin(self.c3, START[3])
         self.c2 = self.fed(2)
-        self.t2 = np.minimum(self.c2, 1)
+        self.t2 = begin(self.c2, START[2])
         self.c1 = self.fed(1)
-        self.t1 = np.minimum(self.c1, 1)
+        self.t1 = begin(self.c1, START[1])
         self.c0 = self.fed(0)
-        self.t0 = np.minimum(self.c0, 1)
+        self.t0 = begin(self.c0, START[0])
 
     def tables(self) -> tuple[np.ndarray, ...]:
         return tuple(t.astype(np.uint32) for t in (self.t3, self.t2, self.t1, self.t0))
