@@ -13,11 +13,11 @@ All pairs of a word sit in one bucket, so seating is sampled bucket by bucket:
    the chunk's words of that bucket and their counts per preceding word.
 2. Buckets add up the blocks to a state. A Gibbs sweep takes the tables of every (context,
    word) out of its own context and of its parent, and draws their number anew given all
-   others, level by level. A bucket sweeps several times between exchanges: what it changes
-   itself counts at once, what other buckets change counts from the next exchange on. Totals
-   of a preceding word are summed over buckets by a shuffle; those of the classes, a fixed
-   number of them, come to the driver. Passes go on until the totals of every level settle;
-   random numbers are keyed by word, context and sweep, so the order of rows does not matter.
+   others, level by level. A bucket sweeps several times between exchanges of the contexts'
+   totals. Totals of a preceding word are summed over buckets by a shuffle; those of the
+   classes, a fixed number of them, come to the driver. Passes go on until the totals of
+   every level settle; random numbers are keyed by word, context and sweep, so results do
+   not depend on buckets.
    One customer always has one table, so the state has pairs of two customers or more,
    and of the others only how many customers they send to each class.
 3. A last pass takes samples, and predictive probabilities are averaged over them, each
@@ -409,27 +409,27 @@ class Bucket:
         c, t = self.by_context(total)
         return (self.c3 - d * self.t3 + (s + d * t) * self.probabilities(total)[0][self.up3]) / (s + c)
 
-    def sweep(self, rng: np.random.Generator | int, total: dict, log_s: list[np.ndarray]) -> None:
+    def sweep(self, rng: np.random.Generator | int, total: dict, log_s: list[np.ndarray], at: tuple[np.ndarray, ...] | None = None) -> None:
         """One draw of every table count, each without its own tables in what it is given.
-        rng: a generator, or the number from which keyed random numbers start."""
-        own = self.sums()
-        others = {k: total[k] - v for k, v in own.items() if k in total}
-        whole = lambda k, own: others.get(k, 0) + own[k]
+        rng: a generator, or the number from which keyed random numbers start; at: tables as
+        they stood when the totals were taken (if not now)."""
+        at3, at2, at1, at0 = at or (self.t3, self.t2, self.t1, self.t0)
         p1, p0 = self.probabilities(total)[1:]
 
-        def drawn(level: int, c, t, tables, word, context, parent=None) -> np.ndarray:
-            """tables: of each pair's context; parent: customers, tables, their totals and what its parent predicts, of each pair."""
+        def drawn(level: int, c, t, had, tables, word, context, parent=None) -> np.ndarray:
+            """had: tables of each pair in the totals; tables: of its context; parent: customers, tables, tables
+            in the totals, the two totals, and what its parent predicts, of each pair."""
             d, s, some = DISCOUNT[level], STRENGTH[level], np.flatnonzero(c > 1)  # one customer has one table
             out = np.minimum(c, 1)
-            c, t, tables, word, context = c[some], t[some], tables[some], word[some], context[some]
-            theta = s + d * (tables - t)
+            c, t, had, tables, word, context = c[some], t[some], had[some], tables[some], word[some], context[some]
+            theta = s + d * (tables - had)
             if parent is None:
                 cost = Cost(d, theta, np.full(len(c), 1 / (total["v"] + 1)))
             else:
-                (pc, pt, all_c, all_t, back), d_up, s_up = (x[some] for x in parent), DISCOUNT[level - 1], STRENGTH[level - 1]
-                pc, all_c = pc - t, all_c - t
+                (pc, pt, up_had, all_c, all_t, back), d_up, s_up = (x[some] for x in parent), DISCOUNT[level - 1], STRENGTH[level - 1]
+                pc, all_c = pc - t, all_c - had
                 kept = np.minimum(pt, pc)
-                all_t = all_t - (pt - kept)
+                all_t = all_t - up_had + kept
                 later = pc - d_up * np.maximum(kept, 1) + (s_up + d_up * (all_t + (kept == 0))) * back
                 cost = Cost(d, theta, pc - d_up * kept + (s_up + d_up * all_t) * back, later, s_up + all_c)
             if not isinstance(rng, int):
@@ -439,26 +439,24 @@ class Bucket:
                 out[some] = seat(None, c, cost, d, log_s[level], mixed(self.word_keys[word] + mixed(context.astype(np.uint64) ^ start)))
             return out
 
-        up = self.up3
-        self.t3 = drawn(3, self.c3, self.t3, whole("t3", own)[self.context3], self.word2[up], self.keys[self.context3], (self.c2[up], self.t2[up], whole("c2", own)[self.context2[up]], whole("t2", own)[self.context2[up]], p1[self.up2][up]))
+        up, of = self.up3, self.context2[self.up3]
+        self.t3 = drawn(3, self.c3, self.t3, at3, self.by_context(total)[1], self.word2[up], self.keys[self.context3], (self.c2[up], self.t2[up], at2[up], total["c2"][of], total["t2"][of], p1[self.up2][up]))
         self.refeed()
-        own, up = self.sums(), self.up2
-        self.t2 = drawn(2, self.c2, self.t2, whole("t2", own)[self.context2], self.word2, self.context2, (self.c1[up], self.t1[up], whole("c1", own)[self.context1[up]], whole("t1", own)[self.context1[up]], p0[self.word1[up]]))
+        up, of = self.up2, self.context1[self.up2]
+        self.t2 = drawn(2, self.c2, self.t2, at2, total["t2"][self.context2], self.word2, self.context2, (self.c1[up], self.t1[up], at1[up], total["c1"][of], total["t1"][of], p0[self.word1[up]]))
         self.refeed()
-        own = self.sums()
-        words, n = self.word1, len(self.word1)
-        self.t1 = drawn(1, self.c1, self.t1, whole("t1", own)[self.context1], words, self.context1, (self.c0[words], self.t0[words], np.full(n, whole("c0", own)), np.full(n, whole("t0", own)), np.full(n, 1 / (total["v"] + 1))))
+        up, n = self.word1, len(self.word1)
+        self.t1 = drawn(1, self.c1, self.t1, at1, total["t1"][self.context1], up, self.context1, (self.c0[up], self.t0[up], at0[up], np.full(n, total["c0"]), np.full(n, total["t0"]), np.full(n, 1 / (total["v"] + 1))))
         self.refeed()
         words = np.arange(self.n_words)
-        self.t0 = drawn(0, self.c0, self.t0, np.full(self.n_words, whole("t0", self.sums())), words, words * 0)
+        self.t0 = drawn(0, self.c0, self.t0, at0, np.full(self.n_words, total["t0"]), words, words * 0)
 
     def sweeps(self, total: dict, log_s: list[np.ndarray], steps: list[int], burn_in: int | None = None) -> None:
-        """Sweeps with the totals of all buckets at the last exchange and what this one has changed
-        since; after burn_in of them (if that is given) each is a sample."""
-        own = self.sums()
-        others = {k: total[k] - v for k, v in own.items()}
+        """Sweeps with the totals of all buckets at the last exchange; after burn_in of them (if
+        that is given) each is a sample."""
+        at = (self.t3, self.t2, self.t1, self.t0)
         for i, step in enumerate(steps):
-            self.sweep(step, total | {k: others[k] + v for k, v in self.sums().items()}, log_s)
+            self.sweep(step, total, log_s, at)
             if burn_in is not None and i >= burn_in:
                 self.samples.append(self.tables())
 
