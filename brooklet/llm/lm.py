@@ -38,9 +38,11 @@ from __future__ import annotations
 import pickle
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -55,6 +57,8 @@ PARENTS, CHILDREN = 32, 32
 CLASSES = PARENTS * CHILDREN
 END = b""
 EXACT = 96
+#: Customers up to which counts are drawn together, in arrays of that width.
+WIDTHS = (2, 3, 4, 5, 6, 8, 10, 12, 16, 20, 28, 40, 64, EXACT)
 HASH_BITS = 38
 CHUNK_BYTES = 12_000_000
 #: Share by which totals may still move from pass to pass when they count as settled.
@@ -73,18 +77,36 @@ def _unpacked(raw: bytes):
     return pickle.loads(zstandard.decompress(raw))
 
 
-def words_of(text: str) -> list[bytes]:
-    """Lower-cased A-Z, cut at ASCII white space (both are what bytes do)."""
-    return text.encode("utf-8", "replace").lower().split()
+def numbered(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words (the end first), the number of each token with an end after every text, tokens of each text.
+    Words are those of bytes: A-Z in lower case, cut at ASCII white space."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    flat, text_of = pc.list_flatten(split), pc.list_parent_indices(split)
+    full = pc.not_equal(flat, "")  # white space at an end of a text leaves an empty piece there
+    flat, text_of = flat.filter(full).dictionary_encode(), text_of.filter(full).to_numpy()
+    tokens = np.zeros(len(flat) + len(texts), np.int32)
+    tokens[np.arange(len(flat)) + text_of] = flat.indices.to_numpy() + 1
+    words = [END, *flat.dictionary.cast(pa.binary()).to_pylist()]
+    return words, tokens, np.bincount(text_of, minlength=len(texts)).astype(np.int64) + 1
 
 
 def class_of(word: bytes) -> int:
     return zlib.crc32(word[-1:]) % PARENTS * CHILDREN + zlib.crc32(word[-2:]) % CHILDREN
 
 
+@cache
+def _classes() -> np.ndarray:
+    """Classes by the last byte, then by the last two (65,536 numbers from 256 on)."""
+    return np.array([class_of(bytes([i])) for i in range(256)] + [class_of(bytes(divmod(i, 256))) for i in range(65536)], np.uint64)
+
+
 def keys_of(words: list[bytes]) -> np.ndarray:
     """What tells words apart as contexts: their class, then 38 bits of a hash. Of 10^7 words, about one pair shares a key."""
-    classes = np.fromiter(map(class_of, words), np.uint64, len(words))
+    raw = np.frombuffer(b"\0\0" + b"".join(words), np.uint8).astype(np.int64)
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(size) + 1
+    classes = _classes()[np.where(size > 1, 256 + raw[ends - 1] * 256 + raw[ends], raw[ends])]
+    classes[size == 0] = class_of(END)
     return (classes << np.uint64(HASH_BITS)) | (np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)) >> np.uint64(64 - HASH_BITS))
 
 
@@ -104,22 +126,15 @@ class Chunk:
     """Tokens of some documents as distinct (word, word before) pairs. Words are numbered by
     bucket, and pairs by word, so what belongs to a bucket is a stretch of either."""
 
-    def __init__(self, texts: list[str], buckets: int):
-        known: dict[bytes, int] = {END: 0}
-        number = known.setdefault
-        each = []
-        for text in texts:
-            own = words_of(text)
-            each.append(np.fromiter((number(w, len(known)) for w in own), np.int32, len(own)))
-        words = list(known)
-        bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int32, len(words))
+    def __init__(self, texts: list[str] | pa.Array, buckets: int):
+        words, tokens, self.lengths = numbered(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        keys = keys_of(words)
+        bucket = (keys % np.uint64(2**HASH_BITS) % np.uint64(buckets)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
         rank = np.empty(len(words), np.int64)
         rank[order] = np.arange(len(words))
-        self.words = [words[i] for i in order]
-        self.lengths = np.array([len(e) + 1 for e in each], np.int64)
-        tokens = rank[np.concatenate([x for e in each for x in (e, np.zeros(1, np.int32))])] if each else np.zeros(0, np.int64)
-        del each, known
+        self.words, self.keys = [words[i] for i in order.tolist()], keys[order]
+        tokens = rank[tokens]
         before = np.r_[rank[:1], tokens[:-1]]  # what stands before a text is the end of another
         self.pairs, pair_of = np.unique(tokens * len(words) + before, return_inverse=True)
         self.pair_of = pair_of.astype(np.uint32)
@@ -130,15 +145,14 @@ class Chunk:
     def blocks(self, train: np.ndarray) -> Iterator[tuple[int, bytes]]:
         """(bucket, block): words, contexts, and for each pair its word, context and training count."""
         counts = np.bincount(self.pair_of, np.repeat(train, self.lengths), len(self.pairs)).astype(np.int64)
-        keys = keys_of(self.words)
         place = np.empty(len(self.words), np.int64)
-        by_key = np.argsort(keys, kind="stable")
-        place[by_key] = np.arange(len(keys))  # contexts stand by key
+        by_key = np.argsort(self.keys, kind="stable")
+        place[by_key] = np.arange(len(by_key))  # contexts stand by key
         for b in np.flatnonzero(np.diff(self.word_cuts)).tolist():
             words, pairs = (slice(*cuts[b : b + 2]) for cuts in (self.word_cuts, self.pair_cuts))
             own, context = np.unique(place[self.pairs[pairs] % len(self.words)], return_inverse=True)
             own = by_key[own]
-            yield b, _packed((b"\n".join(self.words[words]), _gaps(keys[own]), self.of_word[words], context.astype(np.uint16 if len(own) < 65536 else np.uint32), counts[pairs].astype(np.uint32)))
+            yield b, _packed((b"\n".join(self.words[words]), _gaps(self.keys[own]), self.of_word[words], context.astype(np.uint16 if len(own) < 65536 else np.uint32), counts[pairs].astype(np.uint32)))
 
 
 def stirling(d: float, most: int = EXACT) -> np.ndarray:
@@ -213,12 +227,14 @@ def seat(rng: np.random.Generator | None, c: np.ndarray, a: "np.ndarray | Cost",
     some = np.flatnonzero(c >= 2)
     order = some[np.argsort(c[some], kind="stable")]
     first = np.minimum(c[order], EXACT)
-    cuts = np.flatnonzero(np.r_[True, first[1:] != first[:-1]]) if len(order) else np.zeros(0, np.int64)
-    for low, high in zip(cuts, [*cuts[1:], len(order)]):
-        own, k = order[low:high], int(first[low])
+    cuts = np.r_[0, np.searchsorted(first, WIDTHS, side="right")]
+    for low, high, k in zip(cuts, cuts[1:], WIDTHS):  # counts of like size are drawn at once; log S_d(c, t) is -inf for t > c
+        own = order[low:high]
+        if not len(own):
+            continue
         for part in np.array_split(own, max(1, len(own) * k // 4_000_000 + 1)):
             cost = a.logs(part, k).cumsum(1) if isinstance(a, Cost) else np.log(a[part])[:, None] * np.arange(1, k + 1)
-            w = log_s[k, 1 : k + 1] + cost
+            w = log_s[np.minimum(c[part], EXACT), 1 : k + 1] + cost
             w = np.exp(w - w.max(1, keepdims=True)).cumsum(1)
             u = rng.random(len(part)) if keys is None else uniform(keys[part], step)
             t[part] = 1 + (w < u[:, None] * w[:, -1:]).sum(1)
@@ -302,12 +318,9 @@ class Bucket:
 
     def whole(self, tables: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
         """Tables of a thin() bucket as those of this one, from which it came."""
-        out = []
-        self.open()
-        for had, own, few in zip((self.c3 > 1, self.c2 > 0, self.c1 > 0), (self.t3, self.t2, self.t1), tables):
-            own = own.copy()
-            own[had] = few
-            out.append(own)
+        out = [np.minimum(self.c3, 1), np.zeros_like(self.t2), np.zeros_like(self.t1)]
+        for own, listed, few in zip(out, (self.c3 > 1, self.c2 > 0, self.c1 > 0), tables):
+            own[listed] = few
         return (*out, tables[3])
 
     def thin(self) -> "Bucket":
@@ -519,7 +532,7 @@ def scores(docs: DataFrame, train, sweeps: int = 2, burn_in: int = 1, samples: i
         def send() -> Iterator[pa.RecordBatch]:
             nonlocal chunk
             table = pa.Table.from_batches(held)
-            own = Chunk(table["text"].to_pylist(), buckets)
+            own = Chunk(table["text"].combine_chunks(), buckets)
             train = table["train"].to_numpy(zero_copy_only=False)
             rows = [(-1, _packed((table["id"].to_pylist(), train, own.lengths.astype(np.uint32), own.of_word, own.pair_of))), *own.blocks(train.astype(np.float64))]
             for low in range(0, len(rows), 16):

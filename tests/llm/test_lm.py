@@ -1,8 +1,10 @@
+import random
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from brooklet.llm import lm, queries
@@ -188,3 +190,13 @@ def test_keyed_numbers_have_their_distributions():
 def test_totals_settle_only_when_no_level_moves():
     start = {k: np.full(2, 1e6) for k in ("c2", "t2", "c1", "t1", "c0", "t0")}
     assert lm.settled(start, start, 0.01) and not lm.settled(start, start | {"c1": np.full(2, 1.05e6)}, 0.01)
+
+
+def test_words_are_those_of_bytes():
+    rng = random.Random(4)
+    texts = ["", "  ", "a", "A b\t\x0bC\x0c\n", "é É x y Z\x1fq\x1c", *("".join(rng.choice("aB éİ\n\t\x00\u3000😀\x85") for _ in range(rng.randrange(40))) for _ in range(500))]
+    words, tokens, lengths = lm.numbered(pa.array(texts))
+    split = [t.encode().lower().split() for t in texts]
+    assert [words[i] for i in tokens.tolist()] == [w for own in split for w in (*own, lm.END)]
+    assert lengths.tolist() == [len(own) + 1 for own in split]
+    assert (lm.keys_of(words) >> np.uint64(lm.HASH_BITS)).tolist() == [lm.class_of(w) for w in words]
