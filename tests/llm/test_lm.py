@@ -178,9 +178,8 @@ def test_scores_do_not_depend_on_buckets(spark, sf):
 
 def test_keyed_numbers_have_their_distributions():
     keys = lm.mixed(np.arange(100_000, dtype=np.uint64))
-    for n, p in ((3, 0.2), (700, 0.9), (1000, 0.01)):
-        got = lm.binomial(keys, 1, np.full(len(keys), n), np.full(len(keys), p))
-        assert got.mean() == pytest.approx(n * p, rel=0.01) and got.var() == pytest.approx(n * p * (1 - p), rel=0.03) and got.max() <= n
+    got = lm.normal(keys)
+    assert abs(got.mean()) < 0.02 and got.var() == pytest.approx(1, rel=0.03) and np.mean(got < 1) == pytest.approx(0.8413, abs=0.01)
     log_s = lm.stirling(0.7)
     draws = lm.seat(None, np.full(len(keys), 5), np.full(len(keys), 0.8), 0.7, log_s, keys)
     want = np.exp(log_s[5, 1:6] + np.log(0.8) * np.arange(1, 6))
@@ -200,3 +199,20 @@ def test_words_are_those_of_bytes():
     assert [words[i] for i in tokens.tolist()] == [w for own in split for w in (*own, lm.END)]
     assert lengths.tolist() == [len(own) + 1 for own in split]
     assert (lm.keys_of(words) >> np.uint64(lm.HASH_BITS)).tolist() == [lm.class_of(w) for w in words]
+
+
+@pytest.mark.parametrize("d", [0.6, 0.8])
+@pytest.mark.parametrize("c", [100, 400])
+def test_many_customers_are_seated_as_by_the_exact_conditional(c, d):
+    n, whole = 4000, lm.stirling(d, 400)
+    keys = np.arange(n).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for theta, later, total in ((1, 0.05, 1e4), (50, 30, 1e3), (1000, 200, 5e3), (5000, 2000, 1e4)):
+        cost = lm.Cost(d, *(np.full(n, float(x)) for x in (theta, later, later, total)))
+        w = whole[c, 1 : c + 1] + cost.logs(np.array([0]), c)[0].cumsum()
+        w = np.exp(w - w.max()) / np.exp(w - w.max()).sum()
+        t = np.arange(1, c + 1)
+        mean = (w * t).sum()
+        spread = ((w * t * t).sum() - mean * mean) ** 0.5
+        got = lm.seat(None, np.full(n, c), cost, d, lm.stirling(d), keys)
+        assert abs(got.mean() - mean) < 0.04 * mean + 0.25, (theta, later, got.mean(), mean)
+        assert abs(got.std() - spread) < 0.15 * spread + 0.1, (theta, later, got.std(), spread)
