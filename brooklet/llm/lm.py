@@ -27,7 +27,7 @@ All pairs of a word sit in one bucket, so seating is sampled bucket by bucket:
 The number of tables t for c customers has conditional weight S_d(c, t), generalised
 Stirling numbers, times the rising products of what each further table costs in its context
 and in the parent. It is drawn from that exactly for up to EXACT customers, beyond them from
-its saddle point form (laplace), whose mean is within a few hundredths of the exact one.
+its saddle point form (laplace), whose mean was 0 to 9 % below the exact one (3.65 for 4.01 at worst).
 
 The model and all counts come from every training document, and every text is scored
 whole. Null and empty texts are one end token. Ids may repeat or be null.
