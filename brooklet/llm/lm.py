@@ -22,7 +22,8 @@ All pairs of a word sit in one bucket, so seating is sampled bucket by bucket:
    and of the others only how many customers they send to each class.
 3. A last pass takes samples, and predictive probabilities are averaged over them, each
    with the totals of all buckets for that very sample; so those of a context sum to 1.
-   Every block is answered, and chunks meet their answers and score their documents.
+   Every block is answered, in ANSWERED parts one after the other, and chunks meet their answers and
+   score their documents. What is not read again is deleted before the next step.
 
 The number of tables t for c customers has conditional weight S_d(c, t), generalised
 Stirling numbers, times the rising products of what each further table costs in its context
@@ -38,7 +39,7 @@ from __future__ import annotations
 import pickle
 import zlib
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +52,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from brooklet.llm.common import kept_by_worker, runs, text_or_empty, written
-from brooklet.plans.lineage import dropped
+from brooklet.plans.lineage import dropped, released
 
 PARENTS, CHILDREN = 32, 32
 CLASSES = PARENTS * CHILDREN
@@ -61,6 +62,8 @@ EXACT = 96
 WIDTHS = (2, 3, 4, 5, 6, 8, 10, 12, 16, 20, 28, 40, 64, EXACT)
 HASH_BITS = 38
 CHUNK_BYTES = 12_000_000
+#: Parts in which blocks are answered, one after the other, so that their second shuffle is on disk in parts only.
+ANSWERED = 3
 #: Share by which totals may still move from pass to pass when they count as settled.
 SETTLED = 0.02
 #: Discount, strength and start (see Bucket.open) from the root down.
@@ -122,6 +125,22 @@ def _of_gaps(raw: bytes) -> np.ndarray:
     return np.cumsum(gaps.view("<u8")[:, 0], dtype=np.uint64)
 
 
+def _texts_packed(pair_of: np.ndarray, lengths: np.ndarray) -> bytes:
+    """Pairs of each text as bytes of the gaps between them, by place value. They stand in ascending order, as sums over a text need no other."""
+    own = np.sort(np.repeat(np.arange(len(lengths), dtype=np.uint64), lengths) << np.uint64(32) | pair_of) & np.uint64(2**32 - 1)
+    starts = np.r_[0, np.cumsum(lengths, dtype=np.int64)[:-1]]
+    gaps = np.diff(own, prepend=np.uint64(0))
+    gaps[starts] = own[starts]
+    return gaps.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _texts_unpacked(raw: bytes, lengths: np.ndarray) -> np.ndarray:
+    gaps = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4")[:, 0]
+    sums = np.cumsum(gaps, dtype=np.int64)
+    starts = np.r_[0, np.cumsum(lengths, dtype=np.int64)[:-1]]
+    return sums - np.repeat(sums[starts] - gaps[starts], lengths)
+
+
 class Chunk:
     """Tokens of some documents as distinct (word, word before) pairs. Words are numbered by
     bucket, and pairs by word, so what belongs to a bucket is a stretch of either."""
@@ -272,21 +291,29 @@ class Bucket:
     def __init__(self, blocks: list[bytes]):
         number: dict[bytes, int] = {}
         read = [_unpacked(raw) for raw in blocks]
+        blocks.clear()  # the caller has no more use for them
         every = [_of_gaps(r[1]) for r in read]
         # contexts stand by key, and so by class, so that pairs do
-        self.keys, place_of = np.unique(np.concatenate(every), return_inverse=True)
+        sizes = [len(x) for x in every]
+        every = np.concatenate(every)
+        self.keys, place_of = np.unique(every, return_inverse=True)
+        del every
         self.classes = (self.keys >> np.uint64(HASH_BITS)).astype(np.int64)
         own, counts, self.parts, at = [], [], [], 0
-        for n_keys, (words, _, each, context, count) in zip(map(len, every), read):
+        for n_keys, (words, _, each, context, count) in zip(sizes, read):
             place = np.array([number.setdefault(w, len(number)) for w in words.split(b"\n")], np.int64)
             known = place_of[at : at + n_keys]
             at += n_keys
             own.append(np.repeat(place, each) * len(self.keys) + known[context])
             counts.append(count)
             self.parts.append((len(context), place))
-        pairs, self.inverse = np.unique(np.concatenate(own), return_inverse=True)
+        del read, place_of
+        own, counts = np.concatenate(own), np.concatenate(counts)
+        pairs, self.inverse = np.unique(own, return_inverse=True)
+        del own
         self.word3, self.context3 = np.divmod(pairs, len(self.keys))
-        self.c3 = np.bincount(self.inverse, np.concatenate(counts), len(pairs)).astype(np.int64)
+        self.c3 = np.bincount(self.inverse, counts, len(pairs)).astype(np.int64)
+        self.inverse = self.inverse.astype(np.uint32)
         self.word_keys = keys_of(list(number))
         code = self.word3 * CLASSES + self.classes[self.context3]  # ascending
         fresh = np.r_[True, code[1:] != code[:-1]]
@@ -537,7 +564,7 @@ def scores(docs: DataFrame, train, sweeps: int = 2, burn_in: int = 1, samples: i
     id_type = docs.schema[id_col].dataType
     narrow = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     parts = max(2, docs.rdd.getNumPartitions())
-    buckets = 2 * parts
+    buckets = 3 * parts
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept_by_worker("lm")
@@ -549,10 +576,10 @@ def scores(docs: DataFrame, train, sweeps: int = 2, burn_in: int = 1, samples: i
             table = pa.Table.from_batches(held)
             own = Chunk(table["text"].combine_chunks(), buckets)
             train = table["train"].to_numpy(zero_copy_only=False)
-            rows = [(-1, _packed((table["id"].to_pylist(), train, own.lengths.astype(np.uint32), own.of_word, own.pair_of))), *own.blocks(train.astype(np.float64))]
+            rows = [(-1, _packed((table["id"].to_pylist(), train, own.lengths.astype(np.uint32), own.of_word, _texts_packed(own.pair_of, own.lengths)))), *own.blocks(train.astype(np.float64))]
             for low in range(0, len(rows), 16):
                 part = rows[low : low + 16]
-                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(part), pa.int64()), pa.array([r[0] for r in part], pa.int32()), pa.array([r[1] for r in part], pa.binary()), pa.array([int(r[0] < 0) for r in part], pa.int32())], ["chunk", "bucket", "data", "state"])
+                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(part), pa.int64()), pa.array([r[0] for r in part], pa.int32()), pa.array([r[1] for r in part], pa.binary()), pa.array([r[0] % ANSWERED if r[0] >= 0 else -1 for r in part], pa.int32())], ["chunk", "bucket", "data", "part"])
             chunk += 1
 
         for batch in batches:
@@ -566,8 +593,11 @@ def scores(docs: DataFrame, train, sweeps: int = 2, burn_in: int = 1, samples: i
         if held:
             yield from send()
 
-    sent = written(narrow.mapInArrow(cut, "chunk long, bucket int, data binary, state int"), "chunks", ("state",))
-    blocks = sent.filter("state = 0").select("bucket", F.lit(2).alias("kind"), F.col("chunk").alias("source"), "data")
+    # part -1: chunks; others: blocks
+    sent = written(narrow.mapInArrow(cut, "chunk long, bucket int, data binary, part int"), "chunks", ("part",))
+
+    def blocks(which: str) -> DataFrame:
+        return sent.filter(which).select("bucket", F.lit(2).alias("kind"), F.col("chunk").alias("source"), "data")
 
     # rows of the passes. kind 0: a bucket's state; 1: what it has of the contexts of a shard, or an answer; 2: blocks; 3: totals of
     # classes; 4: what it has of all contexts of a shard, once
@@ -588,7 +618,9 @@ def scores(docs: DataFrame, train, sweeps: int = 2, burn_in: int = 1, samples: i
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (b,), rows in runs(batches, 1):
-            own = Bucket([r[2] for r in rows])
+            raws = [r[2] for r in rows]
+            rows.clear()
+            own = Bucket(raws)
             for g, data in own.asked(buckets, [own.c3, own.c3 == 1]):
                 yield sent_on([(g, 4, b, data)])
             own = own.thin()
@@ -630,7 +662,8 @@ def scores(docs: DataFrame, train, sweeps: int = 2, burn_in: int = 1, samples: i
         table = written(rows, "seats", ("kind",)).select("bucket", "kind", "source", "data")
         return table, _collected(table.filter("kind = 3").select("data").mapInArrow(numbers, "sample long, number long, c long, t long"))
 
-    first, (total,) = kept(dealt(blocks).mapInArrow(opened, row))
+    first, (total,) = kept(dealt(blocks("part >= 0")).mapInArrow(opened, row))
+    released(docs.sparkSession)  # of the blocks' shuffle
     table, asks = first, first.filter("kind in (1, 4)")
     k, sampled = 0, False
     while True:
@@ -644,27 +677,37 @@ def scores(docs: DataFrame, train, sweeps: int = 2, burn_in: int = 1, samples: i
             break
         total, k = of_samples[0], k + 1
         sampled = settled(before, total, SETTLED)
-    state = table.filter("kind = 0").unionByName(dealt(asks.unionByName(first.filter("kind = 4"))).mapInArrow(reply(True), row))
+    state = written(table.filter("kind = 0").unionByName(dealt(asks.unionByName(first.filter("kind = 4"))).mapInArrow(reply(True), row)), "replies")
+    dropped(table)
+    dropped(first)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (b,), rows in runs(batches, 1):
-            chunks = [(source, raw) for kind, source, raw in rows if kind == 2]
-            own = Bucket([raw for _, raw in chunks])
-            seatings = [own.whole(t) for t in Bucket.of(rows[0][2]).samples]
-            c, *each = own.met(buckets, [raw for kind, _, raw in rows if kind == 1])
+            seatings = Bucket.of(rows[0][2]).samples
+            replies, raws = ([raw for kind, _, raw in rows if kind == own_kind] for own_kind in (1, 2))
+            chunks = [source for kind, source, _ in rows if kind == 2]
+            rows.clear()
+            own = Bucket(raws)
+            c, *each = own.met(buckets, replies)
             mean = np.zeros(len(own.c3))
             for tables, t, of in zip(seatings, each, of_samples):
-                own.seated(tables)
+                own.seated(own.whole(tables))
                 mean += own.leaves(of | {"c3": c, "t3": t}) / samples
-            logs = np.log10(mean)[own.inverse].astype(np.float32)
+            logs = np.log10(mean).astype(np.float32)
             at = 0
-            for (chunk, _), (n, place) in zip(chunks, own.parts):
-                data = _packed((own.count[place], logs[at : at + n]))
+            for chunk, (n, place) in zip(chunks, own.parts):
+                data = _packed((own.count[place], logs[own.inverse[at : at + n]]))
                 at += n
                 yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([b], pa.int32()), pa.array([data], pa.binary())], ["chunk", "bucket", "data"])
 
-    answers = dealt(state.unionByName(blocks)).mapInArrow(answer, "chunk long, bucket int, data binary")
-    meet = answers.unionByName(sent.filter("state = 1").select("chunk", "bucket", "data")).repartition(4 * parts, "chunk").sortWithinPartitions("chunk", "bucket")
+    answers = []
+    for part in range(ANSWERED):
+        own = dealt(state.filter(F.col("bucket") % ANSWERED == part).unionByName(blocks(f"part = {part}")))
+        answers.append(written(own.mapInArrow(answer, "chunk long, bucket int, data binary"), "answers"))
+        del own
+        released(docs.sparkSession)  # of their shuffle
+    dropped(state)
+    meet = reduce(DataFrame.unionByName, answers).unionByName(sent.filter("part = -1").select("chunk", "bucket", "data")).repartition(4 * parts, "chunk").sortWithinPartitions("chunk", "bucket")
     n_train, v, id_arrow = total["n"], total["v"], to_arrow_type(id_type)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -672,7 +715,8 @@ def scores(docs: DataFrame, train, sweeps: int = 2, burn_in: int = 1, samples: i
         for _, rows in runs(batches, 1):
             (first, state), rest = rows[0], rows[1:]
             assert first == -1
-            ids, train_, lengths, of_word, pair_of = _unpacked(state)
+            ids, train_, lengths, of_word, texts = _unpacked(state)
+            pair_of = _texts_unpacked(texts, lengths)
             answers = [_unpacked(data) for _, data in rest]  # by bucket, as words and pairs are numbered
             count, log_p = (np.concatenate(x) for x in zip(*answers))
             base = np.log10((count + 0.5) / (n_train + 0.5 * (v + 1)))

@@ -1,3 +1,4 @@
+import pathlib
 import random
 import re
 import zlib
@@ -8,6 +9,7 @@ import pyarrow as pa
 import pytest
 
 from brooklet.llm import lm, queries
+from brooklet.plans import lineage
 
 from . import edge
 
@@ -216,3 +218,19 @@ def test_many_customers_are_seated_as_by_the_exact_conditional(c, d):
         got = lm.seat(None, np.full(n, c), cost, d, lm.stirling(d), keys)
         assert abs(got.mean() - mean) < 0.04 * mean + 0.25, (theta, later, got.mean(), mean)
         assert abs(got.std() - spread) < 0.15 * spread + 0.1, (theta, later, got.std(), spread)
+
+
+def test_texts_round_trip():
+    chunk = lm.Chunk(["b a b a", "", "a", " ".join(f"w{i * 7 % 300}" for i in range(5000))], 4)
+    got = lm._texts_unpacked(lm._texts_packed(chunk.pair_of, chunk.lengths), chunk.lengths)
+    cuts = np.cumsum(chunk.lengths)[:-1]
+    assert all(sorted(a.tolist()) == b.tolist() for a, b in zip(np.split(chunk.pair_of, cuts), np.split(got, cuts)))
+
+
+def test_passes_leave_nothing_behind(spark, sf):
+    """Before the scores are taken, disk holds the chunks and their answers only."""
+    place = pathlib.Path(lineage.shared_dir(spark).removeprefix("file:"))
+    before = set(place.iterdir())
+    got = lm.scores(spark.read.parquet(f"{sf}/documents.parquet"), queries.crc_mod("doc_id", 5) != 1)
+    assert {p.name.split("-")[1] for p in set(place.iterdir()) - before if not p.name.startswith(".")} == {"chunks", "answers"}
+    assert got.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
