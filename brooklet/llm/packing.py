@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 from brooklet.llm.common import kept_by_worker, text_or_empty
 
 CACHED_CHARS = 10_000_000
+#: Characters of fresh units that are encoded as one text, and bytes of texts (one at least) and texts that are encoded together.
+LEARNT_CHARS, ENCODED_BYTES, ENCODED_TEXTS = 500_000, 4_000_000, 256
 #: What every special token of the tokenizers in use begins with.
 SPECIAL = "<|"
 
@@ -124,8 +127,8 @@ class _Numbers(dict):
 class WordEncoder:
     """Ids of whole texts from a lower-casing tokenizer whose pre-tokenizer splits at white
     space and between letters and punctuation. Units not seen before are encoded
-    together, as one text, and told apart by the places of their tokens; ids stand in
-    one flat array. What is remembered is bounded and then dropped as a whole."""
+    together, as texts of bounded size, and told apart by the places of their tokens; ids stand
+    in one flat array. What is remembered is bounded and then dropped as a whole."""
 
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
@@ -148,16 +151,23 @@ class WordEncoder:
         self.number = _Numbers()
         self.chars = 0
         self.flat = np.zeros(0, np.uint32)
-        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def _learn(self, words: list[str]) -> None:
-        got = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        """In parts: what the tokenizer says of a text takes some hundred bytes a token."""
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        places = np.array([o[0] for o in got.offsets], np.int64)
-        sizes = np.bincount(np.searchsorted(ends, places, "right"), minlength=len(words))
+        part_of = (ends - 1) // LEARNT_CHARS  # a unit that is longer begins a part
+        all_sizes, all_ids = [self.sizes], [self.flat]
+        for part in np.split(np.arange(len(words)), np.flatnonzero(np.diff(part_of)) + 1):
+            low, high = int(part[0]), int(part[-1]) + 1
+            got = self.tokenizer.encode(" ".join(words[low:high]), add_special_tokens=False)
+            places = np.array([o[0] for o in got.offsets], np.int64)
+            own_ends = ends[low:high] - (ends[low - 1] if low else 0)
+            all_sizes.append(np.bincount(np.searchsorted(own_ends, places, "right"), minlength=high - low).astype(np.int32))
+            all_ids.append(np.array(got.ids, np.uint32))
+        sizes = np.concatenate(all_sizes[1:]).astype(np.int64)
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.flat = np.concatenate([self.flat, np.array(got.ids, np.uint32)])
+        self.sizes, self.flat = np.concatenate(all_sizes), np.concatenate(all_ids)
         self.chars += int(ends[-1])
 
     def encode(self, texts: list[str], end_id: int) -> list[np.ndarray]:
@@ -175,7 +185,7 @@ class WordEncoder:
             self.number.fresh = []
         out = []
         for w in numbers:
-            sizes = self.sizes[w]
+            sizes = self.sizes[w].astype(np.int64)
             ends = np.cumsum(sizes)
             n = int(ends[-1]) if len(w) else 0
             ids = np.empty(n + 1, np.uint32)
@@ -185,6 +195,18 @@ class WordEncoder:
         return out
 
 
+def together(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Stretches (from, to) of texts of these sizes in bytes that are encoded together."""
+    low, held = 0, 0
+    for i, n in enumerate(sizes):
+        if i > low and (i - low == ENCODED_TEXTS or held + n > ENCODED_BYTES):
+            yield low, i
+            low, held = i, 0
+        held += n
+    if low < len(sizes):
+        yield low, len(sizes)
+
+
 def pack(
     docs: DataFrame,
     tokenizer_path: str,
@@ -230,16 +252,17 @@ def pack(
         for batch in batches:
             id_arrow = batch.schema.field(0).type
             ids_of, texts = batch.column(0).to_pylist(), batch.column(1)
-            for low in range(0, len(texts), 256):
+            for low, high in together(pc.binary_length(texts).to_pylist()):
                 whole: list[list[tuple]] = []
-                for doc_id, ids in zip(ids_of[low : low + 256], encoder.encode(texts[low : low + 256].to_pylist(), end_id)):
+                for doc_id, ids in zip(ids_of[low:high], encoder.encode(texts[low:high].to_pylist(), end_id)):
                     full = len(ids) // capacity * capacity
                     whole += [[(doc_id, s, ids[s : s + capacity], len(ids))] for s in range(0, full, capacity)]
                     rest = len(ids) - full
                     if rest:
                         n = -(-rest // piece_tokens)
                         cuts = [full + rest * i // n for i in range(n + 1)]
-                        held += [(doc_id, a, ids[a:b], len(ids)) for a, b in zip(cuts, cuts[1:])]
+                        # copies: a view would keep the ids of the whole document
+                        held += [(doc_id, a, ids[a:b].copy(), len(ids)) for a, b in zip(cuts, cuts[1:])]
                 yield from rows(whole)
                 if len(held) >= shard_pieces:
                     yield from shard()

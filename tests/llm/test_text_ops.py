@@ -90,6 +90,33 @@ def test_packing_pads_little(spark):
     assert sum(0 if s & (s - 1) == 0 else 4096 - s for s in sums.values()) <= 0.02 * sum(sums.values())
 
 
+def test_packing_encodes_in_bounded_parts(monkeypatch):
+    """The same ids, whatever is encoded together; the tokenizer never sees much text at once."""
+    with open(VOCAB, encoding="utf-8") as f:
+        encoder = packing.WordEncoder(f.read())
+    texts = [" ".join(f"word{i * 31 % 977}x, {'y' * (i % 90)}é" for i in range(2000)), "", "one two", "z" * 700]
+    want = [[*encoder.tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    seen, tokenizer = [], encoder.tokenizer
+
+    class Watched:
+        def encode(self, text, **options):
+            seen.append(len(text))
+            return tokenizer.encode(text, **options)
+
+    encoder.tokenizer = Watched()
+    monkeypatch.setattr(packing, "LEARNT_CHARS", 500)
+    for _ in range(2):  # the second time all units are known
+        assert [ids.tolist() for ids in encoder.encode(texts, 2)] == want
+    assert len(seen) > 2 and max(seen) <= 700 + 500
+
+
+def test_packing_encodes_few_long_texts_together():
+    most = packing.ENCODED_BYTES
+    assert list(packing.together([])) == []
+    assert list(packing.together([1, most, 3 * most, 0, 5])) == [(0, 1), (1, 2), (2, 3), (3, 5)]
+    assert list(packing.together([0] * 600)) == [(0, 256), (256, 512), (512, 600)]
+
+
 # --- 5: PII --------------------------------------------------------------------
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
