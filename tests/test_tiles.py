@@ -52,3 +52,21 @@ def test_joins_by_radius_go_by_tiles(spark, sf):
     for name in ("range_join", "range_count", "knn_ring", "knn", "knn_callable"):
         plan = queries.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "MapInArrow" in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_ties_are_dealt_out_from_distinct_vectors(spark, monkeypatch):
+    """Many equal points: the tiles meet distinct vectors only, and every query of a vector gets all its answers."""
+    met = []
+    monkeypatch.setattr(simjoin, "meet", lambda q, p, *rest: met.append((q.count(), p.count())) or tiles.meet(q, p, *rest))
+    monkeypatch.setattr(simjoin, "SLICE_ROWS", 50)  # answers of a class in several slices
+    p = spark.range(400).select(F.col("id").alias("key"), F.array((F.col("id") % 5).cast("double")).alias("vec"))
+    q = p.filter("key % 20 < 2").select(F.col("key").alias("query_id"), "vec")
+    for reverse in (False, True):
+        got = simjoin.knn_join(q, p, 81, extend_for_ties=True, reverse=reverse).collect()
+        for row in q.collect():
+            d = sorted((abs(k % 5 - row.vec[0]), k) for k in range(400))
+            last = sorted((v for v, _ in d), reverse=reverse)[80]
+            own = [(v, k) for v, k in d if (v >= last if reverse else v <= last)]
+            own = sorted(own, key=lambda r: (-r[0] if reverse else r[0], r[1]))
+            assert sorted((r["rank"], r.key, r.distance) for r in got if r.query_id == row.query_id) == [(i + 1, k, v) for i, (v, k) in enumerate(own)]
+    assert met == [(2, 5), (2, 5)]
