@@ -70,3 +70,10 @@ def test_ties_are_dealt_out_from_distinct_vectors(spark, monkeypatch):
             own = sorted(own, key=lambda r: (-r[0] if reverse else r[0], r[1]))
             assert sorted((r["rank"], r.key, r.distance) for r in got if r.query_id == row.query_id) == [(i + 1, k, v) for i, (v, k) in enumerate(own)]
     assert met == [(2, 5), (2, 5)]
+
+
+def test_every_row_is_counted(spark, sf):
+    counts = {r.query_id: r["count"] for r in queries.range_count(spark, sf).collect()}
+    x = np.array([r.vec for r in queries.points(spark, sf).orderBy("key").collect()])
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    assert len(counts) == len(x) and all(n == (d[k] <= 1.2).sum() for k, n in counts.items())
