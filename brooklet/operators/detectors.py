@@ -119,15 +119,17 @@ class SWDBOR(Detector):
         _positive(window=self.window, radius=self.radius)
 
     def kernel(self, group=(), features=None):
-        from brooklet.operators.kernels import NeighborKernel
+        from brooklet.operators.kernels import LINE, NeighborKernel
 
-        return NeighborKernel(self.window, numpy_metric(self.metric, self.metric_params), radius=self.radius)
+        return NeighborKernel(self.window, numpy_metric(self.metric, self.metric_params), radius=self.radius, line=self.metric in LINE)
 
     def transform(self, s: Stream) -> DataFrame:
         if not callable(self.metric):
             from brooklet.operators.kernels import framed_run
 
-            return framed_run(s, self.window, self.kernel, "score double", rising=True)
+            # windows of one feature may hold any number of rows, so blocks are short and runs long
+            long = {"factor": 2, "gather": 262_144} if s.time is not None and s.n_features == 1 else {}
+            return framed_run(s, self.window, self.kernel, "score double", rising=True, **long)
         pairs = window_pairs(s, self.window)
         near = F.count(F.when(_distance(s, self.metric, self.metric_params) <= self.radius, F.lit(1)))
         return pairs.groupBy("blk", *s.key, s.order).agg(near.alias("m")).select(s.order, *s.key, (F.lit(1.0) / (F.col("m") + 1)).alias("score"))

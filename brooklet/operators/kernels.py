@@ -52,6 +52,10 @@ class WindowKernel:
         return [self.step(row, at) for row, at in zip(x, t.tolist())]
 
 
+#: Metrics that are the absolute difference of one feature.
+LINE = ("euclidean", "cityblock", "manhattan", "chebyshev")
+
+
 class FrameKernel:
     """Live rows as arrays: a run of rows is scored at once, each against its own frame.
 
@@ -91,6 +95,14 @@ class FrameKernel:
             x, t = np.concatenate([self.x, x]), np.concatenate([self.t, t])
         low = self.frames(t, held)
         at = np.arange(held, len(t))
+        out = self.framed(x, low, at)
+        # what a later row may still see: nothing before the frame of the last row
+        keep = int(low[-1]) if len(low) else 0
+        self.x, self.t = x[keep:], t[keep:]
+        return out
+
+    def framed(self, x: np.ndarray, low: np.ndarray, at: np.ndarray) -> list:
+        """Scores of the rows at those places, whose frames begin at low."""
         sizes = at - low + int(self.own)
         out, i = [], 0
         while i < len(at):
@@ -100,21 +112,62 @@ class FrameKernel:
             places = at[part, None] + int(self.own) - 1 - np.arange(length)
             out += self.scored(x[at[part]], x[np.maximum(places, 0)], places >= low[part, None])
             i = part.stop
-        # what a later row may still see: nothing before the frame of the last row
-        keep = int(low[-1]) if len(low) else 0
-        self.x, self.t = x[keep:], t[keep:]
         return out
 
     def step(self, x: np.ndarray, t: float):
         return self.many(np.asarray(x)[None], np.asarray([t]))[0]
 
 
+def counted_below(ranks: np.ndarray, low: np.ndarray, high: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """For each (low, high, bound) the number of ranks below bound among ranks[low:high], by a wavelet matrix
+    whose levels come and go: work is rows times bits, whatever the length of a stretch."""
+    out = np.zeros(len(low), np.int64)
+    for bit in range(max(1, int(max(ranks.max(initial=0), bound.max(initial=0))).bit_length()) - 1, -1, -1):
+        ones = (ranks >> bit) & 1
+        zeros = np.zeros(len(ranks) + 1, np.int32)
+        np.cumsum(1 - ones, out=zeros[1:])
+        a, b, up, n = zeros[low], zeros[high], ((bound >> bit) & 1).astype(bool), zeros[-1]
+        out += np.where(up, b - a, 0)
+        low, high = np.where(up, n + low - a, a), np.where(up, n + high - b, b)
+        ranks = np.concatenate([ranks[ones == 0], ranks[ones == 1]])
+    return out
+
+
 class NeighborKernel(FrameKernel):
-    """SWDBOR (radius) or SWKNN (k) in arrival order, for any time axis."""
+    """SWDBOR (radius) or SWKNN (k) in arrival order, for any time axis.
+
+    line: the metric of one feature is the absolute difference. Neighbours within a radius are then
+    counted by rank, and long frames cost no more than short ones.
+    """
+
+    #: Rows up to which a frame is looked through.
+    SHORT = 256
 
-    def __init__(self, window: float, metric, radius: float | None = None, k: int | None = None, k_is_max: bool = False):
+    def __init__(self, window: float, metric, radius: float | None = None, k: int | None = None, k_is_max: bool = False, line: bool = False):
         super().__init__(window)
-        self.metric, self.radius, self.k, self.k_is_max = metric, radius, k, k_is_max
+        self.metric, self.radius, self.k, self.k_is_max, self.line = metric, radius, k, k_is_max, line
+
+    def framed(self, x, low, at):
+        if self.radius is None or not self.line or x.shape[1] != 1 or not len(at) or int((at - low).max()) <= self.SHORT or not np.isfinite(x).all():
+            return super().framed(x, low, at)
+        begin = int(low[0])
+        values, ranks = np.unique(x[begin:, 0], return_inverse=True)
+        own = x[at, 0]
+
+        def edge(places: np.ndarray, inside) -> np.ndarray:
+            # the sum that found the place is rounded otherwise than the difference that counts
+            while True:
+                down = (places > 0) & ~inside(values[np.maximum(places - 1, 0)])
+                up = ~down & (places < len(values)) & inside(values[np.minimum(places, len(values) - 1)])
+                if not (down | up).any():
+                    return places
+                places = places - down + up
+
+        first = edge(np.searchsorted(values, own - self.radius), lambda v: own - v > self.radius)
+        last = edge(np.searchsorted(values, own + self.radius, side="right"), lambda v: v - own <= self.radius)
+        ranks, a, b = ranks.astype(np.int32), low - begin, at - begin
+        n = counted_below(ranks, a, b, last) - counted_below(ranks, a, b, first)
+        return (1.0 / (1.0 + n)).tolist()
 
     def scored(self, x, frame, live):
         d = self.metric(frame, x[:, None, :]) if frame.shape[1] else np.zeros(frame.shape[:2])
@@ -642,11 +695,25 @@ class ForestKernel(RowKernel):
 # --- batch runs ------------------------------------------------------------------
 
 
-def grouped(df: DataFrame, group: list[str], order: str, keep: list[str], x: list[str], make: Callable, out: str, home: bool = True, rising: bool = False) -> DataFrame:
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches of that many rows or more."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def grouped(df: DataFrame, group: list[str], order: str, keep: list[str], x: list[str], make: Callable, out: str, home: bool = True, rising: bool = False, gather: int = 0) -> DataFrame:
     """Run a kernel over each group's rows in order; rows with `home` give a row.
 
     make(group key) -> kernel. A group arrives as sorted Arrow batches of one task, so it
     is never held whole: only the kernel's state is. rising: times that fall raise.
+    gather: rows that a kernel is given at once, for one whose runs cost what it holds.
     """
     parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     names = [*group, *keep, "t", *(["home"] if home else []), *x]
@@ -657,7 +724,7 @@ def grouped(df: DataFrame, group: list[str], order: str, keep: list[str], x: lis
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, kernel, last = None, None, None
-        for batch in batches:
+        for batch in gathered(batches, gather) if gather else batches:
             if not batch.num_rows:
                 continue
             t = batch.column(g + k).to_numpy(zero_copy_only=False)
@@ -688,25 +755,26 @@ def grouped(df: DataFrame, group: list[str], order: str, keep: list[str], x: lis
     return dealt.mapInArrow(run, schema)
 
 
-def _blocked(s: Stream, window: float, rising: bool = False) -> tuple[DataFrame, list[str]]:
+def _blocked(s: Stream, window: float, rising: bool = False, factor: int = 8) -> tuple[DataFrame, list[str]]:
     """Overlap blocks on the default clock, and on a time axis that never falls (rising); else
     whole keys, where late rows may shield others however far back."""
     df = ingest(s)
     if s.time is None:
         return by_rows(df, rows_of(window)), [*s.key, "blk"]
     if rising or s.rising:
-        return by_time(df, window), [*s.key, "blk"]
+        return by_time(df, window, factor), [*s.key, "blk"]
     return df.withColumn("home", F.lit(True)), s.key
 
 
-def framed_run(s: Stream, window: float, make: Callable, out: str, rising: bool = False) -> DataFrame:
-    """Order, key and scores of a kernel whose scores depend on the window alone."""
-    df, group = _blocked(s, window, rising)
+def framed_run(s: Stream, window: float, make: Callable, out: str, rising: bool = False, factor: int = 8, gather: int = 0) -> DataFrame:
+    """Order, key and scores of a kernel whose scores depend on the window alone. factor: windows of
+    a block of a time axis."""
+    df, group = _blocked(s, window, rising, factor)
     x = [f"x{i}" for i in range(s.n_features)]
     key = [k for k in s.key]
     renamed = df.select(*(F.col(k).alias(f"g_{k}") for k in key), *(["blk"] if "blk" in group else []), *df.columns[: 1 + len(key)], "idx", "t", "home", *x)
     groups = [*(f"g_{k}" for k in key), *(["blk"] if "blk" in group else [])]
-    return grouped(renamed, groups, "idx", [s.order, *key], x, make, out, rising=(rising or s.rising) and s.time is not None)
+    return grouped(renamed, groups, "idx", [s.order, *key], x, make, out, rising=(rising or s.rising) and s.time is not None, gather=gather)
 
 
 def names_of(s: Stream) -> list[str]:
@@ -921,7 +989,7 @@ class ArrivalOrder(Detector):
     metric_params: dict | None = None
 
     def kernel(self, group=(), features=None) -> NeighborKernel:
-        return NeighborKernel(self.window, numpy_metric(self.metric, self.metric_params), self.radius, self.k, self.k_is_max)
+        return NeighborKernel(self.window, numpy_metric(self.metric, self.metric_params), self.radius, self.k, self.k_is_max, self.metric in LINE)
 
     def transform(self, s: Stream) -> DataFrame:
         return framed_run(s, self.window, self.kernel, "score array<double>" if self.k_is_max else "score double")

@@ -35,3 +35,19 @@ def test_no_frame_is_added_up_for_each_row(spark):
     df = spark.range(10).selectExpr("id AS seq", "id AS t", "double(id) AS x")
     plan = stats.sliding_stats(Stream(df, ["x"], "seq", time="t", dense=True), 5, "sum")._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan
+
+
+@pytest.mark.parametrize("radius", [1.0, 0.3])
+def test_neighbors_of_long_frames_by_rank(radius):
+    """Counts by rank are those of looking through, at the edge of the radius too, in runs of any length; a frame
+    is never gathered."""
+    from brooklet.functions.vec import numpy_metric
+    from brooklet.operators.kernels import NeighborKernel
+
+    rng = np.random.default_rng(7)
+    x, t = np.round(rng.random(4000) * 20, 1)[:, None], np.cumsum(rng.random(4000))
+    plain = NeighborKernel(700, numpy_metric("euclidean"), radius=radius).many(x, t)
+    ranked = NeighborKernel(700, None, radius=radius, line=True)
+    ranked.SHORT = 0
+    got = [v for part in np.array_split(np.arange(4000), 7) for v in ranked.many(x[part], t[part])]
+    assert got == plain and len(ranked.x) < 1800
