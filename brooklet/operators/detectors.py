@@ -11,14 +11,13 @@ import math
 from dataclasses import asdict, dataclass, fields, replace
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brooklet.functions.vec import INF, NAN, metric_of, numpy_metric
 from brooklet.operators.projection import hashed_weights, project, stream_hash, stream_hash_map
-from brooklet.plans.blocks import by_rows, by_time, overlap, rows_of
-from brooklet.plans.lineage import written
+from brooklet.plans.blocks import overlap, rows_of
 from brooklet.sources.stream import Stream, ingest
 
 
@@ -220,34 +219,13 @@ class RSHash(Detector):
         return HashKernel(self, len(features))
 
     def transform(self, s: Stream) -> DataFrame:
-        if s.time is not None:
-            from brooklet.operators.kernels import framed_run, names_of, sequential
-
-            names = names_of(s)
-            return framed_run(s, self.window, lambda group: self.kernel(group, names), "score double") if s.rising else sequential(s, self)
-        n, draws = rows_of(self.window), self.draw(s.n_features)
-        big = 2**62
-
-        def cell(d: int, alpha: float, f: float) -> Column:
-            x = F.col(f"x{d}")
-            return F.when(x == INF, F.lit(big)).when(x == -INF, F.lit(-big)).otherwise(((x + alpha) / f).cast("long"))  # a cast truncates
-
-        keys = []
-        for e, p in enumerate(draws):
-            cells = [cell(d, a, p["f"]) for d, a in zip(p["dims"], p["alpha"])]
-            if self.cms_d is None:
-                keys.append(F.struct(F.lit(e).alias("est"), F.lit(0).alias("i"), F.array(*cells).alias("cell")))
-            else:
-                for i in range(self.cms_w):
-                    h = sum((F.pmod(c, F.lit(1_000_003)) * w for c, w in zip(cells, p["a"][i])), F.lit(p["b"][i]).cast("long"))
-                    keys.append(F.struct(F.lit(e).alias("est"), F.lit(i).alias("i"), F.array(F.pmod(F.pmod(h, F.lit(1_000_003)), F.lit(self.cms_d))).alias("cell")))
-        # a cell is cut into overlap blocks too, so that a cell with many rows is no one task
-        df = by_rows(ingest(s), n).withColumn("g", F.explode(F.array(*keys)))
-        w = Window.partitionBy(*s.key, "blk", "g").orderBy("idx").rangeBetween(-(n - 1), -1)
-        counted = df.select(s.order, *s.key, "home", F.col("g.est").alias("est"), F.count(F.lit(1)).over(w).alias("c")).filter("home") if n > 1 else df.filter("home").select(s.order, *s.key, F.col("g.est").alias("est"), F.lit(0).alias("c"))
-        if self.cms_d is not None and self.cms_w > 1:
-            counted = counted.groupBy(s.order, *s.key, "est").agg(F.min("c").alias("c"))
-        return counted.groupBy(s.order, *s.key).agg(F.avg(-F.log2(F.lit(1.0) + F.col("c"))).alias("score"))
+        from brooklet.operators.cells import CellKernel
+        from brooklet.operators.kernels import framed_run, sequential
+
+        if s.time is not None and not s.rising:
+            return sequential(s, self)
+        s_features = s.n_features
+        return framed_run(s, self.window, lambda group: CellKernel(self, s_features), "score double", gather=65_536 if s.time is not None and s_features <= 64 else 0)
 
 
 @dataclass(frozen=True)
@@ -368,7 +346,7 @@ class XStream(Detector):
         return ChainKernel(self, list(features))
 
     def projected(self, s: Stream) -> DataFrame:
-        """The stream's rows, projected, with their block. One map<string, double> column in
+        """The stream's rows, projected, with their place. One map<string, double> column in
         place of features may name other features in every row."""
         k = self.n_projections
         if len(s.features) == 1 and isinstance(s.df.schema[s.features[0]].dataType, T.MapType):
@@ -376,55 +354,16 @@ class XStream(Detector):
             df, outs = ingest(replace(s, df=named, features=[f"p{i}" for i in range(k)])), [F.col(f"x{i}") for i in range(k)]
         else:
             df, outs = ingest(s), project([F.col(c) for c in _features(s)], hashed_weights(k, s.features))
-        return df.select(s.order, *s.key, F.floor(F.col("idx") / int(self.window)).cast("long").alias("blk"), *(c.alias(f"p{i}") for i, c in enumerate(outs)))
+        return df.select(s.order, *s.key, "idx", *(c.alias(f"p{i}") for i, c in enumerate(outs)))
 
     def transform(self, s: Stream, initial_sample: DataFrame | None = None) -> DataFrame:
         """initial_sample: feature rows whose ranges serve the first block instead of its own."""
-        k, key = self.n_projections, s.key
-        df = self.projected(s)
-        lows, highs = [F.min(f"p{i}") for i in range(k)], [F.max(f"p{i}") for i in range(k)]
-        ranges = written(df.groupBy("blk", *key).agg(F.array(*lows).alias("low"), F.array(*highs).alias("high")), "ranges")
-        first = ranges.filter("blk = 0")
+        from brooklet.operators.cells import chains
+
+        k, first = self.n_projections, None
         if initial_sample is not None:
             mapped = len(s.features) == 1 and isinstance(initial_sample.schema[s.features[0]].dataType, T.MapType)
             sample = stream_hash_map(initial_sample, s.features[0], k) if mapped else stream_hash(initial_sample, s.features, k)
-            given = sample.agg(F.array(*lows).alias("low"), F.array(*highs).alias("high"))
-            first = first.select("blk", *key).crossJoin(given)  # one row
-        used = ranges.withColumn("blk", F.col("blk") + 1).unionByName(first).select(F.col("blk").alias("r_blk"), *(F.col(c).alias(f"r_key{i}") for i, c in enumerate(key)), "low", "high")
-
-        def same(prefix: str) -> Column:
-            on = F.col("blk") == F.col(f"{prefix}_blk")
-            for i, c in enumerate(key):
-                on &= F.col(c).eqNullSafe(F.col(f"{prefix}_key{i}"))
-            return on
-
-        placed = df.join(used, same("r"))
-        norm = []
-        for i in range(k):
-            low, high = F.get("low", i), F.get("high", i)
-            norm.append(F.when(high > low, (F.col(f"p{i}") - low) / F.when(high > low, high - low).otherwise(1.0)).otherwise(F.lit(0.0)))
-        placed = placed.select(s.order, *key, "blk", *(c.alias(f"n{i}") for i, c in enumerate(norm)))
-        cells = []
-        for c, p in enumerate(self.draw()):
-            used_times, bins = [0] * k, [F.lit(0)] * k
-            for level, d in enumerate(p["dims"]):
-                used_times[d] += 1
-                wide = float(2 ** used_times[d])
-                at = F.col(f"n{d}") * wide + p["offset"][d]
-                bins[d] = F.least(F.greatest(at, F.lit(0.0)), F.lit(wide - 1)).cast("int")
-                cells.append(F.struct(F.lit(c).alias("chain"), F.lit(level).alias("level"), F.array(*bins).alias("cell")))
-        rows = placed.withColumn("g", F.explode(F.array(*cells))).select(s.order, *key, "blk", F.col("g.chain").alias("chain"), F.col("g.level").alias("level"), F.col("g.cell").alias("cell"))
-        if self.cms_d is not None:
-            bins = []
-            for i, (a, shift) in enumerate(self.hashes()):
-                h = sum((F.get("cell", j).cast("long") * w for j, w in enumerate(a)), F.lit(shift).cast("long"))
-                bins.append(F.array(F.lit(i).cast("long"), F.pmod(F.pmod(h, F.lit(1_000_003)), F.lit(self.cms_d))))
-            rows = rows.withColumn("cell", F.explode(F.array(*bins)))
-        counts = rows.groupBy("blk", *key, "chain", "level", "cell").agg(F.count("*").alias("n"))
-        before = counts.select((F.col("blk") + 1).alias("c_blk"), *(F.col(c).alias(f"c_key{i}") for i, c in enumerate(key)), F.col("chain").alias("c_chain"), F.col("level").alias("c_level"), F.col("cell").alias("c_cell"), "n")
-        on = same("c") & (F.col("chain") == F.col("c_chain")) & (F.col("level") == F.col("c_level")) & (F.col("cell") == F.col("c_cell"))
-        met = rows.join(before, on, "left")
-        scaled = F.coalesce("n", F.lit(0)) * F.expr("shiftleft(1L, level + 1)")
-        chains = met.groupBy(s.order, *key, "blk", "chain").agg(F.min(scaled).alias("least"))
-        total = chains.groupBy(s.order, *key, "blk").agg((-F.sum("least")).cast("double").alias("s"))
-        return total.select(s.order, *key, F.when(F.col("blk") > 0, F.col("s")).otherwise(F.lit(NAN)).alias("score"))
+            ends = sample.agg(*(f(f"p{i}") for f in (F.min, F.max) for i in range(k))).first()
+            first = np.array(ends[:k], np.float64), np.array(ends[k:], np.float64)
+        return chains(self.projected(s), self, s.order, list(s.key), first)
