@@ -9,6 +9,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,17 +56,48 @@ def stream_hash(df: DataFrame, features: list[str], n_projections: int, prefix:
     return df.select("*", *(c.alias(f"{prefix}{i}") for i, c in enumerate(outs)))
 
 
+#: Names whose weights a worker keeps.
+MOST_NAMES = 100_000
+
+
+def hashed_entries(maps: pa.MapArray, n_projections: int, known: dict[str, np.ndarray]) -> pa.ListArray:
+    """The hashed projection of each map as a list; null for a null map, nulls where a value is null.
+
+    known: weights by name, which is filled as names are met."""
+    offsets = maps.offsets.to_numpy()
+    begin, lengths = int(offsets[0]), np.diff(offsets)
+    names = maps.keys.slice(begin, int(offsets[-1]) - begin).dictionary_encode()
+    items = maps.items.slice(begin, int(offsets[-1]) - begin)
+    if len(known) > MOST_NAMES:
+        known.clear()
+    distinct = names.dictionary.to_pylist()
+    for name in distinct:
+        if name not in known:
+            known[name] = hashed_weights(n_projections, [name])[:, 0]
+    weights = np.array([known[name] for name in distinct]).reshape(len(distinct), n_projections)
+    codes, values = names.indices.to_numpy(), items.to_numpy(zero_copy_only=False)
+    out = np.zeros((len(maps), n_projections))
+    with np.errstate(all="ignore"):
+        for j in range(int(lengths.max(initial=0))):  # entry after entry, so that sums are those of the columns
+            at = np.flatnonzero(lengths > j) if (lengths <= j).any() else slice(None)
+            entry = offsets[:-1][at] - begin + j
+            out[at] += values[entry, None] * weights[codes[entry]]
+    missing = np.zeros(out.shape, bool)
+    if items.null_count:
+        gone = np.flatnonzero(items.is_null().to_numpy(zero_copy_only=False))
+        missing[np.searchsorted(offsets - begin, gone, side="right") - 1] = True
+    flat = pa.array(out.ravel(), mask=missing.ravel() if items.null_count else None)
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, n_projections, dtype=np.int32)), flat, mask=maps.is_null() if maps.null_count else None)
+
+
 def stream_hash_map(df: DataFrame, column: str, n_projections: int, prefix: str = "p") -> DataFrame:
     """The hashed projection of a map<string, double> whose names may change from row to
-    row; the weights are computed from the names inside the plan."""
-    scale = (3.0 / n_projections) ** 0.5
-    entries = F.map_entries(column)
-
-    def one(i: int) -> Column:
-        def weight(name: Column) -> Column:
-            h = F.crc32(F.concat(F.lit(f"{i}:"), name).cast("binary")) / F.lit(float(2**32))
-            return F.when(h < 1 / 6, F.lit(-scale)).when(h >= 5 / 6, F.lit(scale)).otherwise(F.lit(0.0))
+    row. The weights of a name are worked out once a worker, and maps are projected by arrays."""
+    known: dict[str, np.ndarray] = {}
 
-        return F.aggregate(entries, F.lit(0.0), lambda s, e: s + e["value"] * weight(e["key"]))
+    @F.arrow_udf("array<double>")
+    def hashed(maps: pa.Array) -> pa.Array:
+        return hashed_entries(maps, n_projections, known)
 
-    return df.select("*", *(one(i).alias(f"{prefix}{i}") for i in range(n_projections)))
+    out = df.withColumn("__hashed", hashed(F.col(column).cast("map<string,double>")))
+    return out.select(*(F.col(f"`{c}`") for c in df.columns), *(F.get("__hashed", i).alias(f"{prefix}{i}") for i in range(n_projections)))
