@@ -424,11 +424,11 @@ class ObserverKernel:
         d = self.metric(self.points, x)
         active = order[: int((n - 1) * (1 - self.qv)) + 1]
         score = float(np.median(np.sort(d[active])[: self.x]))
-        near = order[np.lexsort((self.index[order], d[order]))][: self.x]
+        near = order[np.argsort(d[order], kind="stable")][: self.x]  # equal distances: the more observed first
         age = 1.0 - f ** (t - self.added)
         with np.errstate(divide="ignore", invalid="ignore"):
             worth = np.where(age > 0, faded / age, np.inf)
-        worst = int(order[np.argmin(worth[order])])
+        worst = int(np.lexsort((self.index, worth))[0])
         # sums of the observations as they are once the nearest have seen this row
         total, near_total = float(faded.sum()) + len(near), float(faded[near].sum()) + len(near)
         self.obs[near] = faded[near] + 1.0
