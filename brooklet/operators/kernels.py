@@ -299,10 +299,12 @@ class HBOSKernel(SortedKernel):
 class CutTree:
     """A robust random cut tree under insertion and deletion."""
 
-    __slots__ = ("rng", "root")
+    __slots__ = ("rng", "root", "drawn")
+    #: Draws that are taken from the generator at once; they are those of single calls.
+    DRAWS = 64
 
     def __init__(self, rng: np.random.Generator):
-        self.rng, self.root = rng, None
+        self.rng, self.root, self.drawn = rng, None, []
 
     # a node is [parent, mass, low, high, cut dimension, cut, left, right]; a leaf has cut dimension -1
 
@@ -310,27 +312,40 @@ class CutTree:
         if self.root is None:
             self.root = [None, 1, list(x), list(x), -1, 0.0, None, None]
             return self.root
-        node, d = self.root, len(x)
+        node, d, drawn = self.root, len(x), self.drawn
         while True:
-            low = [min(a, b) for a, b in zip(node[2], x)]
-            high = [max(a, b) for a, b in zip(node[3], x)]
-            spans = [b - a for a, b in zip(low, high)]
-            total = sum(spans)
+            low, high = list(node[2]), list(node[3])
+            total = 0.0
+            for q in range(d):
+                v = x[q]
+                if v < low[q]:
+                    low[q] = v
+                elif v > high[q]:
+                    high[q] = v
+                total += high[q] - low[q]
             if total <= 0:  # a copy of a leaf's point
-                return self._grow(node, x)
-            r, q = self.rng.random() * total, 0
-            while q < d - 1 and r > spans[q]:
-                r -= spans[q]
+                node[1] += 1
+                return node
+            if not drawn:
+                drawn.extend(self.rng.random(self.DRAWS)[::-1].tolist())
+            r, q = drawn.pop() * total, 0
+            span = high[0] - low[0]
+            while q < d - 1 and r > span:
+                r -= span
                 q += 1
-            cut = low[q] + min(r, spans[q])
-            if (x[q] <= cut) != (node[2][q] <= cut) and not (node[2][q] <= cut < node[3][q]):
+                span = high[q] - low[q]
+            cut = low[q] + (r if r < span else span)
+            first, begin = x[q] <= cut, node[2][q]
+            if first != (begin <= cut) and not (begin <= cut < node[3][q]):
                 break
             if node[4] < 0:  # a cut at the very end of a span parts nothing: draw again
                 continue
+            # the row goes below this node, which holds it from here on
+            node[1] += 1
+            node[2], node[3] = low, high
             node = node[6] if x[node[4]] <= node[5] else node[7]
         parent, leaf = node[0], [None, 1, list(x), list(x), -1, 0.0, None, None]
-        first = x[q] <= cut
-        branch = [parent, node[1], low, high, q, cut, leaf if first else node, node if first else leaf]
+        branch = [parent, node[1] + 1, low, high, q, cut, leaf if first else node, node if first else leaf]
         if parent is None:
             self.root = branch
         elif parent[6] is node:
@@ -338,22 +353,13 @@ class CutTree:
         else:
             parent[7] = branch
         node[0] = leaf[0] = branch
-        self._grow(branch, x)
         return leaf
 
-    def _grow(self, node: list, x: tuple) -> list:
-        at = node
-        while at is not None:
-            at[1] += 1
-            at[2] = [min(a, b) for a, b in zip(at[2], x)]
-            at[3] = [max(a, b) for a, b in zip(at[3], x)]
-            at = at[0]
-        return node
-
     def delete(self, leaf: list) -> None:
         leaf[1] -= 1
         at = leaf[0]
-        if leaf[1] == 0:
+        changed = leaf[1] == 0
+        if changed:
             if at is None:
                 self.root = None
                 return
@@ -368,8 +374,12 @@ class CutTree:
             at = above
         while at is not None:
             at[1] -= 1
-            at[2] = [min(a, b) for a, b in zip(at[6][2], at[7][2])]
-            at[3] = [max(a, b) for a, b in zip(at[6][3], at[7][3])]
+            if changed:  # above a box that stays, all stay
+                one, two = at[6], at[7]
+                low = [a if a <= b else b for a, b in zip(one[2], two[2])]
+                high = [a if a >= b else b for a, b in zip(one[3], two[3])]
+                changed = low != at[2] or high != at[3]
+                at[2], at[3] = low, high
             at = at[0]
 
     def codisp(self, leaf: list) -> float:
